@@ -7,8 +7,8 @@ concatenated. Fragments repeat heavily, so each worker keeps a bounded memo.
 
 A fragment's own pre-tokens come from the byte-level splitting pattern. A cut is
 taken on the whole text only where that pattern breaks as well (a visible byte
-before white space) or can't be affected (between two ASCII letters); all other
-forced pairs are cut inside the pre-tokens.
+before white space, a letter before a mark) or can't be affected (between two
+ASCII letters); all other forced pairs are cut inside the pre-tokens.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text. A
 literal special token in a text becomes its id, as the tokenizer's own default
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from rankloom.llm.memo import PieceMemo
 from rankloom.llm.work import id_text
 
 # The byte-level pre-tokeniser's pattern; white space is spelled out.
@@ -81,7 +82,12 @@ class ForcedBoundaryBPE:
         space[[9, 10, 11, 12, 13, 32]] = True
         letter = np.zeros(256, dtype=bool)
         letter[[*range(65, 91), *range(97, 123)]] = True
-        safe = (~space[:, None] & space[None, :]) | (letter[:, None] & letter[None, :])
+        mark = np.zeros(256, dtype=bool)
+        mark[[ord(c) for c in "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"]] = True
+        stop = np.zeros(256, dtype=bool)
+        stop[[ord(","), ord(".")]] = True
+        high = np.arange(256) >= 128
+        safe = (~space[:, None] & space[None, :]) | (letter[:, None] & (letter | mark)[None, :]) | (high[:, None] & stop[None, :])
         self.cut_here = self.forced & safe.reshape(-1)
         self.split = regex.compile(PATTERN).findall
         self.plain = re.compile(rb" ?[A-Za-z]+").fullmatch
@@ -92,9 +98,7 @@ class ForcedBoundaryBPE:
         self.rank = np.array([m[0] for _, m in order] + [NEVER], dtype=np.int64)
         self.made = np.array([m[1] for _, m in order] + [0], dtype=np.int64)
         self.of_byte = np.array(self.byte_id, dtype=np.int64)
-        self.memo: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.most = memo
+        self.memo = PieceMemo(self._encode_fragments, memo)
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
@@ -102,21 +106,31 @@ class ForcedBoundaryBPE:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed little-endian unsigned 32-bit integers."""
         out: list[list[bytes]] = [[] for _ in texts]
-        waiting: list[tuple[int, list[bytes]]] = []
+        where: list[list[bytes]] = []
+        lists: list[list[bytes]] = []
         size = 0
-        for n, text in enumerate(texts):
+
+        def flush() -> None:
+            for to, ids in zip(where, self.memo.join(lists)):
+                to.append(ids)
+            where.clear()
+            lists.clear()
+
+        for to, text in zip(out, texts):
             parts = self.special_split(text) if self.special_split and any(s in text for s in self.special) else [text]
             for i, part in enumerate(parts):
                 if i % 2:
-                    waiting.append((n, [part]))
+                    flush()
+                    to.append(self.special[part].to_bytes(4, "little"))
                     continue
                 for slab in slabs(part):
-                    waiting.append((n, self.fragments(slab.encode("utf-8", "replace"))))
+                    where.append(to)
+                    lists.append(self.fragments(slab.encode("utf-8", "replace")))
                     size += len(slab)
                     if size > SLAB:
-                        self._flush(waiting, out)
+                        flush()
                         size = 0
-        self._flush(waiting, out)
+        flush()
         return [b"".join(x) for x in out]
 
     def decode(self, packed: bytes) -> str:
@@ -131,30 +145,6 @@ class ForcedBoundaryBPE:
         at = (np.flatnonzero(self.cut_here[(b[:-1] << 8) | b[1:]]) + 1).tolist()
         return [raw[i:j] for i, j in zip([0, *at], [*at, len(raw)])]
 
-    def _flush(self, waiting: list, out: list[list[bytes]]) -> None:
-        if len(self.memo) > self.most // 2:  # what is still in use comes back from the older half
-            self.older, self.memo = self.memo, {}
-        memo, older = self.memo, self.older
-        got: dict = {s: i.to_bytes(4, "little") for s, i in self.special.items()}
-        missing = []
-        for f in set().union(*(frags for _, frags in waiting)):
-            if type(f) is bytes:
-                ids = memo.get(f)
-                if ids is None:
-                    ids = older.get(f)
-                    if ids is None:
-                        missing.append(f)
-                        continue
-                    memo[f] = ids
-                got[f] = ids
-        for f, ids in zip(missing, self._encode_fragments(missing)):
-            got[f] = ids
-            if len(f) <= 64:
-                memo[f] = ids
-        for n, frags in waiting:
-            out[n].append(b"".join(map(got.__getitem__, frags)))
-        waiting.clear()
-
     def _encode_fragments(self, fragments: list[bytes]) -> list[bytes]:
         """Cut the fragments' pre-tokens again at all forced pairs and merge every piece side by side.
 
