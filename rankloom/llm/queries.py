@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe, idfiles
+from rankloom.llm import bpe, idfiles, packing
 from rankloom.llm.work import documents
 
 
@@ -18,12 +18,17 @@ def op3_ranked_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read_digests(idfiles.write_files(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=2))
 
 
+def op4_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op6_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
 QUERIES = {
     "op3_ranked_id_files": op3_ranked_id_files,
+    "op4_island_packing": op4_island_packing,
     "op6_forced_boundary_bpe": op6_forced_boundary_bpe,
 }
 
