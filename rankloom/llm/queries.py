@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe, idfiles, packing
-from rankloom.llm.work import documents
+from rankloom.llm import bpe, idfiles, packing, warc
+from rankloom.llm.work import documents, pages
 
 
 def tokenizer_file(name: str) -> str:
@@ -14,6 +14,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(pages(spark, sf_dir))).drop("url")
+
+
 def op3_ranked_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read_digests(idfiles.write_files(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=2))
 
@@ -27,9 +31,19 @@ def op6_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc_round_trip": op2_warc_round_trip,
     "op3_ranked_id_files": op3_ranked_id_files,
     "op4_island_packing": op4_island_packing,
     "op6_forced_boundary_bpe": op6_forced_boundary_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc_round_trip": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+             d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS digest FROM p),
+             r AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM d)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND first < page_id THEN first END AS refers_to
+        FROM r""",
+}
