@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe, idfiles, packing, warc
+from rankloom.llm import bpe, idfiles, packing, sketches, warc
 from rankloom.llm.work import documents, pages
 
 
@@ -26,6 +26,10 @@ def op4_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op5_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprints(documents(spark, sf_dir))
+
+
 def op6_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
@@ -34,6 +38,7 @@ QUERIES = {
     "op2_warc_round_trip": op2_warc_round_trip,
     "op3_ranked_id_files": op3_ranked_id_files,
     "op4_island_packing": op4_island_packing,
+    "op5_scaled_sketch": op5_scaled_sketch,
     "op6_forced_boundary_bpe": op6_forced_boundary_bpe,
 }
 
