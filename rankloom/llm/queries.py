@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe, idfiles, packing, sketches, warc
+from rankloom.llm import bpe, idfiles, packing, simhash, sketches, warc
 from rankloom.llm.work import documents, pages
 
 
@@ -34,12 +34,17 @@ def op6_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_warc_round_trip": op2_warc_round_trip,
     "op3_ranked_id_files": op3_ranked_id_files,
     "op4_island_packing": op4_island_packing,
     "op5_scaled_sketch": op5_scaled_sketch,
     "op6_forced_boundary_bpe": op6_forced_boundary_bpe,
+    "op10_simhash_trie": op10_simhash_trie,
 }
 
 ORACLES: dict[str, str] = {
