@@ -162,5 +162,5 @@ def _each_file(manifest: DataFrame, column: str, kind: pa.DataType, value) -> Da
                             yield pa.record_batch([pa.array(keys[i:j], pa.int64()), pa.array(at + starts[i:j]), pa.array(lengths[i:j].astype(np.int64)), pa.array(values[i:j], kind)], names=names)
                         at += int(ends[-1]) if len(ends) else 0
 
-    spread = files.repartition(F.col("path"))
+    spread = files.repartition(max(1, manifest.count()), F.col("path"))
     return spread.mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
