@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe, idfiles, packing, simhash, sketches, warc
+from rankloom.llm import bpe, idfiles, packing, quality, simhash, sketches, warc
 from rankloom.llm.work import documents, pages
 
 
@@ -34,6 +34,10 @@ def op6_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op7_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(documents(spark, sf_dir))
+
+
 def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -44,10 +48,12 @@ QUERIES = {
     "op4_island_packing": op4_island_packing,
     "op5_scaled_sketch": op5_scaled_sketch,
     "op6_forced_boundary_bpe": op6_forced_boundary_bpe,
+    "op7_divergence_rules": op7_divergence_rules,
     "op10_simhash_trie": op10_simhash_trie,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_divergence_rules": quality.SQL,
     "op2_warc_round_trip": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
              d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS digest FROM p),
