@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe, idfiles, packing, quality, simhash, sketches, warc
+from rankloom.llm import bpe, extraction, idfiles, packing, quality, simhash, sketches, warc
 from rankloom.llm.work import documents, pages
 
 
@@ -38,6 +38,10 @@ def op7_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(documents(spark, sf_dir))
 
 
+def op8_style_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(pages(spark, sf_dir))
+
+
 def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op5_scaled_sketch": op5_scaled_sketch,
     "op6_forced_boundary_bpe": op6_forced_boundary_bpe,
     "op7_divergence_rules": op7_divergence_rules,
+    "op8_style_tree_text": op8_style_tree_text,
     "op10_simhash_trie": op10_simhash_trie,
 }
 
