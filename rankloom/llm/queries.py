@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe, extraction, idfiles, packing, quality, simhash, sketches, warc
+from rankloom.llm import bpe, extraction, idfiles, packing, quality, simhash, sketches, urls, warc
 from rankloom.llm.work import documents, pages
 
 
@@ -14,6 +14,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return urls.judge(pages(spark, sf_dir), urls.labelled_urls(labels))
+
+
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(pages(spark, sf_dir))).drop("url")
 
@@ -47,6 +52,7 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_template_tree": op1_template_tree,
     "op2_warc_round_trip": op2_warc_round_trip,
     "op3_ranked_id_files": op3_ranked_id_files,
     "op4_island_packing": op4_island_packing,
