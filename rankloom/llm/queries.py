@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe, extraction, idfiles, packing, quality, simhash, sketches, urls, warc
+from rankloom.llm import bpe, extraction, idfiles, packing, quality, secrets, simhash, sketches, urls, warc
 from rankloom.llm.work import documents, pages
 
 
@@ -47,6 +47,10 @@ def op8_style_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(pages(spark, sf_dir))
 
 
+def op9_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op6_forced_boundary_bpe": op6_forced_boundary_bpe,
     "op7_divergence_rules": op7_divergence_rules,
     "op8_style_tree_text": op8_style_tree_text,
+    "op9_forest_secrets": op9_forest_secrets,
     "op10_simhash_trie": op10_simhash_trie,
 }
 
