@@ -221,14 +221,32 @@ def trie_edges(nodes: DataFrame, n: int, budget: int) -> DataFrame:
 
 
 def groups(prints: DataFrame, budget: int = 4) -> DataFrame:
-    """doc_id, fp, component_id for a stored table of (doc_id, fp)."""
+    """doc_id, fp, component (smallest id reachable; NO_ID or more: none has an id) for a stored table of (doc_id, fp)."""
     nodes = table(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.col("fp").bitwiseAND(F.lit(NO_ID - 1))).alias("node")), "fp-nodes")
     linked = components(trie_edges(nodes, nodes.count(), budget))
-    of_fp = nodes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(of_fp, "fp").select("doc_id", "fp", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
+    of_fp = nodes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    return prints.join(of_fp, "fp").select("doc_id", "fp", "component")
+
+
+def one_of_each(df: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:
+    """The rows of ``df`` without all but one document of each group: the smallest doc_id stays.
+
+    Rows without an id are told apart by their text; of rows that share an id one
+    stays. The documents that go are a stored table, so its size decides between
+    a broadcast and a shuffle.
+    """
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(NO_ID - 1)))
+    keyed = df.select(F.struct(*df.columns).alias("doc"), own.alias("key"))
+    prints = table(fingerprints(keyed.select(F.col("key").alias("doc_id"), "doc.text"), words), "fingerprints")
+    going = table(groups(prints, budget).where("doc_id <> component").select(F.col("doc_id").alias("key")).distinct(), "duplicates")
+    left = keyed.join(going, "key", "left_anti")
+    again = table(prints.groupBy(F.col("doc_id").alias("key")).count().where("count > 1").select("key"), "repeated-ids")
+    if again.take(1):
+        left = left.join(again, "key", "left_anti").unionByName(left.join(again, "key", "left_semi").dropDuplicates(["key"]))
+    return left.select("doc.*")
 
 
 def near_duplicates(df: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     found = groups(table(fingerprints(df, words), "fingerprints"), budget)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"))
