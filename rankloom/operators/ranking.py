@@ -70,6 +70,8 @@ def numbers(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def fit_pairs(pairs: DataFrame, features: Sequence[str], c: float = 1.0) -> LinearRanker:
     """L2 logistic regression on pair differences, scaled by their population deviation (0: left alone)."""
     stats = pairs.agg(F.count(F.lit(1)).alias("n"), *(F.stddev_pop(f).alias(f) for f in features)).first()
+    if not stats.n:
+        return LinearRanker(tuple(features), (0.0,) * len(features), (1.0,) * len(features), 0.0, 0)
     scale = tuple(float(stats[f] or 0) or 1.0 for f in features)
     scaled = pairs.select(F.col("label").cast("double").alias("label"), *((F.col(f) / s).alias(f) for f, s in zip(features, scale)))
     ready = VectorAssembler(inputCols=list(features), outputCol="features").transform(scaled)
