@@ -65,7 +65,10 @@ def repeat_words(words: Column) -> Column:
     Windows are sorted with their positions, so equal ones are neighbours; the
     sorted positions then cover five words each, less their overlap.
     """
-    windows = F.when(F.size(words) >= 5, F.transform(F.sequence(F.lit(1), F.size(words) - 4), lambda i: F.concat_ws(" ", F.slice(words, i, 5)))).otherwise(F.array().cast("array<string>"))
+    at = F.sequence(F.lit(0), F.size(words) - 5)
+    five = lambda i: [F.get(words, i + k) for k in range(5)]
+    windows = F.transform(at, lambda i: F.concat_ws(" ", *five(i)))
+    hashes = F.transform(at, lambda i: F.xxhash64(*five(i)))
 
     def covered(at: Column) -> Column:
         steps = F.transform(at, lambda p, k: F.least(F.lit(5), F.coalesce(F.get(at, k + 1) - p, F.lit(5))))
@@ -76,10 +79,11 @@ def repeat_words(words: Column) -> Column:
         return F.sort_array(F.transform(F.filter(s, again), lambda x: x["i"]))
 
     def counted(w: Column) -> Column:
-        found = let(let(F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i")))), positions), covered)
-        return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(found)
+        return let(let(F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i")))), positions), covered)
 
-    return let(windows, counted)
+    none = F.lit(0).cast("long")
+    # without two equal hashes there are no equal windows, and most texts need no more than that
+    return F.when(F.size(words) < 5, none).when(let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h)), none).otherwise(let(windows, counted))
 
 
 def references(df: DataFrame) -> dict[str, tuple[dict[str, float], dict[str, float]]]:
