@@ -50,13 +50,13 @@ def years_since(pred: Column, key: Sequence[str], time: str, never: int = 999) -
     return F.coalesce(F.col(time) - last, F.lit(never))
 
 
-def years_since_new_winner(df: DataFrame, key: str, time: str, won: Column, origin: int = 1956) -> DataFrame:
-    """time, years: the gap to the last earlier year in which somebody won for the first time; one row a year."""
-    firsts = df.where(won).groupBy(key).agg(F.min(time).alias(time)).groupBy(time).agg(F.lit(True).alias("new"))
-    years = df.select(time).distinct().join(firsts, time, "left")
-    w = Window.orderBy(time).rangeBetween(Window.unboundedPreceding, -1)  # a row a year: small by nature
+def years_since_new_winner(df: DataFrame, key: str, time: str, won: Column, origin: int = 1956, part: Sequence[str] = ()) -> DataFrame:
+    """part, time, years: the gap to the last earlier year in which somebody won for the first time; one row a year and part."""
+    firsts = df.where(won).groupBy(*part, key).agg(F.min(time).alias(time)).groupBy(*part, time).agg(F.lit(True).alias("new"))
+    years = df.select(*part, time).distinct().join(firsts, [*part, time], "left")
+    w = Window.partitionBy(*part).orderBy(time).rangeBetween(Window.unboundedPreceding, -1)  # a row a year: small by nature
     last = F.max(F.when(F.col("new"), F.col(time))).over(w)
-    return years.select(time, (F.col(time) - F.coalesce(last, F.lit(origin))).alias("years_since_new_winner"))
+    return years.select(*part, time, (F.col(time) - F.coalesce(last, F.lit(origin))).alias("years_since_new_winner"))
 
 
 def predicted_rank(part: Sequence[str], score: str, ties: Sequence[str]) -> Column:

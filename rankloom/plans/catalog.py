@@ -103,6 +103,13 @@ def years_since_new_winner(spark, d):
     return windows.years_since_new_winner(y, "cust", "year", F.col("rank") == 1).select(F.col("year").cast("long").alias("year"), F.col("years_since_new_winner").cast("long").alias("years_since_new_winner"))
 
 
+@query()
+def years_since_new_winner_whole(spark, d):
+    """years_since_new_winner of every nation; its SQL knows nation 0 only."""
+    y = windows.years_since_new_winner(yearly_customers(spark, d), "cust", "year", F.col("rank") == 1, part=["nation"])
+    return y.select("nation", F.col("year").cast("long").alias("year"), F.col("years_since_new_winner").cast("long").alias("years_since_new_winner"))
+
+
 @query(f"""WITH {YEARLY}, w AS (SELECT nation, year FROM y WHERE rank = 1) SELECT n.nation, n.year, (SELECT count(*) FROM w WHERE w.nation = n.nation AND w.year < n.year) AS nation_prior_winners FROM (SELECT DISTINCT nation, year FROM y) n""")
 def group_prior_winners(spark, d):
     y = yearly_customers(spark, d)
@@ -167,13 +174,25 @@ def position_case(spark, d):
   SELECT a.nation, a.supp AS first, b.supp AS second, 1 AS label, round(a.acctbal - b.acctbal, 4) AS acctbal, round(a.quantity - b.quantity, 4) AS quantity FROM r a JOIN r b ON a.nation = b.nation AND a.n < b.n
   UNION ALL SELECT a.nation, b.supp, a.supp, 0, round(b.acctbal - a.acctbal, 4), round(b.quantity - a.quantity, 4) FROM r a JOIN r b ON a.nation = b.nation AND a.n < b.n""")
 def pairwise_diff(spark, d):
-    s = supplier_stats(spark, d).where("nation < 5")
+    return supplier_pairs(supplier_stats(spark, d).where("nation < 5"))
+
+
+@query()
+def pairwise_diff_whole(spark, d):
+    """pairwise_diff of every nation; its SQL knows nations 0 to 4 only."""
+    return supplier_pairs(supplier_stats(spark, d))
+
+
+def supplier_pairs(s):
     p = joins.pairwise(s, ["nation"], [F.desc_nulls_last("revenue"), "supp"], "supp", ["acctbal", "quantity"])
     return p.select("nation", "first", "second", "label", F.round("acctbal", 4).alias("acctbal"), F.round("quantity", 4).alias("quantity"))
 
 
 def ranked_customers(spark, d):
-    c = t(spark, d, "customer").where("c_custkey <= 3000")  # the pools of this report, as in its SQL
+    return ranks_of(t(spark, d, "customer").where("c_custkey <= 3000"))  # the pools of this report, as in its SQL
+
+
+def ranks_of(c):
     return c.select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("cust"), F.floor(F.col("c_acctbal") / 700).alias("score"), (-F.rank().over(Window.partitionBy("c_nationkey").orderBy((F.floor(F.col("c_acctbal") + 2000) % 101).desc()))).alias("r"))
 
 
@@ -186,16 +205,38 @@ def spearman_per_pool(spark, d):
     return windows.spearman(ranked_customers(spark, d), ["nation"], "score", "r").select("nation", F.round("spearman", 6).alias("spearman"))
 
 
+@query()
+def spearman_per_pool_whole(spark, d):
+    """spearman_per_pool over all customers; its SQL knows c_custkey <= 3000 only."""
+    return windows.spearman(ranks_of(t(spark, d, "customer")), ["nation"], "score", "r").select("nation", F.round("spearman", 6).alias("spearman"))
+
+
 @query(f"""WITH {RANKED}, p AS (SELECT a.nation, sign(a.score - b.score) AS u, sign(a.r - b.r) AS v FROM c a JOIN c b ON a.nation = b.nation AND a.cust < b.cust)
   SELECT nation, round(sum(u * v) / sqrt(sum(abs(u)) * sum(abs(v))), 6) AS kendall FROM p GROUP BY 1""")
 def kendall_per_pool(spark, d):
     return windows.kendall(ranked_customers(spark, d), ["nation"], "cust", "score", "r").select("nation", F.round("kendall", 6).alias("kendall"))
 
 
+@query()
+def kendall_per_pool_whole(spark, d):
+    """kendall_per_pool over all customers; its SQL knows c_custkey <= 3000 only."""
+    return windows.kendall(ranks_of(t(spark, d, "customer")), ["nation"], "cust", "score", "r").select("nation", F.round("kendall", 6).alias("kendall"))
+
+
 @query(f"""WITH {RANKED}, o AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY score DESC, cust) AS place FROM c), w AS (SELECT nation, min(place) AS winner_at FROM o WHERE r = -1 GROUP BY 1)
   SELECT nation, winner_at, winner_at <= 1 AS top1, winner_at <= 3 AS top3, winner_at <= 5 AS top5 FROM w""")
 def topk_hit(spark, d):
-    c = ranked_customers(spark, d).withColumn("place", windows.predicted_rank(["nation"], "score", ["cust"]).cast("long"))
+    return winners_at(ranked_customers(spark, d))
+
+
+@query()
+def topk_hit_whole(spark, d):
+    """topk_hit over all customers; its SQL knows c_custkey <= 3000 only."""
+    return winners_at(ranks_of(t(spark, d, "customer")))
+
+
+def winners_at(c):
+    c = c.withColumn("place", windows.predicted_rank(["nation"], "score", ["cust"]).cast("long"))
     w = c.where("r = -1").groupBy("nation").agg(F.min("place").alias("winner_at"))
     return w.select("nation", "winner_at", *((F.col("winner_at") <= k).alias(f"top{k}") for k in (1, 3, 5)))
 
@@ -281,6 +322,12 @@ def name_normalize(spark, d):
     return docs.select("doc_id", text.normalize_name("text").alias("norm"))
 
 
+@query()
+def name_normalize_whole(spark, d):
+    """name_normalize of every document; its SQL knows the languages fr and de only."""
+    return t(spark, d, "documents").select("doc_id", text.normalize_name("text").alias("norm"))
+
+
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '{"event_id":' || event_id || ',"k":' || CAST(json_extract(props, '$.k') AS BIGINT) || '}' AS packed FROM events""")
 def json_extract(spark, d):
     e = t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))

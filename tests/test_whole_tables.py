@@ -1,0 +1,86 @@
+"""The queries over whole tables against brute force on tables whose rows lie outside the subsets of the SQL."""
+
+import math
+from datetime import date
+from itertools import combinations
+
+import pytest
+
+from rankloom.plans.catalog import QUERIES
+
+CUSTOMERS = [(k, k % 3 + 4, float(k * 7919 % 11_000 - 900)) for k in range(2990, 3050)]
+ORDERS = [(i, 2990 + i * 13 % 60, float(i * 31 % 977), date(1992 + i % 4, 5, 1)) for i in range(400)]
+SUPPLIERS = [(k, k % 2 + 4, k * 10.0) for k in range(1, 9)]
+LINES = [(k, 1 + k % 8, k * 3.0 + k % 5, 1.0 + k % 4) for k in range(40)]
+DOCUMENTS = [(1, "Élan d'été", "fr"), (2, "The  OLD-house", "en"), (3, "Año nuevo", "es"), (4, "Straße", "de")]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("whole"))
+    spark.createDataFrame(CUSTOMERS, "c_custkey long, c_nationkey long, c_acctbal double").write.parquet(f"{d}/customer.parquet")
+    spark.createDataFrame(ORDERS, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate date").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame(SUPPLIERS, "s_suppkey long, s_nationkey long, s_acctbal double").write.parquet(f"{d}/supplier.parquet")
+    spark.createDataFrame(LINES, "l_orderkey long, l_suppkey long, l_extendedprice double, l_quantity double").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame(DOCUMENTS, "doc_id long, text string, lang string").write.parquet(f"{d}/documents.parquet")
+    return d
+
+
+def pools():
+    """nation: [(cust, score, rank key)]; the rank is negated and counts the better ones."""
+    out = {}
+    for n in {n for _, n, _ in CUSTOMERS}:
+        own = [(k, math.floor(a / 700), math.floor(a + 2000) % 101) for k, m, a in CUSTOMERS if m == n]
+        out[n] = [(k, s, -1 - sum(y > x for *_, y in own)) for k, s, x in own]
+    return out
+
+
+def test_correlations_and_hits(spark, tables):
+    mid = lambda v: [sum(y < x for y in v) + (sum(y == x for y in v) + 1) / 2 for x in v]
+    sign = lambda x: (x > 0) - (x < 0)
+    spearman, kendall, hits = {}, {}, {}
+    for n, own in pools().items():
+        x, y = mid([s for _, s, _ in own]), mid([r for *_, r in own])
+        mx, my = sum(x) / len(x), sum(y) / len(y)
+        spearman[n] = sum((a - mx) * (b - my) for a, b in zip(x, y)) / math.sqrt(sum((a - mx) ** 2 for a in x) * sum((b - my) ** 2 for b in y))
+        uv = [(sign(a[1] - b[1]), sign(a[2] - b[2])) for a, b in combinations(own, 2)]
+        kendall[n] = sum(u * v for u, v in uv) / math.sqrt(sum(abs(u) for u, _ in uv) * sum(abs(v) for _, v in uv))
+        places = [c for c, *_ in sorted(own, key=lambda c: (-c[1], c[0]))]
+        hits[n] = min(places.index(k) + 1 for k, _, r in own if r == -1)
+    assert {r.nation: r.spearman for r in QUERIES["spearman_per_pool_whole"](spark, tables).collect()} == pytest.approx(spearman, abs=2e-6)
+    assert {r.nation: r.kendall for r in QUERIES["kendall_per_pool_whole"](spark, tables).collect()} == pytest.approx(kendall, abs=2e-6)
+    got = QUERIES["topk_hit_whole"](spark, tables).collect()
+    assert {r.nation: r.winner_at for r in got} == hits and all((r.top1, r.top3, r.top5) == tuple(r.winner_at <= k for k in (1, 3, 5)) for r in got)
+
+
+def test_pairs_of_every_nation(spark, tables):
+    revenue = {k: round(sum(p for _, s, p, _ in LINES if s == k), 2) for k, *_ in SUPPLIERS}
+    quantity = {k: sum(q for _, s, _, q in LINES if s == k) for k, *_ in SUPPLIERS}
+    want = set()
+    for a, n, x in SUPPLIERS:
+        for b, m, y in SUPPLIERS:
+            if n == m and a != b:
+                first = (-revenue[a], a) < (-revenue[b], b)
+                want.add((n, a, b, int(first), round(x - y, 4), round(quantity[a] - quantity[b], 4)))
+    got = QUERIES["pairwise_diff_whole"](spark, tables).collect()
+    assert len(got) == len(want) and {(r.nation, r.first, r.second, r.label, r.acctbal, r.quantity) for r in got} == want
+
+
+def test_new_winners_of_every_nation(spark, tables):
+    nation = {k: n for k, n, _ in CUSTOMERS}
+    sums = {}
+    for _, c, v, at in ORDERS:
+        sums[nation[c], at.year, c] = sums.get((nation[c], at.year, c), 0) + v
+    want = {}
+    for n in set(nation.values()):
+        years = sorted({y for m, y, _ in sums if m == n})
+        won = {y: min((-v, c) for (m, z, c), v in sums.items() if (m, z) == (n, y))[1] for y in years}
+        new = {min(y for y in years if won[y] == c) for c in won.values()}
+        want |= {(n, y): y - max((z for z in new if z < y), default=1956) for y in years}
+    got = QUERIES["years_since_new_winner_whole"](spark, tables).collect()
+    assert len(got) == len(want) and {(r.nation, r.year): r.years_since_new_winner for r in got} == want
+
+
+def test_names_of_every_language(spark, tables):
+    got = {r.doc_id: r.norm for r in QUERIES["name_normalize_whole"](spark, tables).collect()}
+    assert got == {1: "elan dete", 2: "the old house", 3: "ano nuevo", 4: "strasse"}
