@@ -7,8 +7,10 @@ content is (text found on one page counts fully, text on all pages not at all).
 Nodes of low importance lose their text on each page; a branch without any other
 text is gone with them. What an element says about its own role is prior knowledge: menus, footers,
 adverts, forms, comments and the like have no importance anywhere, so pages of
-tiny hosts are cleaned too, while articles keep theirs even where a host's pages
-repeat each other.
+tiny hosts are cleaned too. Inside article and main the tree decides as elsewhere,
+but an article that would lose more than half of its text keeps all of it, since a
+host's pages may repeat each other. Text beside an article is left out unless what
+is important of it is longer than the article, which is a teaser then.
 
 Text comes in blocks: character references are decoded, white space becomes one
 space, blocks are joined by a line feed. Markup is read tolerantly: missing end
@@ -166,12 +168,15 @@ def blocks(html: str) -> tuple[list[tuple[str, bool, bool, str]], list[Element]]
 
 
 def text_of(html: str, low: frozenset[str] = frozenset()) -> str:
-    """The main text: blocks of the article where there is one, without low or side branches."""
+    """The main text: blocks of the branch that holds most of it, without low or side branches."""
     found = [b for b in blocks(html)[0] if not b[1]]
-    if any(b[2] for b in found):
-        found = [b for b in found if b[2]]
-    if low:
-        kept = [b for b in found if b[2] or b[0] not in low]
+    kept = [b for b in found if b[0] not in low]
+    size = lambda some: sum(len(b[3]) for b in some)
+    article, rest = [b for b in found if b[2]], [b for b in kept if not b[2]]
+    if article and size(rest) <= size(article):
+        main = [b for b in kept if b[2]]
+        found = main if 2 * size(main) >= size(article) else article  # where articles repeat each other, low says nothing
+    else:
         found = kept or found  # a page that would lose everything isn't described by its host's tree
     return "\n".join(b[3] for b in found)
 
@@ -234,7 +239,7 @@ def extract(df: DataFrame) -> DataFrame:
     pages = df.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     tree = style_tree(pages.select("host", "html"))
     # text stands in the nodes that hold it, so a branch goes when all of those are low; a host lists only nodes seen on many pages
-    unlikely = tree.where(~F.col("main") & (F.col("texts") > 0) & (F.col("pages") >= PAGES) & (F.col("importance") < LOW) & ~F.col("node").rlike("^(/html|/body|/html/body)?$"))
+    unlikely = tree.where((F.col("texts") > 0) & (F.col("pages") >= PAGES) & (F.col("importance") < LOW) & ~F.col("node").rlike("^(/html|/body|/html/body)?$"))
     low = table(unlikely.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low")), "style-tree")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -244,6 +244,19 @@ def test_style_tree_drops_what_a_host_repeats(spark):
     assert [r.text for r in got] == [f"Story {i} tells of {i * 7} things\nMore on {i}" for i in range(20)]
 
 
+def test_style_tree_works_inside_articles(spark):
+    story = lambda i: f"<p>Story {i} tells of {i * 7} things</p><p>More on {i}</p>"
+    made = {
+        "box": lambda i: f"<body><article><div class=box><p>Read our guide</p></div>{story(i)}</article></body>",
+        "teaser": lambda i: f"<body><article><p>Join us</p></article><div class=text>{story(i)}</div></body>",
+        "copies": lambda i: f"<body><article>{story(1)}</article><p>by person {i}</p></body>",
+    }
+    rows = [(100 * k + i, f"https://{host}.example/{i}", html(i)) for k, (host, html) in enumerate(made.items()) for i in range(20)]
+    got = {r.page_id: r.text for r in extraction.extract(pages(spark, rows)).collect()}
+    told = lambda i: f"Story {i} tells of {i * 7} things\nMore on {i}"
+    assert all(got[i] == got[100 + i] == told(i) and got[200 + i] == told(1) for i in range(20))
+
+
 def brute_rule(host, path):
     fits = [(len(h + p), h + p, v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fits)[1:] if fits else (None, None)
