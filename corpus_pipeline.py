@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import packing, quality, secrets, simhash
+from rankloom.llm import packing, quality, secrets, similar
 from rankloom.llm.queries import tokenizer_file
 from rankloom.llm.work import table
 
@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of a five-word shingle similarity of 0.8 or more stays."""
+    return similar.one_of_similar(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
