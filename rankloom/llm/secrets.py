@@ -1,7 +1,9 @@
 """Secret scans: candidates by shape, false positives removed by a random forest.
 
-A candidate is a word holding a run of 16 or more key characters with a digit
-among them (12 after an equals sign or colon). A forest votes on its length, its
+A candidate is a run of 16 or more key characters with a digit among them (12
+after an equals sign or colon), of 8 or more after a name like ``password=``, or
+one of a published key format; a word may hold several, between any delimiters.
+Private key blocks are found by their headers. A forest votes on its length, its
 character-class transitions, its dictionary coverage, the path it stands in and
 the words beside it. It is fitted once on labelled findings, a bounded table (by
 default ``TRAINING`` rows made by rule from published key formats and from the
@@ -41,35 +43,72 @@ DICTIONARY = (
     "update upload user value version video view web week widget window word work world year"
 ).split()
 FEATURES = ("length", "transitions", "distinct", "digits", "uppers", "hexes", "dictionary", "slashes", "dots", "dashes", "web", "sample_path", "hinted", "harmless", "assigned", "quoted", "all_digits", "known_start")
-VALUE = r"([A-Za-z0-9+/_\-.~]{12,}={0,2})[\"')\],;.]*$"
+# Key-like runs of a word, whatever stands before and after them; published key formats also inside longer runs.
+RUN = r"([A-Za-z0-9+/_\-.~]{7,}[A-Za-z0-9+/_\-](?:={1,2}(?![A-Za-z0-9+/_\-.~\"'=]))?)"
+STARTS = r"AKIA|ASIA|AIza|gh[pousr]_|glpat-|sk-|sk_|rk_|xox[abprs]-|eyJ|npm_|pypi-|SG\.|ya29\."
+PUBLISHED = (
+    r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|AIza[A-Za-z0-9_\-]{35}|gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_\-]{20,}|(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_\-]{20,}"
+    r"|xox[abprs]-[A-Za-z0-9\-]{10,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]*)?|npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_\-]{16,}|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|ya29\.[A-Za-z0-9_\-]{20,})"
+)
+HEADER = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+KEY_BLOCK = HEADER + r"(?:[^\-]{0,20000}-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\\[nr]|\s)*[A-Za-z0-9+/=]{16,}){0,200})"
+ASSIGNED = r"[=:][\"']?$"
+NAMED = rf"(?i)(?:{'|'.join(HINTS)})[A-Za-z0-9_\-]*[\"']?[=:]+[\"']?$"
 
 
 def split_words(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
+def lead_of(word: Column, value: Column) -> Column:
+    """What stands before the value in its word."""
+    return F.split_part(word, value, F.lit(1))
+
+
 def candidates(text: Column, source: Column) -> Column:
-    """Array of (position, word, value, before, after, source), position counted in words from 0."""
+    """Array of (position, word, value, before, after, source), position counted in words from 0; a word may hold several."""
 
     def pick(words: Column) -> Column:
-        def looks(w: Column) -> Column:
-            return (F.length(w) >= 16) & F.rlike(w, F.lit("[0-9]")) & (F.rlike(w, F.lit(r"[A-Za-z0-9+/_\-]{16,}")) | F.rlike(w, F.lit(r"[=:][\"']?[A-Za-z0-9+/_\-]{12,}")))
-
         near = lambda i: F.lower(F.coalesce(F.get(words, i), F.lit("")))
-        at = F.filter(F.transform(words, lambda w, i: F.when(looks(w), i)), lambda i: i.isNotNull())
-        return F.transform(
-            at,
-            lambda i: F.struct(
-                i.alias("position"),
-                F.get(words, i).alias("word"),
-                F.regexp_extract(F.get(words, i), VALUE, 1).alias("value"),
-                F.concat_ws(" ", near(i - 2), near(i - 1)).alias("before"),
-                near(i + 1).alias("after"),
-                F.lower(F.coalesce(source.cast("string"), F.lit(""))).alias("source"),
-            ),
-        )
-
-    return F.filter(F.transform(F.array(split_words(text)), pick)[0], lambda c: F.length(c["value"]) > 0)
+        opened = lambda i: F.rlike(near(i - 1), F.lit("[=:]$"))
+        worth = lambda w, i: (F.length(w) >= 8) & (F.rlike(w, F.lit(f"[0-9=:]|{STARTS}")) | opened(i))
+
+        def runs(i: Column) -> Column:
+            word = F.get(words, i)
+            before = F.concat_ws(" ", near(i - 2), near(i - 1))
+
+            def looks(v: Column) -> Column:
+                lead = lead_of(word, v)
+                digit, n = F.rlike(v, F.lit("[0-9]")), F.length(v)
+                shaped = digit & (F.rlike(v, F.lit(r"[A-Za-z0-9+/_\-]{16,}")) | ((n >= 12) & F.rlike(lead, F.lit(ASSIGNED))))
+                # announced by name, or the password of a url: any characters, from 8 on
+                named = F.rlike(lead, F.lit(NAMED)) | (F.rlike(lead, F.lit("://[^/@]*:$")) & F.startswith(F.substr(word, F.length(lead) + n + 1), F.lit("@")))
+                said = opened(i) & F.rlike(before, F.lit(rf"(^|[^a-z])({'|'.join(HINTS)})([^a-z]|$)")) & F.rlike(lead, F.lit("^[\"']?$"))
+                return shaped | named | said | F.rlike(v, F.lit(f"^{PUBLISHED}$"))
+
+            found = F.filter(F.array_union(F.regexp_extract_all(word, F.lit(PUBLISHED), F.lit(1)), F.regexp_extract_all(word, F.lit(RUN), F.lit(1))), looks)
+            return F.transform(
+                found,
+                lambda v: F.struct(
+                    i.alias("position"),
+                    word.alias("word"),
+                    v.alias("value"),
+                    before.alias("before"),
+                    near(i + 1).alias("after"),
+                    F.lower(F.coalesce(source.cast("string"), F.lit(""))).alias("source"),
+                ),
+            )
+
+        at = F.filter(F.transform(words, lambda w, i: F.when(worth(w, i), i)), lambda i: i.isNotNull())
+        return F.flatten(F.transform(at, runs))
+
+    return F.transform(F.array(split_words(text)), pick)[0]
+
+
+def key_blocks(text: Column) -> Column:
+    """Array of (position, word, value, score): private key blocks, from their header to their end; the header says it all."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({KEY_BLOCK})"), F.lit(1)))
+    return F.transform(found, lambda v: F.struct((F.size(split_words(F.concat(F.split_part(text, v, F.lit(1)), F.lit("-")))) - 1).alias("position"), F.lit("-----BEGIN").alias("word"), v.alias("value"), F.lit(1.0).alias("score")))
 
 
 def features(c: Column) -> dict[str, Column]:
@@ -81,7 +120,9 @@ def features(c: Column) -> dict[str, Column]:
     runs = F.length(F.regexp_replace(kinds, r"(.)\1+", "$1"))
     listed = lambda words: "(" + "|".join(words) + ")"
     flag = lambda x: x.cast("double")
-    around = F.concat_ws(" ", c["before"], F.lower(F.regexp_extract(word, r"^([A-Za-z_\-\"']+)\s*[=:]", 1)))
+    lead = lead_of(word, value)
+    rest = F.substr(word, F.length(lead) + F.length(value) + 1)
+    around = F.concat_ws(" ", c["before"], F.lower(F.regexp_extract(lead, r"([A-Za-z0-9_\-]+)[\"']?[=:]+[\"']?$", 1)))
     return {
         "length": n,
         "transitions": (runs - 1) / n,
@@ -93,14 +134,14 @@ def features(c: Column) -> dict[str, Column]:
         "slashes": n - F.length(F.replace(value, F.lit("/"), F.lit(""))),
         "dots": n - F.length(F.replace(value, F.lit("."), F.lit(""))),
         "dashes": n - F.length(F.regexp_replace(value, "[-_]", "")),
-        "web": flag(F.rlike(word, F.lit("://|@|^www"))),
+        "web": flag(F.rlike(value, F.lit("^//|^www")) | F.endswith(lead, F.lit("@")) | (F.startswith(rest, F.lit("@")) & ~F.endswith(lead, F.lit(":")))),
         "sample_path": flag(F.rlike(c["source"], F.lit("test|example|sample|fixture|docs?/|readme|lock"))),
         "hinted": flag(F.rlike(around, F.lit(rf"(^|[^a-z]){listed(HINTS)}([^a-z]|$)"))),
         "harmless": flag(F.rlike(around, F.lit(rf"(^|[^a-z]){listed(HARMLESS)}([^a-z0-9]|$)"))),
-        "assigned": flag(F.rlike(word, F.lit(r"^[A-Za-z_\-\"']+\s*[=:]")) | F.rlike(c["before"], F.lit(r"[=:]$"))),
-        "quoted": flag(F.rlike(word, F.lit("[\"']"))),
+        "assigned": flag(F.rlike(lead, F.lit(ASSIGNED)) | (F.rlike(lead, F.lit("^[\"']?$")) & F.rlike(c["before"], F.lit(r"[=:]$")))),
+        "quoted": flag(F.rlike(lead, F.lit("[\"']$"))),
         "all_digits": flag(F.rlike(value, F.lit(r"^[0-9\-]+$"))),
-        "known_start": flag(F.rlike(value, F.lit(r"^(AKIA|ASIA|AIza|gh[pousr]_|glpat-|sk-|sk_|rk_|xox[abprs]-|eyJ|npm_|pypi-|SG\.|ya29\.)"))),
+        "known_start": flag(F.rlike(value, F.lit(f"^({STARTS})"))),
     }
 
 
@@ -132,7 +173,25 @@ def made_findings(spark: SparkSession, n: int = TRAINING) -> DataFrame:
         (glue('"', drawn(mixed, 32, 13), '"'), F.lit("secret =")),
         (glue("secret=", drawn(hexes, 32, 14)), plain),
     ]
+    uuid = glue(drawn(hexes, 8, 51), "-", drawn(hexes, 4, 52), "-4", drawn(hexes, 3, 53), "-", drawn(hexes, 4, 54), "-", drawn(hexes, 12, 55))
+    site = glue("https://", word(56), ".example.com/?")
+    secret += [
+        (glue('{"api_key":"', drawn(hexes, 32, 57), '"}'), plain),
+        (glue('{"', word(58), '":1,"password":"', drawn(mixed, 16, 59), '"}'), plain),
+        (glue("<code>AKIA", drawn(up + dig, 16, 60), "</code>"), plain),
+        (glue(site, "token=", drawn(hexes, 32, 61), "&v=2"), plain),
+        (glue("postgres://", drawn(low, 4, 62), ":", drawn(mixed, 14, 63), "@db:5432/x"), plain),
+        (glue("password=", drawn(mixed, 9, 64)), plain),
+        (glue("secret_key=", drawn(low + up, 32, 65)), plain),
+    ]
     harmless = [
+        (glue('{"id":"', uuid, '"}'), plain),
+        (glue('{"sha256":"', drawn(hexes, 64, 66), '"}'), plain),
+        (glue("<td>", word(67), "-", word(68), "-", drawn(dig, 6, 69), "</td>"), plain),
+        (glue(site, "id=", drawn(hexes, 32, 70), "&v=2"), plain),
+        (glue(site, "page=", word(73), "-", word(74), "-", drawn(dig, 4, 75), "&v=2"), plain),
+        (glue("https://", word(76), ".example.com/", word(77), "/", drawn(dig, 12, 78), "?v=2"), plain),
+        (glue("password:", word(79), "-", word(80), "-", word(81)), plain),
         (drawn(dig, 16, 21), plain),
         (glue("4", drawn(dig, 15, 22)), F.lit("the card")),
         (glue(drawn(hexes, 8, 23), "-", drawn(hexes, 4, 24), "-4", drawn(hexes, 3, 25), "-", drawn(hexes, 4, 26), "-", drawn(hexes, 12, 27)), F.lit("with id")),
@@ -150,7 +209,10 @@ def made_findings(spark: SparkSession, n: int = TRAINING) -> DataFrame:
     choose = lambda rows, k: F.get(F.array(*[r[k] for r in rows]), F.pmod(F.floor(F.col("id") / 2), F.lit(len(rows))).cast("int"))
     is_secret = F.col("id") % 2 == 0
     made = base.select(is_secret.alias("secret"), F.when(is_secret, choose(secret, 0)).otherwise(choose(harmless, 0)).alias("word"), F.when(is_secret, choose(secret, 1)).otherwise(choose(harmless, 1)).alias("before"))
-    return made.select("secret", "word", F.regexp_extract("word", VALUE, 1).alias("value"), "before", F.lit("").alias("after"), F.lit("").alias("source")).where("value <> ''")
+    # the last run that a scan of the word would take as its value
+    runs = F.regexp_extract_all("word", F.lit(RUN), F.lit(1))
+    told = F.coalesce(F.get(F.filter(runs, lambda v: F.rlike(v, F.lit("[0-9]")) & (F.length(v) >= 12)), F.lit(0)), F.element_at(runs, F.lit(-1)))
+    return made.select("secret", "word", told.alias("value"), "before", F.lit("").alias("after"), F.lit("").alias("source")).where("value <> ''")
 
 
 def fit(labelled: DataFrame) -> list[list]:
@@ -202,7 +264,7 @@ def judged(text: Column, source: Column, trees: list) -> Column:
         kept = F.transform(F.array(F.struct(*(f[x].cast("double").alias(x) for x in FEATURES))), lambda x: votes(trees, x))[0]
         return F.struct(c["position"].alias("position"), c["word"].alias("word"), c["value"].alias("value"), kept.alias("score"))
 
-    return F.transform(candidates(text, source), scored)
+    return F.concat(F.transform(candidates(text, source), scored), key_blocks(text))
 
 
 def scan(df: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
