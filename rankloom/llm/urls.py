@@ -2,17 +2,16 @@
 
 Each host has a tree of path templates. Segments that look generated (numbers,
 hashes, long mixed tokens; extensions kept) become typed wildcards at once. Then,
-level by level from the root, a segment stays literal only if it carries at least
-``SHARE`` of its parent's pages and ``SUPPORT`` pages; the others of that node
-share one wildcard. Sibling branches whose labelled bad rates don't differ
-significantly from their parent's (two-sided z below ``Z``) are merged into a
-wildcard branch as well. A template whose smoothed purity, (good + ALPHA * prior)
+level by level from the root, sibling branches whose labelled bad rates don't
+differ significantly from their parent's (two-sided z below ``Z``), and those
+without labels, are merged into one wildcard branch; the labels alone decide, not
+a branch's share of the pages. A template whose smoothed purity, (good + ALPHA * prior)
 / (labelled + ALPHA) with the corpus' own good rate as prior, is below ``PURITY``
 is rejected: its pages are blocked unless a rule says otherwise.
 
 Everything is counts of templates, aggregated before any shuffle: a host with a
-third of all pages is as many rows as it has distinct shapes. Levels beyond
-``LEVELS`` fall into one tail wildcard.
+third of all pages is as many rows as it has distinct shapes. The tree is as deep
+as the deepest path.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and is
 judged like any template; unlabelled templates have the prior's purity. Repeated
@@ -28,8 +27,6 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.work import table
 
-LEVELS = 6
-SUPPORT, SHARE = 20, 0.01
 Z = 2.0
 ALPHA, PURITY = 10.0, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,10 +57,10 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 
 def shapes(path: Column) -> Column:
-    """The path's segments with generated ones replaced by typed wildcards; levels past LEVELS become one tail."""
-    segments = F.slice(F.split(path, "/"), 2, LEVELS + 1)
+    """The path's segments with generated ones replaced by typed wildcards."""
+    segments = F.slice(F.split(path, "/"), F.lit(2), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
 
-    def shape(s: Column, i: Column) -> Column:
+    def shape(s: Column) -> Column:
         stem = F.regexp_extract(s, r"^(.*?)(\.[A-Za-z0-9]{1,5})?$", 1)
         ending = F.regexp_extract(s, r"^(.*?)(\.[A-Za-z0-9]{1,5})?$", 2)
         kind = (
@@ -72,7 +69,7 @@ def shapes(path: Column) -> Column:
             .when(F.rlike(stem, F.lit("[0-9]")) & (F.length(stem) >= 12), F.lit("{mixed}"))
             .when(F.length(stem) >= 40, F.lit("{long}"))
         )
-        return F.when(i >= LEVELS, F.lit("{tail}")).otherwise(F.coalesce(F.concat(kind, F.lower(ending)), s))
+        return F.coalesce(F.concat(kind, F.lower(ending)), s)
 
     return F.array_join(F.transform(segments, shape), "/")
 
@@ -91,7 +88,7 @@ def template_tree(shaped: DataFrame) -> DataFrame:
         rate = F.when(F.col("all_labelled") > 0, F.col("all_bad") / F.col("all_labelled")).otherwise(F.lit(0.0))
         own = F.when(F.col("labelled") > 0, F.col("bad") / F.col("labelled")).otherwise(rate)
         spread = F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-4)) / F.greatest(F.col("labelled"), F.lit(1)))
-        literal = (F.col("n") >= SUPPORT) & (F.col("n") >= SHARE * F.col("all_n")) & (F.abs(own - rate) >= Z * spread)
+        literal = (F.col("labelled") > 0) & (F.abs(own - rate) >= Z * spread)
         # a branch that is all there is, or a typed wildcard, is told apart by its name at no cost
         named = (F.col("n") == F.col("all_n")) | literal
         choice = child.join(parent, ["host", "template"]).select("host", "template", "segment", F.when(named, F.col("segment")).otherwise(F.lit("*")).alias("name"))
