@@ -15,7 +15,10 @@ Equal fingerprints are one node from the start.
 
 Edge cases: null text is empty; without a word the fingerprint is zero and links
 like any other; a null doc_id takes part, a component of null ids only has a null
-id. doc_ids are taken to be below 2**62.
+id. Equal texts, repeated rows and texts that tie in a fingerprint are one node;
+every row keeps a row of its own. Whole texts count, whatever their length; an
+empty table gives no rows. Only doc_id and text are read, so extra columns of any
+name do no harm. doc_ids are taken to be below 2**62.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.components import components
+from rankloom.llm.lookups import fair_share, lookup
 from rankloom.llm.work import id_text, table
 
 SEED = 42
@@ -222,28 +226,10 @@ def trie_edges(nodes: DataFrame, n: int, budget: int) -> DataFrame:
 
 def groups(prints: DataFrame, budget: int = 4) -> DataFrame:
     """doc_id, fp, component (smallest id reachable; NO_ID or more: none has an id) for a stored table of (doc_id, fp)."""
-    nodes = table(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.col("fp").bitwiseAND(F.lit(NO_ID - 1))).alias("node")), "fp-nodes")
-    linked = components(trie_edges(nodes, nodes.count(), budget))
-    of_fp = nodes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return prints.join(of_fp, "fp").select("doc_id", "fp", "component")
-
-
-def one_of_each(df: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:
-    """The rows of ``df`` without all but one document of each group: the smallest doc_id stays.
-
-    Rows without an id are told apart by their text; of rows that share an id one
-    stays. The documents that go are a stored table, so its size decides between
-    a broadcast and a shuffle.
-    """
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(NO_ID - 1)))
-    keyed = df.select(F.struct(*df.columns).alias("doc"), own.alias("key"))
-    prints = table(fingerprints(keyed.select(F.col("key").alias("doc_id"), "doc.text"), words), "fingerprints")
-    going = table(groups(prints, budget).where("doc_id <> component").select(F.col("doc_id").alias("key")).distinct(), "duplicates")
-    left = keyed.join(going, "key", "left_anti")
-    again = table(prints.groupBy(F.col("doc_id").alias("key")).count().where("count > 1").select("key"), "repeated-ids")
-    if again.take(1):
-        left = left.join(again, "key", "left_anti").unionByName(left.join(again, "key", "left_semi").dropDuplicates(["key"]))
-    return left.select("doc.*")
+    nodes = table(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.col("fp").bitwiseAND(F.lit(NO_ID - 1))).alias("node"), F.count("*").alias("n")), "fp-nodes")
+    linked = components(trie_edges(nodes.select("fp", "node"), nodes.count(), budget))
+    of_fp = table(nodes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component"), "n"), "fp-components")
+    return lookup(prints, of_fp, "fp", fair_share(prints.count(), prints), "inner").select("doc_id", "fp", "component")
 
 
 def near_duplicates(df: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:

@@ -8,6 +8,7 @@ executors, so a lost executor costs only the tasks it was running.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one is set only where none is configured."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("rankloom.work.dir", None)
+    """The session's shared folder; a temporary one is set only where none is configured and all tasks run on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("rankloom.work.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="rankloom-")
         spark.conf.set("rankloom.work.dir", root)
     return root.rstrip("/")
@@ -39,7 +40,16 @@ def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def drop(stored: DataFrame) -> None:
+    """Delete a table made by :func:`table` that no later plan reads."""
+    path = stored._stored_at
+    _delete(stored.sparkSession, path)
+    _made[:] = [x for x in _made if x[1] != path]
 
 
 def path_size(spark: SparkSession, path: str) -> int:
@@ -49,13 +59,17 @@ def path_size(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getLength()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release() -> None:
     """Delete every table made so far. Results that still read them become unreadable."""
     while _made:
         spark, path = _made.pop()
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session is gone; so is the means to delete
             return
 
