@@ -8,12 +8,14 @@ concatenated. Fragments repeat heavily, so each worker keeps a bounded memo.
 A fragment's own pre-tokens come from the byte-level splitting pattern. A cut is
 taken on the whole text only where that pattern breaks as well (a visible byte
 before white space, a letter before a mark) or can't be affected (between two
-ASCII letters); all other forced pairs are cut inside the pre-tokens.
+ASCII letters); all other forced pairs are cut inside the pre-tokens. White space
+beyond ASCII isn't visible: no cut is taken after it.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text. A
 literal special token in a text becomes its id, as the tokenizer's own default
 does. Texts of any length are handled whole; equal texts get equal results;
-repeated rows stay repeated.
+repeated rows stay repeated; a null id stays null; an empty table gives no rows.
+Only the id and the text are read, so extra columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}
 SLAB = 1 << 20  # characters of one text worked on at a time
 MEMO = 600_000  # fragments a worker remembers, in two generations
 NEVER = np.iinfo(np.int64).max
+WIDE_BLANKS = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -89,6 +92,12 @@ class ForcedBoundaryBPE:
         high = np.arange(256) >= 128
         safe = (~space[:, None] & space[None, :]) | (letter[:, None] & (letter | mark)[None, :]) | (high[:, None] & stop[None, :])
         self.cut_here = self.forced & safe.reshape(-1)
+        # a mark after white space beyond ASCII: the pattern looks ahead there, so that place is no certain cut
+        blank = np.zeros(256, dtype=bool)
+        blank[[c.encode()[-1] for c in WIDE_BLANKS]] = True
+        self.doubt = (blank[:, None] & stop[None, :]).reshape(-1)
+        self.before_blank = np.zeros(256, dtype=bool)
+        self.before_blank[[c.encode()[-2] for c in WIDE_BLANKS]] = True
         self.split = regex.compile(PATTERN).findall
         self.plain = re.compile(rb" ?[A-Za-z]+").fullmatch
         self.special = special
@@ -142,7 +151,12 @@ class ForcedBoundaryBPE:
         if len(raw) < 2:
             return [raw] if raw else []
         b = np.frombuffer(raw, dtype=np.uint8).astype(np.uint16)
-        at = (np.flatnonzero(self.cut_here[(b[:-1] << 8) | b[1:]]) + 1).tolist()
+        pair = (b[:-1] << 8) | b[1:]
+        at = np.flatnonzero(self.cut_here[pair])
+        doubt = self.doubt[pair[at]]
+        if doubt.any():
+            at = at[~(doubt & self.before_blank[b[at - 1]])]
+        at = (at + 1).tolist()
         return [raw[i:j] for i, j in zip([0, *at], [*at, len(raw)])]
 
     def _encode_fragments(self, fragments: list[bytes]) -> list[bytes]:
