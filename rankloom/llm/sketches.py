@@ -1,24 +1,28 @@
 """Document fingerprints: threshold-scaled sketches of five-word shingles.
 
-A sketch retains every 48-bit shingle hash below a fixed fraction of the hash
-range, so sketches of any two documents, however unequal, can be compared and
-merged: hashes below the smaller of two thresholds are a fair sample of both. A
-document of at most ``SMALL`` distinct shingles keeps all of them (threshold:
-the whole range), and falls back to the fixed fraction beside larger ones.
-
-A fingerprint is the exponent of its fraction and the retained hashes in hex:
-``3:0a1b...`` keeps an eighth, ``0:...`` everything.
-
-Edge cases: null text is empty; without a word the sketch is empty and alike
-only to other empty ones (likeness 1); fewer than five words make one shingle.
-Equal texts have equal fingerprints. The order is by doc_id, null ids first, and
-by text where ids repeat; a single document follows itself. Whole texts count.
+A sketch retains every 48-bit shingle hash below one fixed fraction of the hash
+range, the same for all documents, so sketches of any two documents, however
+unequal, can be compared and merged: what both retain is a fair sample of both.
+With it goes a hash of the whole shingle set, by which equal sets are known to be
+equal even where a short text's sample is small or empty.
+
+A fingerprint is the exponent of the fraction, the whole set's hash (``-`` for a
+merged sketch) and the retained hashes in hex: ``1.00..:0a1b...`` keeps a half.
+
+Edge cases: null text is empty; without a word the shingle set is empty and alike
+only to other empty ones (likeness 1); fewer than five words make one shingle;
+unequal sets of which nothing is retained have likeness 0. Equal texts have equal
+fingerprints. The order is by doc_id, null ids first, and by text where ids
+repeat; a single document follows itself; an empty table gives no rows. Whole
+texts count. Only doc_id and text are read, so extra columns of any name do no
+harm.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -29,9 +33,9 @@ from pyspark.sql import functions as F
 from rankloom.llm.work import id_text
 
 WORDS = 5
-EXPONENT = 3  # an eighth of all shingle hashes
-SMALL = 64
+EXPONENT = 1  # half of all shingle hashes
 RANGE = 48
+EMPTY = 0
 MEMO = 400_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 NULL_KEY = -(1 << 63)
@@ -75,52 +79,64 @@ class Shingler:
             total += h[k : k + n] * ODD[k]
         return np.unique(mix(total) >> np.uint64(64 - RANGE))
 
-    def sketch(self, text: str) -> tuple[int, np.ndarray]:
-        """(exponent of the fraction, retained hashes, sorted)."""
+    def sketch(self, text: str) -> Sketch:
         h = self.shingles(text)
-        return (0, h) if len(h) <= SMALL else (EXPONENT, below(h, EXPONENT))
+        return Sketch(EXPONENT, below(h, EXPONENT), self.of_word(h.tobytes()) | 1 if len(h) else EMPTY)
+
+
+class Sketch(NamedTuple):
+    exponent: int
+    hashes: np.ndarray  # retained, sorted
+    whole: int | None  # of all shingles; EMPTY: there are none, None: not known
 
 
 def below(h: np.ndarray, exponent: int) -> np.ndarray:
     return h[: np.searchsorted(h, np.uint64(1 << (RANGE - exponent)))]
 
 
-def text_of(sketch: tuple[int, np.ndarray]) -> str:
-    exponent, h = sketch
+def text_of(sketch: Sketch) -> str:
+    exponent, h, whole = sketch
     raw = h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes().hex() if len(h) else ""
-    return f"{exponent}:{raw}"
+    return f"{exponent}.{'-' if whole is None else format(whole, '016x')}:{raw}"
 
 
-def parse(fingerprint: str) -> tuple[int, np.ndarray]:
-    exponent, _, raw = fingerprint.partition(":")
-    return int(exponent), np.array([int(raw[i : i + 12], 16) for i in range(0, len(raw), 12)], dtype=np.uint64)
+def parse(fingerprint: str) -> Sketch:
+    head, _, raw = fingerprint.partition(":")
+    exponent, _, whole = head.partition(".")
+    return Sketch(int(exponent), np.array([int(raw[i : i + 12], 16) for i in range(0, len(raw), 12)], dtype=np.uint64), None if whole == "-" else int(whole, 16))
 
 
-def common(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[int, int, int]:
+def common(a: Sketch, b: Sketch) -> tuple[int, int, int]:
     """Hashes of a, of b and of both below the smaller threshold."""
-    e = max(a[0], b[0])
-    x, y = below(a[1], e), below(b[1], e)
+    e = max(a.exponent, b.exponent)
+    x, y = below(a.hashes, e), below(b.hashes, e)
     return len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))
 
 
-def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
-    """Estimated share of common shingles among all of both, 0 to 1; equal sketches give 1."""
-    if a[0] == b[0] and np.array_equal(a[1], b[1]):
+def same(a: Sketch, b: Sketch) -> bool:
+    return a.whole is not None and a.whole == b.whole
+
+
+def likeness(a: Sketch, b: Sketch) -> float:
+    """Estimated share of common shingles among all of both, 0 to 1; equal sets give 1."""
+    if same(a, b):
         return 1.0
     x, y, both = common(a, b)
     return both / (x + y - both) if x + y - both else 0.0
 
 
-def containment(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
-    """Estimated share of a's shingles that b holds, 0 to 1."""
+def containment(a: Sketch, b: Sketch) -> float:
+    """Estimated share of a's shingles that b holds, 0 to 1; the empty set is held by all."""
+    if same(a, b) or a.whole == EMPTY:
+        return 1.0
     x, _, both = common(a, b)
-    return both / x if x else float(len(a[1]) == 0)
+    return both / x if x else 0.0
 
 
-def merged(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[int, np.ndarray]:
+def merged(a: Sketch, b: Sketch) -> Sketch:
     """The sketch of both documents' shingles together."""
-    e = max(a[0], b[0])
-    return e, np.union1d(below(a[1], e), below(b[1], e))
+    e = max(a.exponent, b.exponent)
+    return Sketch(e, np.union1d(below(a.hashes, e), below(b.hashes, e)), a.whole if same(a, b) else None)
 
 
 def edited(text: str, following: str) -> str:
@@ -147,10 +163,13 @@ def with_next(df: DataFrame) -> DataFrame:
     def part_of(key: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="right").astype(np.int32))
 
-    own = keyed.withColumn("part", part_of("key"))
+    @F.pandas_udf("boolean")
+    def is_head(key: pd.Series) -> pd.Series:
+        return pd.Series(np.isin(key.to_numpy(), np.array(heads, dtype=np.int64)))
+
+    own = keyed.withColumns({"part": part_of("key"), "head": is_head("key")})
     before = F.pmod(F.col("part") - 1, F.lit(len(heads)))
-    head = F.col("key").isin(heads) if len(heads) < 10_000 else F.col("key").isin(spark.createDataFrame([(h,) for h in heads], "key long"))
-    places = F.when(head, F.array(F.struct("part", F.lit(False).alias("last")), F.struct(before.alias("part"), F.lit(True).alias("last")))).otherwise(F.array(F.struct("part", F.lit(False).alias("last"))))
+    places = F.when(F.col("head"), F.array(F.struct("part", F.lit(False).alias("last")), F.struct(before.alias("part"), F.lit(True).alias("last")))).otherwise(F.array(F.struct("part", F.lit(False).alias("last"))))
     dealt = own.select("key", "text", F.explode(places).alias("to")).select("key", "text", "to.part", "to.last")
     return dealt.repartitionById(len(heads), F.col("part")).sortWithinPartitions("last", "key", "text").select("key", "last", "text")
 
