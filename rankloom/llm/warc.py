@@ -12,7 +12,9 @@ Each task writes an archive of its own name, and only archives named in the
 committed manifest are read, so a task that runs twice does no harm. Repeated
 rows of one page_id: one of them is the response, the others revisit that
 page_id. A null page_id sorts before all others. Null urls are written as an
-empty target. An empty table gives no rows.
+empty target. An empty table gives no rows. Payloads of any length are written and
+read whole, one record at a time. Only page_id, url and html are read, so extra
+columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.llm.lookups import fair_share, lookup, maybe
 from rankloom.llm.stores import create_file, open_file
 from rankloom.llm.work import new_path, table
 
@@ -122,25 +125,30 @@ def records(source) -> Iterator[tuple[dict[str, str], bytes]]:
 def write_archives(df: DataFrame, least: int = LEAST) -> DataFrame:
     """Write every page; the manifest (path, n_records) is committed as a table.
 
-    Only digests that occur more than once are joined back to the pages; they are
-    a stored table, so their size decides between a broadcast and a shuffle.
+    Only pages that may share a digest are joined to the digests that occur more
+    than once; a digest of very many pages is broadcast to them (see
+    :mod:`rankloom.llm.lookups`). The others are written where they are read.
     """
     folder = new_path(df.sparkSession, "warc")
     pages = df.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    key = F.when(F.octet_length("html") >= least, F.sha2(F.col("html").cast("binary"), 256))
-    shared = pages.select("page_id", key.alias("key")).where(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("n"), F.min("page_id").alias("first"), F.count_if(F.col("page_id").isNull()).alias("nulls")).where("n > 1")
-    shared = table(shared.select("key", F.when(F.col("nulls") == 0, F.col("first")).alias("first"), F.lit(True).alias("shared")), "warc-shared")
-    # of several rows with the responding page's id, the one that is the response is decided among those rows alone
-    keyed = pages.withColumn("key", key).join(shared, "key", "left")
+    keyed = pages.withColumn("key", F.when(F.octet_length("html") >= least, F.sha2(F.col("html").cast("binary"), 256)))
+    of_page = keyed.select("page_id", "key").where("key IS NOT NULL").groupBy("key", "page_id").agg(F.count("*").alias("rows"))
+    of_key = of_page.groupBy("key").agg(F.sum("rows").alias("n"), F.min(F.struct("page_id", "rows")).alias("lead")).where("n > 1")
+    shared = table(of_key.select("key", "n", F.col("lead.page_id").alias("first"), F.col("lead.rows").alias("leads"), F.lit(True).alias("shared")), "warc-shared")
+    n = shared.agg(F.count("*").alias("keys"), F.sum("n").alias("rows"), F.coalesce(F.max("leads"), F.lit(0)).alias("leads")).first()
+    told = maybe(keyed, F.xxhash64("key"), shared, F.xxhash64("key"), n["keys"])
+    some = told.where("_maybe AND key IS NOT NULL").drop("_maybe")
+    alone = told.where("NOT _maybe OR key IS NULL").select("page_id", "url", "html", F.lit(False).alias("revisit"), F.lit(None).cast("long").alias("first"))
+    found = lookup(some, shared, "key", fair_share(n["rows"] or 0, df)).withColumn("shared", F.coalesce("shared", F.lit(False)))
     leads = F.col("page_id").eqNullSafe(F.col("first"))
-    repeated = table(keyed.where(F.coalesce("shared", F.lit(False)) & leads).groupBy("key").agg(F.count("*").alias("leads")).where("leads > 1"), "warc-repeated")
-    single = keyed.join(repeated, "key", "left") if repeated.take(1) else keyed.withColumn("leads", F.lit(None).cast("long"))
-    plain = single.where(F.col("leads").isNull() | ~F.coalesce(leads, F.lit(False))).withColumn("again", F.lit(1))
-    if repeated.take(1):
-        again = single.where(F.col("leads").isNotNull() & leads)
-        plain = plain.unionByName(again.withColumn("again", F.row_number().over(Window.partitionBy("key").orderBy("url"))))
-    revisit = F.coalesce("shared", F.lit(False)) & (~F.coalesce(leads, F.lit(False)) | (F.col("again") > 1))
-    ready = plain.select("page_id", "url", "html", revisit.alias("revisit"), "first")
+    if n["leads"] > 1:  # several rows with the responding page's id: one of them is the response, by url
+        found = found.withColumn("several", F.col("shared") & leads & (F.col("leads") > 1))
+        again = found.where("several").withColumn("again", F.row_number().over(Window.partitionBy("key").orderBy("url")))
+        found = found.where("NOT several").withColumn("again", F.lit(1)).unionByName(again)
+    else:
+        found = found.withColumn("again", F.lit(1))
+    revisit = F.col("shared") & (~leads | (F.col("again") > 1))
+    ready = alone.unionByName(found.select("page_id", "url", "html", revisit.alias("revisit"), "first"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
@@ -175,13 +183,22 @@ def read_archives(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with open_file(path) as source:
-                    for head, _ in records(source):
+                    for head, body in records(source):
+                        size = int(head["x-payload-length"])
+                        if head["warc-type"] == "response" and size != len(body) - body.index(b"\r\n\r\n") - 4:
+                            raise ValueError("a payload that doesn't match its length")
                         coded = head["warc-payload-digest"].removeprefix("sha256:")
                         hexed = base64.b32decode(coded + "=" * (-len(coded) % 8)).hex()
-                        out.append((page(head["warc-record-id"]), int(head["x-payload-length"]), hexed, head["warc-type"], page(head.get("warc-refers-to")), head["warc-target-uri"]))
+                        out.append((page(head["warc-record-id"]), size, hexed, head["warc-type"], page(head.get("warc-refers-to")), head["warc-target-uri"]))
                         if len(out) >= 2000:
                             yield flush()
         if out:
             yield flush()
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, ARCHIVED)
+    return a_task_each(manifest).mapInArrow(run, ARCHIVED)
+
+
+def a_task_each(manifest: DataFrame) -> DataFrame:
+    """The paths of a manifest, each in a partition of its own."""
+    numbered = manifest.select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("at"))  # a row an archive
+    return numbered.repartitionById(max(1, manifest.count()), F.col("at")).select("path")
