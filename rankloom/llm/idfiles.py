@@ -15,7 +15,9 @@ Documents are dealt by ranges of doc_id and sorted, so files and the documents i
 them ascend; equal doc_ids are ordered by text, null ones come first. Each task
 writes a file of its own name, only files named in the committed manifest are
 read, so a task that runs twice does no harm. Empty and null texts hold the end
-id alone; an empty table gives no rows.
+id alone; an empty table gives no rows; texts of any length are encoded whole;
+repeated rows are written as often as they occur. Only doc_id and text are read,
+so extra columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -145,7 +147,8 @@ def read_digests(manifest: DataFrame) -> DataFrame:
 
 def _each_file(manifest: DataFrame, column: str, kind: pa.DataType, value) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    files = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    at = F.row_number().over(Window.orderBy("part")) - 1
+    files = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"), at.alias("at"))
     names = ["doc_id", "start", "n_tokens", column.split()[0]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,5 +165,5 @@ def _each_file(manifest: DataFrame, column: str, kind: pa.DataType, value) -> Da
                             yield pa.record_batch([pa.array(keys[i:j], pa.int64()), pa.array(at + starts[i:j]), pa.array(lengths[i:j].astype(np.int64)), pa.array(values[i:j], kind)], names=names)
                         at += int(ends[-1]) if len(ends) else 0
 
-    spread = files.repartition(max(1, manifest.count()), F.col("path"))
+    spread = files.repartitionById(max(1, manifest.count()), F.col("at")).select("path", "base")  # a task reads a file
     return spread.mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
