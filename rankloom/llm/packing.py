@@ -7,14 +7,17 @@ several islands: a chromosome is a set of whole sequences, crossover injects
 well-filled sequences of one parent into the other, drops the sequences that
 hold the same pieces and best-fits what that displaced. Between epochs each
 island's elite moves to the next island of its ring; an epoch's state is a table
-in the shared folder, so a lost executor repeats one task of one epoch.
+in the shared folder, so a lost executor repeats one task of one epoch. A block
+evolves until it has as few sequences as its tokens need, or no island got better
+for ``PATIENCE`` epochs.
 
 A block of n pieces wastes at most a sequence or two against one large problem,
 so blocks cost nothing noticeable and no task ever sees more than one block.
 
 Edge cases: null and empty texts hold the end id alone; repeated rows are packed
 as often as they occur; texts of any length are cut whole; an empty table gives
-no rows.
+no rows; pieces of equal length are placed in the order of their rows. Only doc_id
+and text are read, so extra columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,11 +40,11 @@ from rankloom.llm.work import id_text, table
 
 BLOCK = 8192  # pieces of one packing problem, on average
 ISLANDS = 3
-EPOCHS = 2
-POPULATION = 4
-CROSSOVERS = 4  # in an epoch, on each island
+PATIENCE = 2  # epochs without a better packing on any island before a block is settled
+POPULATION = 6
+CROSSOVERS = 24  # in an epoch, on each island
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
-STATE = "block long, island int, rows binary, lengths binary, sequences long, fill double, population array<binary>"
+STATE = "block long, island int, rows binary, lengths binary, sequences long, fill double, population array<binary>, quiet int"
 
 
 def cut_pieces(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
@@ -116,26 +120,65 @@ def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int,
     return compact(child)
 
 
+def gap_filled(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Each sequence begins with the longest piece left and takes the piece, or the two pieces, that fill its gap best."""
+    left = np.bincount(lengths, minlength=capacity + 1)
+    order = np.argsort(lengths, kind="stable")
+    next_of = np.cumsum(left) - left  # where the pieces of a length not yet placed begin in ``order``
+    bins, n = np.zeros(len(lengths), dtype=np.int64), 0
+    while True:
+        sizes = np.flatnonzero(left)
+        if not len(sizes):
+            return compact(bins)
+        gap, take = capacity, [int(sizes[-1])]
+        while take:
+            for size in take:
+                bins[order[next_of[size]]] = n
+                next_of[size] += 1
+                left[size] -= 1
+                gap -= size
+            sizes = np.flatnonzero(left[: gap + 1])
+            take = []
+            if len(sizes):
+                one, take = int(sizes[-1]), [int(sizes[-1])]
+                other = np.searchsorted(sizes, gap - sizes, side="right") - 1
+                other -= (other >= 0) & (sizes[other] == sizes) & (left[sizes] < 2)
+                pair = np.where(other >= 0, sizes + sizes[other], 0)
+                k = int(np.argmax(pair))
+                if pair[k] > one:
+                    take = [int(sizes[k]), int(sizes[other[k]])]
+        n += 1
+
+
 def first_population(lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> list[np.ndarray]:
-    """Best-fit by falling length, and by falling length under growing noise."""
+    """Best-fit by falling length; where that isn't perfect, also by filled gaps and by falling length under growing noise."""
     out = []
     for k in range(POPULATION):
         noisy = lengths * (1 + 0.15 * k * rng.random(len(lengths)))
         bins = np.zeros(len(lengths), dtype=np.int64)
         best_fit(np.argsort(-noisy, kind="stable").tolist(), lengths.tolist(), bins, [], 0, capacity)
         out.append(compact(bins))
+        if k == 0:
+            if score(out[0], lengths, capacity)[0] <= fewest(lengths, capacity):
+                break
+            out.append(gap_filled(lengths, capacity))
     return out
 
 
+def fewest(lengths: np.ndarray, capacity: int) -> int:
+    """No packing has fewer sequences: all tokens need a place, and no two pieces longer than a half share one."""
+    return max(-(-int(lengths.sum()) // capacity), int((2 * lengths > capacity).sum()))
+
+
 def evolve(population: list[np.ndarray], lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> list[np.ndarray]:
     """The fittest first; stops early once no packing can have fewer sequences."""
-    least = -(-int(lengths.sum()) // capacity)
-    ranked = sorted(population, key=lambda x: score(x, lengths, capacity))[:POPULATION]
+    rank = lambda people: [x for _, x in sorted(((score(x, lengths, capacity), x) for x in people), key=lambda p: p[0])[:POPULATION]]
+    ranked = rank(population)
     for _ in range(CROSSOVERS):
-        if score(ranked[0], lengths, capacity)[0] <= least or len(ranked) < 2:
+        if score(ranked[0], lengths, capacity)[0] <= fewest(lengths, capacity) or len(ranked) < 2:
             break
         i, j = rng.choice(len(ranked), size=2, replace=False)
-        ranked = sorted([*ranked, crossover(ranked[i], ranked[j], lengths, capacity, rng)], key=lambda x: score(x, lengths, capacity))[:POPULATION]
+        ranked = rank([*ranked, crossover(ranked[i], ranked[j], lengths, capacity, rng)])
     return ranked
 
 
@@ -149,8 +192,8 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
         lengths = pdf["length"].to_numpy(dtype=np.int64)
         block, out = int(pdf["block"].iloc[0]), []
         for island in range(ISLANDS):
-            out.append((block, island, pdf["row"].to_numpy("<i8").tobytes(), lengths.astype("<i4").tobytes(), 0, 0.0, []))
-        return pd.DataFrame(out, columns=["block", "island", "rows", "lengths", "sequences", "fill", "population"])
+            out.append((block, island, pdf["row"].to_numpy("<i8").tobytes(), lengths.astype("<i4").tobytes(), 0, 0.0, [], 0))
+        return pd.DataFrame(out, columns=["block", "island", "rows", "lengths", "sequences", "fill", "population", "quiet"])
 
     def epoch(k: int):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,15 +206,25 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
                         people.append(np.frombuffer(s.elite, dtype="<i4"))
                     people = evolve(people, lengths, capacity, rng)
                     n, fill = score(people[0], lengths, capacity)
-                    yield pd.DataFrame([(s.block, s.island, s.rows, s.lengths, n, fill, [p.astype("<i4").tobytes() for p in people])], columns=["block", "island", "rows", "lengths", "sequences", "fill", "population"])
+                    quiet = -1 if n <= fewest(lengths, capacity) else s.quiet + 1 if k and n >= s.sequences else 0
+                    yield pd.DataFrame([(s.block, s.island, s.rows, s.lengths, n, fill, [p.astype("<i4").tobytes() for p in people], quiet)], columns=["block", "island", "rows", "lengths", "sequences", "fill", "population", "quiet"])
 
         return run
 
     state = rest.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).groupBy("block").applyInPandas(found, STATE)
-    state = table(state.repartition("block", "island").mapInPandas(epoch(0), STATE), "islands-0")
-    for k in range(1, EPOCHS):
-        moved = state.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("population")[0].alias("elite"))
-        state = table(state.join(moved, ["block", "island"], "left").mapInPandas(epoch(k), STATE), f"islands-{k}")
+    active, settled, k = table(state.repartition("block", "island").mapInPandas(epoch(0), STATE), "islands-0"), [], 0
+    while True:
+        # a block is settled once an island can't be better (quiet is -1), or all have been quiet
+        ended = active.groupBy("block").agg(((F.min("quiet") < 0) | (F.min("quiet") >= PATIENCE)).alias("ended"))
+        told = active.join(ended, "block")
+        settled.append(told.where("ended").drop("ended"))
+        active = told.where("NOT ended").drop("ended")
+        if not active.take(1):
+            break
+        k += 1
+        moved = active.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("population")[0].alias("elite"))
+        active = table(active.join(moved, ["block", "island"], "left").mapInPandas(epoch(k), STATE), f"islands-{k}")
+    state = reduce(DataFrame.unionByName, settled)
 
     best = state.groupBy("block").agg(F.min(F.struct("sequences", "fill", "island")).alias("best"))
     chosen = state.join(best.select("block", F.col("best.island").alias("island")), ["block", "island"]).select("block", "rows", "lengths", F.col("population")[0].alias("bins"))
