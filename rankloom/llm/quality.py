@@ -11,6 +11,8 @@ are not judged by words, nor is anything if no reference could be fitted.
 
 Edge cases: null and empty texts have no words and fail the base rule. Whole
 texts are counted; repeated rows are repeated; an empty table gives no rows.
+Documents that tie with a limit are kept. Extra columns of any name are kept by
+:func:`keep` and not read by :func:`report`.
 """
 
 from __future__ import annotations
@@ -56,52 +58,56 @@ def with_classes(df: DataFrame) -> DataFrame:
 
 
 def common_words(words: Column) -> Column:
-    return F.filter(F.transform(words, F.lower), lambda w: w.isin(WORDS))
+    return F.transform(F.filter(words, lambda w: F.lower(w).isin(WORDS)), F.lower)
 
 
 def repeat_words(words: Column) -> Column:
     """Words inside five-word windows that occur twice or more in the text.
 
-    Windows are sorted with their positions, so equal ones are neighbours; the
-    sorted positions then cover five words each, less their overlap.
+    Windows are told apart by a hash of their words' hashes. They are sorted with
+    their positions, so equal ones are neighbours, and neighbours of equal hashes
+    are compared word by word; the sorted positions of those found then cover
+    five words each, less their overlap.
     """
-    at = F.sequence(F.lit(0), F.size(words) - 5)
-    five = lambda i: [F.get(words, i + k) for k in range(5)]
-    windows = F.transform(at, lambda i: F.concat_ws(" ", *five(i)))
-    hashes = F.transform(at, lambda i: F.xxhash64(*five(i)))
+    none = F.lit(0).cast("long")
+    five = lambda x: F.slice(words, x["i"] + 1, 5)
+
+    def windows(h: Column) -> Column:
+        return F.transform(F.slice(h, F.lit(1), F.size(h) - 4), lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, 5))))
 
     def covered(at: Column) -> Column:
         steps = F.transform(at, lambda p, k: F.least(F.lit(5), F.coalesce(F.get(at, k + 1) - p, F.lit(5))))
-        return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.aggregate(steps, none, lambda a, x: a + x)
 
     def positions(s: Column) -> Column:
-        again = lambda x, k: x["w"].eqNullSafe(F.get(s, k - 1)["w"]) | x["w"].eqNullSafe(F.get(s, k + 1)["w"])
-        return F.sort_array(F.transform(F.filter(s, again), lambda x: x["i"]))
+        equal = lambda x, y: x["w"].eqNullSafe(y["w"]) & (five(x) == five(y))
+        return F.sort_array(F.transform(F.filter(s, lambda x, k: equal(x, F.get(s, k - 1)) | equal(x, F.get(s, k + 1))), lambda x: x["i"]))
 
     def counted(w: Column) -> Column:
-        return let(let(F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i")))), positions), covered)
+        listed = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
+        # without two equal hashes there are no equal windows, and most texts need no more than that
+        return F.when(F.size(F.array_distinct(w)) == F.size(w), none).otherwise(let(let(listed, positions), covered))
 
-    none = F.lit(0).cast("long")
-    # without two equal hashes there are no equal windows, and most texts need no more than that
-    return F.when(F.size(words) < 5, none).when(let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h)), none).otherwise(let(windows, counted))
+    return F.when(F.size(words) < 5, none).otherwise(let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), counted))
 
 
 def references(df: DataFrame) -> dict[str, tuple[dict[str, float], dict[str, float]]]:
     """Shares of character classes and of common words (and other words, '') for each language of COMMON."""
-    known = df.where(F.col("lang").isin(sorted(COMMON)))
-    chars = with_classes(known).groupBy("lang").agg(*(F.sum(f"n_{n}").alias(n) for n in NAMES))
-    named = F.transform("words", lambda w: F.when(F.lower(w).isin(WORDS), F.lower(w)).otherwise(F.lit("")))
-    # one row a word, but at most one a language and common word leaves each task
-    words = with_words(known).select("lang", F.explode(named).alias("w")).groupBy("lang", "w").count()
-    of_words: dict[str, dict[str, int]] = {}
-    for r in words.collect():  # languages x common words
-        of_words.setdefault(r.lang, {})[r.w] = r["count"]
+    known = with_classes(with_words(df.where(F.col("lang").isin(sorted(COMMON)))))
+    counts = [F.struct(F.lit(f"#{n}").alias("key"), F.col(f"n_{n}").alias("n")) for n in NAMES]
+    counts.append(F.struct(F.lit("#words").alias("key"), F.size("words").cast("long").alias("n")))
+    listed = F.transform(common_words(F.col("words")), lambda w: F.struct(w.alias("key"), F.lit(1).cast("long").alias("n")))
+    # a row a class and common word of each document, but at most one a language and key leaves each task
+    sums = known.select("lang", F.explode(F.concat(F.array(*counts), listed)).alias("c")).groupBy("lang", "c.key").agg(F.sum("c.n").alias("n"))
+    seen: dict[str, dict[str, int]] = {}
+    for r in sums.collect():  # languages x (classes and common words)
+        seen.setdefault(r.lang, {})[r.key] = r.n
     out = {}
-    for r in chars.collect():  # a row a language
-        total, seen = sum(r[n] for n in NAMES), of_words.get(r.lang, {})
-        if total and seen:
-            share = {w: max(seen.get(w, 0) / sum(seen.values()), FLOOR) for w in WORDS}
-            out[r.lang] = ({n: r[n] / total for n in NAMES}, share | {"": max(1 - sum(share.values()), FLOOR)})
+    for lang, n in seen.items():
+        total, words = sum(n[f"#{x}"] for x in NAMES), n["#words"]
+        if total and words:
+            share = {w: max(n.get(w, 0) / words, FLOOR) for w in WORDS}
+            out[lang] = ({x: n[f"#{x}"] / total for x in NAMES}, share | {"": max(1 - sum(share.values()), FLOOR)})
     return out
 
 
