@@ -12,6 +12,41 @@ POSITION_MULTIPLIER = {"FW": 1.0, "MF": 1.5, "DF": 2.0, "GK": 3.0, "Unknown": 1.
 POSITION_RARITY = {"FW": 0.5, "MF": 1.0, "DF": 2.0, "GK": 3.0, "Unknown": 1.0}
 WORLD_CUP_YEARS = [1930, 1934, 1938, *range(1950, 2023, 4)]
 EURO_YEARS = [*range(1960, 2025, 4)]
+COPA_YEARS = [
+    1916, 1917, 1919, 1920, 1921, 1922, 1923, 1924, 1925, 1926, 1927, 1929, 1935, 1937, 1939, 1941, 1942, 1945, 1946, 1947, 1949, 1953, 1955, 1956,
+    1957, 1959, 1963, 1967, 1975, 1979, 1983, 1987, 1989, 1991, 1993, 1995, 1997, 1999, 2001, 2004, 2007, 2011, 2015, 2016, 2019, 2021, 2024,
+]
+# Clubs by prestige and by their league's visibility.
+PRESTIGE_1 = (
+    "real madrid|barcelona|bayern munich|bayern de múnich|fc bayern münchen|manchester united|man united|liverpool|juventus|ac milan|milan|inter milan|internazionale|inter|ajax|"
+    "paris saint-germain|psg|paris saint germain|paris-saint-germain|manchester city|man city|chelsea|arsenal"
+).split("|")
+PRESTIGE_2 = (
+    "atletico madrid|atlético madrid|atletico de madrid|atlético de madrid|borussia dortmund|bvb|tottenham hotspur|tottenham|spurs|napoli|roma|as roma|lazio|ssc napoli|sevilla|valencia|"
+    "atletico de kolkata|port fc|benfica|sporting cp|sporting lisbon|porto|fc porto|celtic|rangers|marseille|olympique de marseille|om|lyon|ol|monaco|as monaco|everton|newcastle united|"
+    "aston villa|leicester city|atletico mineiro|flamengo|palmeiras|são paulo|santos|botafogo|vasco da gama|cruzeiro|grêmio|internacional|river plate|boca juniors|independiente|racing club|estudiantes"
+).split("|")
+VISIBLE_1 = (
+    "manchester united|manchester city|liverpool|chelsea|arsenal|tottenham|everton|leicester|real madrid|barcelona|atletico madrid|atlético madrid|atletico de madrid|valencia|sevilla|villarreal|"
+    "juventus|ac milan|milan|inter milan|internazionale|inter|napoli|roma|as roma|lazio|fiorentina|bayern munich|bayern de múnich|fc bayern münchen|borussia dortmund|bayer leverkusen|schalke|"
+    "rb leipzig|paris saint-germain|psg|paris saint germain|marseille|monaco|lyon|ol|lille"
+).split("|")
+VISIBLE_2 = (
+    "benfica|sporting cp|sporting lisbon|porto|fc porto|ajax|psv|psv eindhoven|feyenoord|zenit|cska moscow|spartak moscow|galatasaray|fenerbahce|fenerbahçe|besiktas|beşiktaş|celtic|rangers|"
+    "anderlecht|club brugge|dynamo kyiv|dynamo kiev|shakhtar donetsk|red bull salzburg|basel"
+).split("|")
+# Nations by continent.
+NATIONS = {
+    "Europe": (
+        "England|Scotland|Wales|Northern Ireland|France|Germany|West Germany|East Germany|Italy|Spain|Portugal|Netherlands|Belgium|Sweden|Denmark|Norway|Finland|Ireland|Republic of Ireland|Austria|Switzerland|"
+        "Czech Republic|Czechoslovakia|Hungary|Poland|Romania|Bulgaria|Yugoslavia|Croatia|Serbia|Serbia and Montenegro|Bosnia and Herzegovina|Slovenia|Soviet Union|Russia|Ukraine|Belarus|Georgia|Lithuania|Greece|Turkey"
+    ),
+    "South America": "Brazil|Argentina|Uruguay|Colombia|Chile|Peru|Paraguay|Ecuador|Venezuela|Bolivia",
+    "Africa": "Liberia|Egypt|Nigeria|Ghana|Cameroon|Senegal|Ivory Coast|Côte d'Ivoire|Morocco|Algeria|Tunisia|South Africa|Mali|Guinea|Gabon|Congo|DR Congo|Zaire|Kenya",
+    "Asia": "Japan|South Korea|Korea Republic|Korea DPR|China|Iran|Iraq|Saudi Arabia|Australia",
+    "North America": "United States|USA|Mexico|Costa Rica|Canada|Honduras",
+}
+CONTINENTS = {nation: c for c, names in NATIONS.items() for nation in names.split("|")}
 
 
 def safe_div(a: Column, b: Column) -> Column:
@@ -40,8 +75,10 @@ def lookup(c: Column, table: dict, default=None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
-def continent(nation: Column, table: dict[str, str]) -> Column:
-    return F.when(F.coalesce(F.trim(nation), F.lit("")) == "", "Unknown").otherwise(lookup(nation, table, "Other"))
+def continent(nation: Column, table: dict[str, str] = CONTINENTS) -> Column:
+    """The nation's continent; Unknown where it is blank, Other where the table lacks it."""
+    name = F.trim(nation)
+    return F.when(F.coalesce(name, F.lit("")) == "", "Unknown").otherwise(lookup(name, table, "Other"))
 
 
 def substring_tier(name: Column, first: list[str], second: list[str], whole_words: bool = False) -> Column:
@@ -55,6 +92,14 @@ def substring_tier(name: Column, first: list[str], second: list[str], whole_word
     return F.when(low == "", 4).when(any_of(first), 1).when(any_of(second), 2).otherwise(3)
 
 
+def prestige_tier(club: Column, whole_words: bool = False) -> Column:
+    return substring_tier(club, PRESTIGE_1, PRESTIGE_2, whole_words)
+
+
+def visibility_tier(club: Column, whole_words: bool = False) -> Column:
+    return substring_tier(club, VISIBLE_1, VISIBLE_2, whole_words)
+
+
 def position(raw: Column) -> Column:
     low = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
     has = lambda *xs: reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in xs])
@@ -66,6 +111,22 @@ def gated(flag: Column, x: Column) -> Column:
     return F.when(F.coalesce(flag, F.lit(False)), F.coalesce(x, F.lit(0))).otherwise(F.lit(0))
 
 
+def heroism(continental_goals: Column, total_goals: Column, international_goals: Column, international_apps: Column, tournament: Column, club_cup: Column, world_cup: Column) -> dict[str, Column]:
+    """Shares and rates of decisive goals, and goals that count only in the year of a tournament or title."""
+    return {
+        "continental_goals_ratio": safe_div(continental_goals, total_goals),
+        "international_goals_per_app": safe_div(international_goals, international_apps),
+        "tournament_year_boost": gated(tournament, international_goals),
+        "ucl_winner_goalscorer": gated(club_cup, continental_goals),
+        "wc_winner_goalscorer": gated(world_cup, international_goals),
+    }
+
+
+def adjusted_contribution(expected_goals: Column, expected_assists: Column, at: Column) -> Column:
+    """Expected goals and assists, weighted by how rarely the position scores; null if neither is known."""
+    return sum_known(expected_goals, expected_assists) * lookup(at, POSITION_MULTIPLIER, 1.0)
+
+
 def signature_moment(club_cup: Column, world_cup: Column, international_goals: Column) -> Column:
     g = F.coalesce(international_goals, F.lit(0))
     c, w = F.coalesce(club_cup, F.lit(False)), F.coalesce(world_cup, F.lit(False))
@@ -87,3 +148,13 @@ def coverage_grade(share: Column) -> Column:
 
 def as_number(c: Column) -> Column:
     return F.coalesce(c.cast("double"), F.lit(0.0))
+
+
+def percent(share: Column, digits: int = 1) -> Column:
+    """0.3387 as ``33.9%``; null stays null."""
+    return F.concat(F.format_string(f"%.{digits}f", 100 * share), F.lit("%"))
+
+
+def signed(x: Column, digits: int = 3) -> Column:
+    """A number with its sign: ``+0.250``."""
+    return F.when(x.isNotNull(), F.format_string(f"%+.{digits}f", x))

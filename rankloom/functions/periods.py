@@ -45,13 +45,27 @@ def eval_period(year: Column) -> Column:
     )
 
 
-def detect_period(intro: Column) -> Column:
-    """'season' or 'calendar_year' where an introduction says so, else null."""
-    return F.when(F.rlike(intro, F.lit(r"(?i)\d{4}[-–]\d{2,4}\s+(football\s+)?season|1 August \d{4}")), F.lit("season")).when(F.rlike(intro, F.lit(r"(?i)calendar year|in the year \d{4}|between January")), F.lit("calendar_year"))
+# How introductions name an evaluation period.
+SEASON_NAMED = r"(?i)(\d{4})[-–](\d{2,4})\s+(?:European\s+)?season"
+DATES_NAMED = r"(?i)(\d{1,2}\s+\w+\s+\d{4})\s+to\s+(\d{1,2}\s+\w+\s+\d{4})"
 
 
-def verification(expected: Column, found: Column) -> Column:
-    return F.when(found.isNull(), F.lit("inferred_from_rule")).when(found == expected, F.lit("verified")).otherwise(F.lit("discrepancy"))
+def detect_period(intro: Column) -> Column:
+    """struct(kind, start, end, first_day, last_day) of what an introduction says: a season's years, two dates, or nothing."""
+    start = F.regexp_extract(intro, SEASON_NAMED, 1).try_cast("int")
+    tail = F.regexp_extract(intro, SEASON_NAMED, 2)
+    years = season_years(F.concat(start.cast("string"), F.lit("-"), tail))
+    first, last = (F.nullif(F.regexp_extract(intro, DATES_NAMED, k), F.lit("")) for k in (1, 2))
+    kind = F.when(start.isNotNull(), F.lit("season")).when(first.isNotNull(), F.lit("season_explicit_dates"))
+    dates = kind == "season_explicit_dates"
+    none = F.lit(None).cast("string")
+    return F.struct(kind.alias("kind"), start.alias("start"), F.coalesce(years["end"], F.when(start.isNotNull(), tail.try_cast("int"))).alias("end"), F.when(dates, first).otherwise(none).alias("first_day"), F.when(dates, last).otherwise(none).alias("last_day"))
+
+
+def verification(year: Column, rule: Column, found: Column) -> Column:
+    """Whether what an introduction says (see :func:`detect_period`) agrees with the rule's kind for that year."""
+    agrees = (rule == "season") & ((found["kind"] == "season_explicit_dates") | ((found["start"] == year - 1) & (found["end"] == year)))
+    return F.when(found["kind"].isNull(), F.lit("inferred_from_rule")).when(F.coalesce(agrees, F.lit(False)), F.lit("verified")).otherwise(F.lit("discrepancy"))
 
 
 def era(year: Column) -> Column:

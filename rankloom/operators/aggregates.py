@@ -43,10 +43,96 @@ def duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def rank_gaps(df: DataFrame, group: Sequence[str], rank: str) -> DataFrame:
-    seen = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.max(rank).alias("max_rank"), F.collect_set(F.col(rank).cast("int")).alias("seen"))
-    missing = F.array_sort(F.array_except(F.sequence(F.lit(1), F.col("max_rank").cast("int")), "seen"))
-    return seen.select(*group, "n", "max_rank", F.size(missing).cast("long").alias("n_missing"), missing.alias("missing"))
+def rank_gaps(df: DataFrame, group: Sequence[str], rank: str, most: int = 10) -> DataFrame:
+    """group, n, max_rank, n_missing and the first ``most`` missing ranks of 1..max_rank.
+
+    Neighbouring distinct ranks tell the gaps, so neither all ranks nor all missing ones meet in a row.
+    """
+    r = F.col(rank).cast("long")
+    rows = df.groupBy(*group, r.alias("_r")).agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.lag("_r").over(Window.partitionBy(*group).orderBy("_r")), F.lit(0))
+    gaps = rows.select(*group, "_r", "_c", before.alias("_before")).withColumn("_gap", F.greatest(F.col("_r") - F.col("_before") - 1, F.lit(0)))
+    run = F.when(F.col("_gap") > 0, F.sequence(F.col("_before") + 1, F.col("_before") + F.least("_gap", F.lit(most))))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("_r"))
+    some = gaps.where("_gap > 0").withColumn("_k", place).where(F.col("_k") <= most)
+    listed = some.select(*group, run.alias("_run")).groupBy(*group).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_run"))), 1, most).alias("missing"))  # ``most`` runs a group
+    sums = gaps.groupBy(*group).agg(F.sum("_c").alias("n"), F.max("_r").alias("max_rank"), F.sum("_gap").alias("n_missing"))
+    return sums.join(listed, list(group), "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<bigint>")))
+
+
+def known_sums_and_sets(df: DataFrame, key: Sequence[str], values: Sequence[str], sets: Sequence[str]) -> DataFrame:
+    """As :func:`known_sums`, with the sorted distinct known values of ``sets`` (a key's leagues or teams: a handful)."""
+    return df.groupBy(*key).agg(*(F.sum(v).alias(v) for v in values), *(F.array_sort(F.collect_set(c)).alias(f"{c}s") for c in sets), F.count(F.lit(1)).alias("n_rows"))
+
+
+def records_by_key(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """key, records: the rows of each key as an array of structs, in their own order.
+
+    For keys that own few rows by nature (a player's seasons); a join serves the others.
+    """
+    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("records"))
+
+
+def frequencies(df: DataFrame, items: str, name: str = "item") -> DataFrame:
+    """How often each element of an array column occurs, most common first."""
+    return value_counts(df.select(F.explode(items).alias(name)), name)
+
+
+def inverse_frequency(df: DataFrame, column: str) -> DataFrame:
+    """column, n, inverse: total / count of each value."""
+    counted = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    total = counted.agg(F.sum("n").alias("_total"))
+    return counted.join(F.broadcast(total)).select(column, "n", (F.col("_total") / F.col("n")).alias("inverse"))  # one row
+
+
+def nested_counts(df: DataFrame, outer: str, inner: str) -> DataFrame:
+    """outer, counts: a map from each value of ``inner`` to its count (few distinct values)."""
+    n = df.where(F.col(inner).isNotNull()).groupBy(outer, inner).agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy(outer).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(inner).cast("string"), "n")))).alias("counts"))
+
+
+def array_lengths(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per array column the sum of lengths and how many rows have any element; one row."""
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    return df.agg(*(F.sum(F.greatest(size(c), F.lit(0))).alias(f"{c}_total") for c in columns), *(F.count_if(size(c) > 0).alias(f"{c}_rows") for c in columns))
+
+
+def head_and_more(df: DataFrame, group: Sequence[str], item: str, most: int = 20) -> DataFrame:
+    """group, items (the first ``most`` in order), more: how many are left out of the detail list."""
+    w = Window.partitionBy(*group).orderBy(item)
+    some = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return some.join(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_all")), list(group)).select(*group, "items", F.greatest(F.col("_all") - most, F.lit(0)).alias("more"))
+
+
+def without_totals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows whose season, club or team says total or career are sums of other rows and go."""
+    said = reduce(lambda a, b: a | b, [F.coalesce(F.lower(c).rlike("total|career"), F.lit(False)) for c in columns])
+    return df.where(~said)
+
+
+def parsed_or_skipped(df: DataFrame, needed: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows in which all of ``needed`` are known, and one row: skipped, the number of the others."""
+    bad = reduce(lambda a, b: a | b, [F.col(c).isNull() | (F.col(c).cast("string") == "") for c in needed])
+    return df.where(~bad), df.agg(F.count_if(bad).alias("skipped"))
+
+
+def in_schema_order(df: DataFrame, schema: Sequence[str]) -> DataFrame:
+    """The listed columns that exist, in the list's order."""
+    return df.select([c for c in schema if c in df.columns])
+
+
+def without_empty_rows(df: DataFrame) -> DataFrame:
+    return df.dropna("all")
+
+
+def era_gated(df: DataFrame, year: str, since: int, columns: Sequence[str]) -> DataFrame:
+    """Columns that exist only from a year on are null before it."""
+    return df.withColumns({c: F.when(F.col(year) >= since, F.col(c)) for c in columns})
+
+
+def point_lookup(df: DataFrame, **equal) -> DataFrame:
+    """The row of a key, at most one."""
+    return df.where(reduce(lambda a, b: a & b, [F.col(c) == v for c, v in equal.items()])).limit(1)
 
 
 def quality_checks(df: DataFrame, expected_years: Sequence[int], year: str = "award_year", name: str = "player_name_raw") -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions import periods
 from rankloom.functions.text import token_sort_ratio
 
 
@@ -19,12 +21,36 @@ def with_default(left: DataFrame, right: DataFrame, on: Sequence[str], column: s
 def substring_match(left: DataFrame, right: DataFrame, on: Sequence[str], name: str, other: str, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First right row, in file order, of the same group whose name equals, holds or is held by the left one's.
 
-    The group columns carry the equi-join; the substring test is a residual on what meets there.
+    The group columns carry the equi-join; the substring test is a residual on what
+    meets there. The first is an aggregate, so matches shrink before they are shuffled.
     """
     a, b = F.lower(F.trim(name)), F.lower(F.trim(other))
     met = left.join(right, list(on)).where((a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a)))
-    w = Window.partitionBy(*key).orderBy(*order)
-    return met.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    rest = [c for c in met.columns if c not in key]
+    first = met.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    return first.select(*key, "_first.*")
+
+
+def first_substring(name: Column, entries: Sequence[str]) -> Column:
+    """The first of a few literal entries that holds or is held by the name: a CASE, no join."""
+    a = F.lower(F.trim(name))
+    return reduce(lambda otherwise, x: F.when((a != "") & (F.contains(a, F.lit(x)) | F.contains(F.lit(x), a)), F.lit(x)).otherwise(otherwise), reversed(entries), F.lit(None).cast("string"))
+
+
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def letters(c: Column) -> Column:
+    """How often each letter of ALPHABET occurs, and how many other characters there are."""
+    counts = [F.length(c) - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in ALPHABET]
+    other = reduce(lambda a, b: a - b, counts, F.length(c))
+    return F.array(*counts, other)
+
+
+def could_reach(a: Column, b: Column, m: Column, n: Column, least: float) -> Column:
+    """Whether two strings of letter counts a, b and lengths m, n can have the ratio: no common subsequence is longer than their common letters."""
+    common = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return 200 * common >= F.lit(least) * (m + n)
 
 
 def blocked_pairs(left: DataFrame, right: DataFrame, name: str, other: str, least: float = 90.0) -> DataFrame:
@@ -32,12 +58,16 @@ def blocked_pairs(left: DataFrame, right: DataFrame, name: str, other: str, leas
 
     A ratio r of lengths m, n has a common subsequence of r (m + n) / 200
     characters, so the lengths obey min / max >= r / (200 - r). Lengths are cut
-    into bands growing by that factor and only neighbouring bands are joined.
+    into bands growing by that factor and only neighbouring bands are joined. Of
+    these, pairs without enough letters in common go before any Python sees them.
     """
     grow = (200 - least) / least
-    band = lambda c: F.floor(F.log(F.greatest(F.length(F.regexp_replace(F.trim(c), r"\s+", " ")), F.lit(1))) / F.log(F.lit(grow)))
-    near = left.withColumn("_band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: band(F.col(name)) + d)))
-    return near.join(right.withColumn("_band", band(F.col(other))), "_band").drop("_band")
+    plain = lambda c: F.regexp_replace(F.trim(c), r"\s+", " ")
+    band = lambda c: F.floor(F.log(F.greatest(F.length(plain(c)), F.lit(1))) / F.log(F.lit(grow)))
+    side = lambda df, c, at: df.withColumns({f"_{at}": letters(plain(F.col(c))), f"_{at}n": F.length(plain(F.col(c)))})
+    near = side(left, name, "x").withColumn("_band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: band(F.col(name)) + d)))
+    met = near.join(side(right, other, "y").withColumn("_band", band(F.col(other))), "_band")
+    return met.where(could_reach(F.col("_x"), F.col("_y"), F.col("_xn"), F.col("_yn"), least)).drop("_band", "_x", "_y", "_xn", "_yn")
 
 
 def best_match(left: DataFrame, right: DataFrame, name: str, other: str, key: str, order: str, least: float = 90.0) -> DataFrame:
@@ -51,25 +81,78 @@ def cascade(names: DataFrame, known: DataFrame, aliases: DataFrame, order: Seque
     """name, target, method, score: each name by the first step that finds it.
 
     ``known``: target (unique), norm, pos. ``names``: name, norm. ``aliases``: name, canonical.
-    Each step sees only what earlier ones left. An alias without a known target
-    needs a refetch; what no step finds has failed.
+    Each step is a left join whose result counts for the names still open, so
+    nothing is computed twice. Of targets with equal norms the first by pos counts.
+    An alias without a known target needs a refetch; what no step finds has failed.
     """
-    targets = known.select("target", "norm", "pos").dropDuplicates(["norm"])
-    left, parts = names.select("name", "norm"), []
+    targets = known.groupBy("norm").agg(F.min_by("target", "pos").alias("_t"), F.min("pos").alias("_pos"))
+    none = F.lit(None).cast("string")
+    state = names.select("name", "norm", none.alias("target"), none.alias("method"), F.lit(None).cast("double").alias("score"))
+    open_ = F.col("method").isNull()
+
+    def taken(met: DataFrame, hit: Column, target: Column, method: Column, score: Column) -> DataFrame:
+        now = open_ & hit
+        return met.select("name", "norm", F.when(now, target).otherwise(F.col("target")).alias("target"), F.when(now, score).otherwise(F.col("score")).alias("score"), F.when(now, method).otherwise(F.col("method")).alias("method"))
+
     for step in order:
         if step == "exact":
-            found = left.join(targets, "norm").select("name", "target", F.lit("exact").alias("method"), F.lit(100.0).alias("score"))
+            met = state.join(targets, "norm", "left")
+            state = taken(met, F.col("_t").isNotNull(), F.col("_t"), F.lit("exact"), F.lit(100.0))
         elif step == "alias":
-            found = left.join(aliases, "name").join(known.select(F.col("target").alias("canonical"), F.lit(True).alias("_has")), "canonical", "left")
-            found = found.select("name", F.when(F.col("_has"), F.col("canonical")).alias("target"), F.when(F.col("_has"), "alias").otherwise("alias_needs_refetch").alias("method"), F.lit(None).cast("double").alias("score"))
+            said = aliases.groupBy("name").agg(F.min("canonical").alias("_c"))
+            met = state.join(said, "name", "left").join(known.select(F.col("target").alias("_c"), F.lit(True).alias("_has")).distinct(), "_c", "left")
+            has = F.coalesce("_has", F.lit(False))
+            state = taken(met, F.col("_c").isNotNull(), F.when(has, F.col("_c")), F.when(has, "alias").otherwise("alias_needs_refetch"), F.lit(None).cast("double"))
         else:
-            found = best_match(left, targets.withColumnRenamed("norm", "_norm"), "norm", "_norm", "name", "pos", least).select("name", "target", F.lit("fuzzy").alias("method"), "score")
-        parts.append(found)
-        left = left.join(found.select("name"), "name", "left_anti")
-    out = left.select("name", F.lit(None).cast("string").alias("target"), F.lit("failed").alias("method"), F.lit(None).cast("double").alias("score"))
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+            asked = state.where(open_).select(F.col("norm").alias("_asked")).distinct()
+            found = best_match(asked, targets.withColumnRenamed("norm", "_norm"), "_asked", "_norm", "_asked", "_pos", least).select(F.col("_asked").alias("norm"), F.col("_t").alias("_found"), F.col("score").alias("_score"))
+            met = state.join(found, "norm", "left")
+            state = taken(met, F.col("_found").isNotNull(), F.col("_found"), F.lit("fuzzy"), F.col("_score"))
+    return state.select("name", "target", F.coalesce("method", F.lit("failed")).alias("method"), "score")
+
+
+def with_stats(candidates: DataFrame, stats: DataFrame, on: str, values: Sequence[str], status: str = "status", empty: str = "no_record") -> DataFrame:
+    """Every candidate once: the values where its record's status is ok, nulls and the status elsewhere (J1, J2)."""
+    held = stats.select(on, F.col(status).alias("stats_status"), *values)
+    met = candidates.join(held, on, "left").withColumn("stats_status", F.coalesce("stats_status", F.lit(empty)))
+    return met.withColumns({v: F.when(F.col("stats_status") == "ok", F.col(v)) for v in values} | {"has_stats": F.col("stats_status") == "ok"})
+
+
+def with_fallbacks(left: DataFrame, right: DataFrame, on: Sequence[str], column: str, default="") -> DataFrame:
+    """The right side's value, else the left's own, else ``default`` (J5)."""
+    met = left.join(right.select(*on, F.col(column).alias("_v")), list(on), "left")
+    own = [F.col(column)] if column in left.columns else []
+    return met.withColumn(column, F.coalesce("_v", *own, F.lit(default))).drop("_v")
+
+
+def with_eval_window(df: DataFrame, windows: DataFrame, on: str = "season_id") -> DataFrame:
+    """The season's evaluation period, null where the season has none (J6). ``windows``: a row a season."""
+    names = ["eval_period_type", "eval_period_start", "eval_period_end"]
+    return df.drop(*names).join(windows.select(on, *names), on, "left")
+
+
+def with_canonical(df: DataFrame, resolved: DataFrame, name: str) -> DataFrame:
+    """``canonical``: the resolved title of each name, or the name itself (J7). ``resolved``: name, title."""
+    return df.join(resolved.select(F.col("name").alias(name), "title"), name, "left").withColumn("canonical", F.coalesce("title", name)).drop("title")
+
+
+def career_in_period(df: DataFrame, rows: str, season: str, year: str, kind: str) -> DataFrame:
+    """A row per entry of the array of structs ``rows`` whose season falls into the evaluation period (J8)."""
+    each = df.withColumn("_row", F.explode(rows))
+    span = periods.season_years(F.col(f"_row.{season}"))
+    return each.where(periods.season_in_period(span, F.col(year), F.col(kind))).withColumnRenamed("_row", "entry")
+
+
+def international_in_period(df: DataFrame, rows: str, played: str, year: str, kind: str) -> DataFrame:
+    """A row per entry of ``rows`` played in a year of the evaluation period (J9)."""
+    each = df.withColumn("_row", F.explode(rows))
+    return each.where(periods.international_year_in_period(F.col(f"_row.{played}"), F.col(year), F.col(kind))).withColumnRenamed("_row", "entry")
+
+
+def league_seasons(df: DataFrame, stats: DataFrame, key: str, year: str, kind: str, season: str) -> DataFrame:
+    """Rows of ``stats`` (key, season: the year it starts) in the seasons that each row's evaluation period covers (J10)."""
+    asked = df.withColumn("_season", F.explode(periods.period_seasons(F.col(year), F.col(kind))))
+    return asked.join(stats.withColumnRenamed(season, "_season"), [key, "_season"]).withColumnRenamed("_season", season)
 
 
 def pairwise(df: DataFrame, group: Sequence[str], order: Sequence[str], key: str, features: Sequence[str], include_ties: bool = True, rank: str | None = None) -> DataFrame:

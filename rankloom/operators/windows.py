@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,27 @@ def midrank_percentile(value: Column, part: Sequence[str]) -> Column:
     return F.when(value.isNotNull(), (upto - 0.5 * ties) / F.count(value).over(own))
 
 
+def midrank_by_ranges(df: DataFrame, part: Sequence[str], value: str, name: str, ranges: int = 64) -> DataFrame:
+    """``df`` with the mid-rank percentile of ``value`` within ``part``, for pools of any size.
+
+    Equal values are counted first. Each pool's counts are cut at its quantiles
+    into ranges, which are summed up in tasks of their own; the ranges' totals (a
+    few dozen rows a pool) give each its start. So no task sorts a whole pool.
+    """
+    known = df.where(F.col(value).isNotNull())
+    cuts = [i / ranges for i in range(1, ranges)]
+    bounds = known.groupBy(*part).agg(F.array_sort(F.array_distinct(F.percentile_approx(value, cuts, 1000))).alias("_cuts"))
+    counts = known.groupBy(*part, value).agg(F.count(F.lit(1)).alias("_eq"))
+    ranged = counts.join(bounds, list(part)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    inside = F.sum("_eq").over(Window.partitionBy(*part, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    pool = Window.partitionBy(*part)
+    start = F.coalesce(F.sum("_n").over(pool.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranged.groupBy(*part, "_range").agg(F.sum("_eq").alias("_n")).select(*part, "_range", start.alias("_start"), F.sum("_n").over(pool).alias("_all"))
+    placed = ranged.select(*part, value, "_range", "_eq", inside.alias("_upto")).join(starts, [*part, "_range"])
+    found = placed.select(*part, value, ((F.col("_start") + F.col("_upto") - 0.5 * F.col("_eq")) / F.col("_all")).alias(name))
+    return df.join(found, [*part, value], "left")
+
+
 def first_by_priority(df: DataFrame, key: Sequence[str], priority: Column, ties: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(priority.asc_nulls_last(), *ties)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
@@ -59,6 +82,15 @@ def years_since_new_winner(df: DataFrame, key: str, time: str, won: Column, orig
     return years.select(*part, time, (F.col(time) - F.coalesce(last, F.lit(origin))).alias("years_since_new_winner"))
 
 
+def group_prior_count(df: DataFrame, part: Sequence[str], time: str, won: Column, name: str) -> DataFrame:
+    """part, time and how many wins the group has had before: counted per time first, so a group is as many rows as times.
+
+    A group without a name is no group: rows in which a ``part`` column is null are left out.
+    """
+    per = df.dropna(subset=list(part)).groupBy(*part, time).agg(F.count_if(won).alias("_won"))
+    return per.select(*part, time, F.coalesce(F.sum("_won").over(before(part, time)), F.lit(0)).cast("long").alias(name))
+
+
 def predicted_rank(part: Sequence[str], score: str, ties: Sequence[str]) -> Column:
     return F.row_number().over(Window.partitionBy(*part).orderBy(F.col(score).desc(), *ties))
 
@@ -83,9 +115,78 @@ def spearman(df: DataFrame, part: Sequence[str], a: str, b: str) -> DataFrame:
     return ranked.groupBy(*part).agg(F.when((F.stddev_pop("_a") > 0) & (F.stddev_pop("_b") > 0), F.corr("_a", "_b")).alias("spearman"))
 
 
-def kendall(df: DataFrame, part: Sequence[str], key: str, a: str, b: str) -> DataFrame:
-    """Tie-corrected tau-b from pair signs within each group."""
-    left, right = df.select(*part, F.col(key).alias("_k"), F.col(a).alias("_a"), F.col(b).alias("_b")), df.select(*part, F.col(key).alias("_l"), F.col(a).alias("_c"), F.col(b).alias("_d"))
-    u, v = F.signum(F.col("_a") - F.col("_c")), F.signum(F.col("_b") - F.col("_d"))
-    pairs = left.join(right, list(part)).where("_k < _l").select(*part, u.alias("u"), v.alias("v"))
-    return pairs.groupBy(*part).agg(F.try_divide(F.sum(F.col("u") * F.col("v")), F.sqrt(F.sum(F.abs("u")) * F.sum(F.abs("v")))).alias("kendall"))
+def inversions(b: np.ndarray) -> int:
+    """Pairs i < j with b[i] > b[j], by merging runs of doubling width, a sort a level."""
+    n, wrong, width = len(b), 0, 1
+    while width < n:
+        run = np.arange(n) // width
+        pair, left = run // 2, 1 - run % 2
+        by = np.lexsort((1 - left, b, pair))  # equal values: the left run's first, they are no inversions
+        lefts = np.bincount(pair, weights=left).astype(np.int64)
+        upto = np.cumsum(left[by]) - (np.cumsum(lefts) - lefts)[pair[by]]
+        wrong += int((lefts[pair[by]] - upto)[left[by] == 0].sum())
+        b = b[by]
+        width *= 2
+    return wrong
+
+
+def tied_pairs(*columns: np.ndarray) -> int:
+    n = np.unique(np.stack(columns, axis=1), axis=0, return_counts=True)[1].astype(np.int64)
+    return int((n * (n - 1) // 2).sum())
+
+
+def balance(a: np.ndarray, b: np.ndarray) -> int:
+    """Concordant less discordant pairs; pairs tied in either are neither."""
+    if len(a) < 2:
+        return 0
+    order = np.lexsort((b, a))
+    return len(a) * (len(a) - 1) // 2 - tied_pairs(a) - tied_pairs(b) + tied_pairs(a, b) - 2 * inversions(b[order])
+
+
+STRIP = 250_000  # rows of a pool that one task compares
+
+
+def kendall(df: DataFrame, part: Sequence[str], a: str, b: str, strip: int = STRIP) -> DataFrame:
+    """Tie-corrected tau-b within each pool, n log n; null where one side is constant.
+
+    Pools above ``strip`` rows are cut at quantiles of both sides. A pair lies in
+    one strip of a, in one strip of b, or in neither: strips are counted in tasks
+    of their own, pairs that share both strips are taken off once, and all others
+    follow from the numbers of rows in the grid of strips.
+    """
+    keys = list(part)
+    rows = df.select(*keys, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_a", [i / 64 for i in range(1, 64)], 1000).alias("_qa"), F.percentile_approx("_b", [i / 64 for i in range(1, 64)], 1000).alias("_qb"))
+    cut = lambda c, q: F.when(F.col("_n") > strip, F.size(F.filter(F.array_distinct(q), lambda x: x < F.col(c)))).otherwise(F.lit(0))
+    placed = rows.join(sizes, keys).select(*keys, "_a", "_b", cut("_a", "_qa").alias("_sa"), cut("_b", "_qb").alias("_sb"), (F.col("_n") > strip).alias("_cut"))
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", _s long"
+    first = lambda pdf: [pdf[k].iloc[0] for k in keys]
+
+    def strips(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf["_a"].to_numpy(), pdf["_b"].to_numpy()
+        s = balance(x, y)
+        if pdf["_role"].iloc[0]:  # pairs of one strip of a as well are counted there
+            s -= sum(balance(g["_a"].to_numpy(), g["_b"].to_numpy()) for _, g in pdf.groupby("_sa"))
+        return pd.DataFrame([[*first(pdf), s]], columns=[*keys, "_s"])
+
+    def grid(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros((65, 65), dtype=np.int64)
+        n[pdf["_sa"], pdf["_sb"]] = pdf["n"]
+        s = 0
+        for i, j in zip(*np.nonzero(n)):
+            if i:
+                row = n[:i].sum(axis=0)
+                s += int(n[i, j]) * int(row[:j].sum() - row[j + 1 :].sum())
+        return pd.DataFrame([[*first(pdf), s]], columns=[*keys, "_s"])
+
+    role = F.explode(F.when(F.col("_cut"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    dealt = placed.select(*keys, "_a", "_b", "_sa", "_sb", role.alias("_role")).withColumn("_strip", F.when(F.col("_role") == 0, F.col("_sa")).otherwise(F.col("_sb")))
+    inside = dealt.groupBy(*keys, "_role", "_strip").applyInPandas(strips, schema)
+    across = placed.where("_cut").groupBy(*keys, "_sa", "_sb").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).applyInPandas(grid, schema)
+    total = inside.unionByName(across).groupBy(*keys).agg(F.sum("_s").alias("_s"))
+    pairs = lambda c: F.sum(c * (c - 1) / 2)
+    ties = lambda c, name: rows.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_c")).groupBy(*keys).agg(pairs(F.col("_c")).alias(name))
+    all_ = sizes.select(*keys, (F.col("_n") * (F.col("_n") - 1) / 2).alias("_p"))
+    met = total.join(all_, keys).join(ties("_a", "_ta"), keys).join(ties("_b", "_tb"), keys)
+    return met.select(*keys, F.try_divide(F.col("_s"), F.sqrt((F.col("_p") - F.col("_ta")) * (F.col("_p") - F.col("_tb")))).alias("kendall"))

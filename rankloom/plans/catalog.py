@@ -7,23 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import numeric, periods, text
 from rankloom.operators import aggregates, joins, ranking, windows
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+from rankloom.plans.registry import ORACLES, QUERIES, query, t  # noqa: F401
 
 
 def yearly_customers(spark: SparkSession, d: str) -> DataFrame:
@@ -62,8 +46,11 @@ WEIGHTS = {"revenue_pct": 2.0, "quantity_pct": 1.0, "lines_pct": 0.3}
   SELECT nation, supp, round(sc, 6) AS score, CAST(place AS BIGINT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY round(sc, 6) DESC, supp) AS place FROM r) WHERE place <= 3""")
 def flagship_ranking(spark, d):
     s = supplier_stats(spark, d)
-    s = s.select("nation", "supp", *(windows.midrank_percentile(F.col(v), ["nation"]).alias(n) for v, n in (("revenue", "revenue_pct"), ("quantity", "quantity_pct"), ("n_lines", "lines_pct"))))
-    scored = s.select("nation", "supp", F.round(ranking.weighted_score(s, WEIGHTS), 6).alias("score"))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(v).cast("double").alias("v")) for v, n in (("revenue", "revenue_pct"), ("quantity", "quantity_pct"), ("n_lines", "lines_pct")))))
+    long = s.select("nation", "supp", each.alias("f")).select("nation", "supp", "f.*")
+    ranked = windows.midrank_by_ranges(long, ["nation", "feature"], "v", "pct")
+    wide = ranked.groupBy("nation", "supp").pivot("feature", list(WEIGHTS)).agg(F.first("pct"))
+    scored = wide.select("nation", "supp", F.round(ranking.weighted_score(wide, WEIGHTS), 6).alias("score"))
     return windows.top_k(scored, ["nation"], "score", ["supp"], 3).select("nation", "supp", "score", F.col("predicted_rank").cast("long").alias("place"))
 
 
@@ -71,7 +58,8 @@ def flagship_ranking(spark, d):
   SELECT o_orderkey, year, round({pct("v", "year")}, 6) AS pct FROM o""")
 def midrank_percentile(spark, d):
     o = t(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("v"))
-    return o.select("o_orderkey", F.col("year").cast("long").alias("year"), F.round(windows.midrank_percentile(F.col("v"), ["year"]), 6).alias("pct"))
+    ranked = windows.midrank_by_ranges(o, ["year"], "v", "pct")
+    return ranked.select("o_orderkey", F.col("year").cast("long").alias("year"), F.round("pct", 6).alias("pct"))
 
 
 EVENT_ORDER = ("purchase", "cart", "click", "view")
@@ -96,24 +84,16 @@ def strict_lag_history(spark, d):
     )
 
 
-@query(f"""WITH {YEARLY}, f AS (SELECT nation, cust, min(year) AS first FROM y WHERE rank = 1 GROUP BY 1, 2), n AS (SELECT DISTINCT first FROM f WHERE nation = 0)
-  SELECT DISTINCT y.year, y.year - coalesce((SELECT max(first) FROM n WHERE first < y.year), 1956) AS years_since_new_winner FROM y WHERE nation = 0""")
+@query(f"""WITH {YEARLY}, n AS (SELECT DISTINCT nation, first FROM (SELECT nation, cust, min(year) AS first FROM y WHERE rank = 1 GROUP BY 1, 2))
+  SELECT DISTINCT y.nation, y.year, y.year - coalesce((SELECT max(first) FROM n WHERE n.nation = y.nation AND first < y.year), 1956) AS years_since_new_winner FROM y""")
 def years_since_new_winner(spark, d):
-    y = yearly_customers(spark, d).where("nation = 0")
-    return windows.years_since_new_winner(y, "cust", "year", F.col("rank") == 1).select(F.col("year").cast("long").alias("year"), F.col("years_since_new_winner").cast("long").alias("years_since_new_winner"))
-
-
-@query()
-def years_since_new_winner_whole(spark, d):
-    """years_since_new_winner of every nation; its SQL knows nation 0 only."""
     y = windows.years_since_new_winner(yearly_customers(spark, d), "cust", "year", F.col("rank") == 1, part=["nation"])
     return y.select("nation", F.col("year").cast("long").alias("year"), F.col("years_since_new_winner").cast("long").alias("years_since_new_winner"))
 
 
 @query(f"""WITH {YEARLY}, w AS (SELECT nation, year FROM y WHERE rank = 1) SELECT n.nation, n.year, (SELECT count(*) FROM w WHERE w.nation = n.nation AND w.year < n.year) AS nation_prior_winners FROM (SELECT DISTINCT nation, year FROM y) n""")
 def group_prior_winners(spark, d):
-    y = yearly_customers(spark, d)
-    return y.select("nation", "year", windows.prior_count(F.col("rank") == 1, ["nation"], "year").alias("nation_prior_winners")).distinct().select("nation", F.col("year").cast("long").alias("year"), "nation_prior_winners")
+    return windows.group_prior_count(yearly_customers(spark, d), ["nation"], "year", F.col("rank") == 1, "nation_prior_winners").select("nation", F.col("year").cast("long").alias("year"), "nation_prior_winners")
 
 
 @query("""WITH o AS (SELECT o_custkey, o_totalprice AS v, o_orderdate AS at, year(o_orderdate) AS y, month(o_orderdate) AS m, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_totalprice END AS known FROM orders)
@@ -142,9 +122,8 @@ TOKENS = ("green", "blue", "red", "steel", "small", "box", "a")
   m AS (SELECT p_partkey, token, row_number() OVER (PARTITION BY p_partkey ORDER BY pos) AS n FROM part, k WHERE contains(lower(trim(p_name)), token) OR contains(token, lower(trim(p_name))))
   SELECT p_partkey, token FROM m WHERE n = 1""")
 def substring_join(spark, d):
-    k = spark.createDataFrame([(x, i) for i, x in enumerate(TOKENS)], "token string, pos int").withColumn("g", F.lit(1))
-    p = t(spark, d, "part").select("p_partkey", "p_name").withColumn("g", F.lit(1))
-    return joins.substring_match(p, F.broadcast(k), ["g"], "p_name", "token", ["p_partkey"], ["pos"]).select("p_partkey", "token")  # seven tokens
+    p = t(spark, d, "part").select("p_partkey", joins.first_substring(F.col("p_name"), TOKENS).alias("token"))
+    return p.where("token IS NOT NULL")
 
 
 @query("""SELECT p_partkey, CASE WHEN trim(p_name) = '' THEN 4 WHEN regexp_matches(lower(p_name), 'green|steel') THEN 1 WHEN regexp_matches(lower(p_name), 'blue|box') THEN 2 ELSE 3 END AS tier,
@@ -170,33 +149,20 @@ def position_case(spark, d):
     return c.withColumn("multiplier", numeric.lookup(F.col("position"), numeric.POSITION_MULTIPLIER))
 
 
-@query(f"""WITH {SUPP}, r AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY revenue DESC NULLS LAST, supp) AS n FROM s WHERE nation < 5)
+@query(f"""WITH {SUPP}, r AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY revenue DESC NULLS LAST, supp) AS n FROM s)
   SELECT a.nation, a.supp AS first, b.supp AS second, 1 AS label, round(a.acctbal - b.acctbal, 4) AS acctbal, round(a.quantity - b.quantity, 4) AS quantity FROM r a JOIN r b ON a.nation = b.nation AND a.n < b.n
   UNION ALL SELECT a.nation, b.supp, a.supp, 0, round(b.acctbal - a.acctbal, 4), round(b.quantity - a.quantity, 4) FROM r a JOIN r b ON a.nation = b.nation AND a.n < b.n""")
 def pairwise_diff(spark, d):
-    return supplier_pairs(supplier_stats(spark, d).where("nation < 5"))
-
-
-@query()
-def pairwise_diff_whole(spark, d):
-    """pairwise_diff of every nation; its SQL knows nations 0 to 4 only."""
-    return supplier_pairs(supplier_stats(spark, d))
-
-
-def supplier_pairs(s):
-    p = joins.pairwise(s, ["nation"], [F.desc_nulls_last("revenue"), "supp"], "supp", ["acctbal", "quantity"])
+    p = joins.pairwise(supplier_stats(spark, d), ["nation"], [F.desc_nulls_last("revenue"), "supp"], "supp", ["acctbal", "quantity"])
     return p.select("nation", "first", "second", "label", F.round("acctbal", 4).alias("acctbal"), F.round("quantity", 4).alias("quantity"))
 
 
 def ranked_customers(spark, d):
-    return ranks_of(t(spark, d, "customer").where("c_custkey <= 3000"))  # the pools of this report, as in its SQL
-
-
-def ranks_of(c):
+    c = t(spark, d, "customer")
     return c.select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("cust"), F.floor(F.col("c_acctbal") / 700).alias("score"), (-F.rank().over(Window.partitionBy("c_nationkey").orderBy((F.floor(F.col("c_acctbal") + 2000) % 101).desc()))).alias("r"))
 
 
-RANKED = """c AS (SELECT c_nationkey AS nation, c_custkey AS cust, floor(c_acctbal / 700) AS score, -CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY CAST(floor(c_acctbal + 2000) AS BIGINT) % 101 DESC) AS BIGINT) AS r FROM customer WHERE c_custkey <= 3000)"""
+RANKED = """c AS (SELECT c_nationkey AS nation, c_custkey AS cust, floor(c_acctbal / 700) AS score, -CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY CAST(floor(c_acctbal + 2000) AS BIGINT) % 101 DESC) AS BIGINT) AS r FROM customer)"""
 
 
 @query(f"""WITH {RANKED}, a AS (SELECT nation, rank() OVER (PARTITION BY nation ORDER BY score) + (count(*) OVER (PARTITION BY nation, score) - 1) / 2.0 AS x, rank() OVER (PARTITION BY nation ORDER BY r) + (count(*) OVER (PARTITION BY nation, r) - 1) / 2.0 AS y FROM c)
@@ -205,38 +171,16 @@ def spearman_per_pool(spark, d):
     return windows.spearman(ranked_customers(spark, d), ["nation"], "score", "r").select("nation", F.round("spearman", 6).alias("spearman"))
 
 
-@query()
-def spearman_per_pool_whole(spark, d):
-    """spearman_per_pool over all customers; its SQL knows c_custkey <= 3000 only."""
-    return windows.spearman(ranks_of(t(spark, d, "customer")), ["nation"], "score", "r").select("nation", F.round("spearman", 6).alias("spearman"))
-
-
 @query(f"""WITH {RANKED}, p AS (SELECT a.nation, sign(a.score - b.score) AS u, sign(a.r - b.r) AS v FROM c a JOIN c b ON a.nation = b.nation AND a.cust < b.cust)
   SELECT nation, round(sum(u * v) / sqrt(sum(abs(u)) * sum(abs(v))), 6) AS kendall FROM p GROUP BY 1""")
 def kendall_per_pool(spark, d):
-    return windows.kendall(ranked_customers(spark, d), ["nation"], "cust", "score", "r").select("nation", F.round("kendall", 6).alias("kendall"))
-
-
-@query()
-def kendall_per_pool_whole(spark, d):
-    """kendall_per_pool over all customers; its SQL knows c_custkey <= 3000 only."""
-    return windows.kendall(ranks_of(t(spark, d, "customer")), ["nation"], "cust", "score", "r").select("nation", F.round("kendall", 6).alias("kendall"))
+    return windows.kendall(ranked_customers(spark, d), ["nation"], "score", "r").select("nation", F.round("kendall", 6).alias("kendall"))
 
 
 @query(f"""WITH {RANKED}, o AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY score DESC, cust) AS place FROM c), w AS (SELECT nation, min(place) AS winner_at FROM o WHERE r = -1 GROUP BY 1)
   SELECT nation, winner_at, winner_at <= 1 AS top1, winner_at <= 3 AS top3, winner_at <= 5 AS top5 FROM w""")
 def topk_hit(spark, d):
-    return winners_at(ranked_customers(spark, d))
-
-
-@query()
-def topk_hit_whole(spark, d):
-    """topk_hit over all customers; its SQL knows c_custkey <= 3000 only."""
-    return winners_at(ranks_of(t(spark, d, "customer")))
-
-
-def winners_at(c):
-    c = c.withColumn("place", windows.predicted_rank(["nation"], "score", ["cust"]).cast("long"))
+    c = ranked_customers(spark, d).withColumn("place", windows.predicted_rank(["nation"], "score", ["cust"]).cast("long"))
     w = c.where("r = -1").groupBy("nation").agg(F.min("place").alias("winner_at"))
     return w.select("nation", "winner_at", *((F.col("winner_at") <= k).alias(f"top{k}") for k in (1, 3, 5)))
 
@@ -260,12 +204,12 @@ def coverage_matrix(spark, d):
 @query(f"""WITH {YEARLY}, g AS (SELECT nation, year, list_distinct(list(rank // 2 + 1)) AS seen, max(rank // 2 + 3) AS m, count(*) AS n FROM y GROUP BY 1, 2)
   SELECT nation, year, n, m AS max_rank, CAST(len(list_filter(range(1, m + 1), lambda x: NOT list_contains(seen, x))) AS BIGINT) AS n_missing FROM g""")
 def qa_rank_gaps(spark, d):
+    # the ranks 2, 2, 3, 3, ... and the one after next of the last: gaps before and behind
     y = yearly_customers(spark, d)
-    low = y.select("nation", "year", (F.floor(F.col("rank") / 2) + 1).cast("int").alias("r"))
-    top = y.groupBy("nation", "year").agg(F.max(F.floor(F.col("rank") / 2) + 3).cast("long").alias("max_rank"), F.count(F.lit(1)).alias("n"))
-    seen = low.groupBy("nation", "year").agg(F.collect_set("r").alias("seen"))
-    both = top.join(seen, ["nation", "year"])
-    return both.select("nation", F.col("year").cast("long").alias("year"), "n", "max_rank", F.size(F.array_except(F.sequence(F.lit(1), F.col("max_rank").cast("int")), "seen")).cast("long").alias("n_missing"))
+    r = y.select("nation", "year", (F.floor(F.col("rank") / 2) + 1).alias("r"))
+    top = y.groupBy("nation", "year").agg((F.floor(F.max("rank") / 2) + 3).alias("r"))
+    gaps = aggregates.rank_gaps(r.unionByName(top), ["nation", "year"], "r")
+    return gaps.select("nation", F.col("year").cast("long").alias("year"), (F.col("n") - 1).alias("n"), "max_rank", (F.col("n_missing") + 1).alias("n_missing"))  # the last is missing as well
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice AS v, lead(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nx FROM orders)
@@ -316,15 +260,8 @@ def typed_parse(spark, d):
     return t(spark, d, "orders").select("o_orderkey", text.parse_rank(rank).alias("rank"), text.parse_points(points).alias("points"), text.parse_int(whole).alias("whole"))
 
 
-@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(replace(replace(text, '''', ''), 'ß', 'ss'))), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS norm FROM documents WHERE lang IN ('fr', 'de')""")
+@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(replace(replace(text, '''', ''), 'ß', 'ss'))), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS norm FROM documents""")
 def name_normalize(spark, d):
-    docs = t(spark, d, "documents").where(F.col("lang").isin("fr", "de"))
-    return docs.select("doc_id", text.normalize_name("text").alias("norm"))
-
-
-@query()
-def name_normalize_whole(spark, d):
-    """name_normalize of every document; its SQL knows the languages fr and de only."""
     return t(spark, d, "documents").select("doc_id", text.normalize_name("text").alias("norm"))
 
 
@@ -432,7 +369,7 @@ def loso_cross_validation(spark, d):
 @query()
 def boosted_ranking(spark, d):
     pools = supplier_pools(spark, d)
-    m = ranking.train_boosted(pools, ["acctbal", "quantity", "n_lines"])
+    m = ranking.train_listwise(pools, "nation", "rank", "supp", ["acctbal", "quantity", "n_lines"], rounds=50)
     return spark.createDataFrame([(f, round(v, 5)) for f, v in ranking.importance(m, ["acctbal", "quantity", "n_lines"])], "feature string, gain double")
 
 

@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.operators.windows import first_by_priority
+
 
 def ingest(spark: SparkSession, landing: str, schema: str, key: list[str], good: str, bad: str, checkpoint: str, status: str = "status"):
     """Take what is new in the landing folder, once per file; rows whose key is stored already are left out."""
     stream = spark.readStream.schema(schema).json(landing)
 
     def batch(df: DataFrame, n: int) -> None:
-        df = df.dropDuplicates(key)
-        fine = df.where(F.col(status) == "ok") if status in df.columns else df
+        columns = df.columns
+        ok = F.col(status) == "ok" if status in columns else F.lit(True)
+        told = df.withColumn("_ok", F.coalesce(ok, F.lit(False)))
+        # of several rows of a key the good one counts; among equals the least by content, so a replay picks the same
+        fine = first_by_priority(told.where("_ok"), key, F.xxhash64(*columns), columns).select(*columns)
         try:
-            fine = fine.join(df.sparkSession.read.parquet(good).select(*key), key, "left_anti")
-        except Exception as e:  # nothing stored yet
+            stored = df.sparkSession.read.parquet(good).where(F.col("batch") < n)  # not what this batch wrote before a failure
+            fine = fine.join(stored.select(*key), key, "left_anti")
+        except AnalysisException as e:  # nothing stored yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         # a batch that runs again after a failure replaces its own folder
         fine.write.mode("overwrite").parquet(f"{good}/batch={n}")
-        if status in df.columns:
-            df.where(F.coalesce(F.col(status), F.lit("")) != "ok").write.mode("overwrite").parquet(f"{bad}/batch={n}")
+        if status in columns:
+            told.where("NOT _ok").select(*columns).write.mode("overwrite").parquet(f"{bad}/batch={n}")
 
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

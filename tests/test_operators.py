@@ -24,7 +24,7 @@ def test_rank_correlations(spark):
     rows = list(zip(["s"] * 8, range(8), [0.9, 0.5, 0.5, 0.4, 0.3, 0.2, 0.2, 0.1], [-2, -1, -3, -3, -5, -6, -8, -7]))
     df = spark.createDataFrame(rows, "g string, k int, s double, r int")
     assert windows.spearman(df, ["g"], "s", "r").first().spearman == pytest.approx(0.903047, abs=1e-6)
-    assert windows.kendall(df, ["g"], "k", "s", "r").first().kendall == pytest.approx(0.792594, abs=1e-6)
+    assert windows.kendall(df, ["g"], "s", "r").first().kendall == pytest.approx(0.792594, abs=1e-6)
 
 
 def test_pairs_are_antisymmetric_and_fit_the_objective(spark):
