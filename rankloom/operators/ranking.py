@@ -340,11 +340,12 @@ def scored_by_fold(df: DataFrame, year: str, key: str, rank: str, features: Sequ
     return df.join(held, year).select(year, F.col(key).cast("string").alias(key), F.col(rank).cast("int").alias(rank), score.alias("score"))
 
 
-def yearly_metrics(scores: DataFrame, year: str, key: str, rank: str, score: str) -> DataFrame:
-    """year, winner_at, spearman, kendall; a year whose correlation is undefined has null."""
-    placed = scores.withColumn("winner_at", predicted_rank([year], score, [key])).where(F.col(rank) == 1).groupBy(year).agg(F.min("winner_at").alias("winner_at"))
+def yearly_metrics(scores: DataFrame, year: str | Sequence[str], key: str, rank: str, score: str) -> DataFrame:
+    """year, winner_at, spearman, kendall; a year whose correlation is undefined has null. Several columns may tell a year (run, year)."""
+    keys = [year] if isinstance(year, str) else list(year)
+    placed = scores.withColumn("winner_at", predicted_rank(keys, score, [key])).where(F.col(rank) == 1).groupBy(*keys).agg(F.min("winner_at").alias("winner_at"))
     turned = scores.withColumn("_r", -F.col(rank))
-    return scores.select(year).distinct().join(placed, year, "left").join(spearman(turned, [year], score, "_r"), year, "left").join(kendall(turned, [year], score, "_r"), year, "left")
+    return scores.select(*keys).distinct().join(placed, keys, "left").join(spearman(turned, keys, score, "_r"), keys, "left").join(kendall(turned, keys, score, "_r"), keys, "left")
 
 
 def mean_metrics(yearly: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -358,32 +359,41 @@ def held_out_split(df: DataFrame, year: str, held: Sequence[int] = HELD_OUT) ->
     return df.where(~F.col(year).isin(list(held))), df.where(F.col(year).isin(list(held)))
 
 
-def evaluate(scores: DataFrame, year: str, key: str, rank: str, by: str | None = None) -> DataFrame:
-    """The mean metrics of scored rows, over all years or per group of years (``by``, a column of one value a year)."""
-    yearly = yearly_metrics(scores, year, key, rank, "score")
-    if not by:
-        return mean_metrics(yearly)
-    return mean_metrics(yearly.join(scores.select(year, by).distinct(), year), [by])
+def evaluate(scores: DataFrame, year: str, key: str, rank: str, by: Sequence[str] = ()) -> DataFrame:
+    """The mean metrics of scored rows, over all years or for each value of ``by`` (runs, eras)."""
+    return mean_metrics(yearly_metrics(scores, [*by, year], key, rank, "score"), by)
 
 
-def held_out_evaluation(df: DataFrame, year: str, order: Sequence[str], key: str, rank: str, features: Sequence[str], held: Sequence[int] = HELD_OUT, weights: dict[str, float] = TIER_A_WEIGHTS, **options) -> DataFrame:
-    """tier and metrics of the three tiers on years that none of them was trained on."""
+def labelled_union(runs: dict, *names: str) -> DataFrame:
+    """The scored rows of several runs, each with its label (a string, or as many as there are names)."""
+    parts = [s.select(*(F.lit(x).alias(n) for n, x in zip(names, [label] if isinstance(label, str) else label)), "*") for label, s in runs.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def scored(df: DataFrame, score: Column, year: str, key: str, rank: str) -> DataFrame:
+    return df.select(year, F.col(key).cast("string").alias(key), F.col(rank).cast("int").alias(rank), score.alias("score"))
+
+
+def held_out_scores(df: DataFrame, year: str, order: Sequence[str], key: str, rank: str, features: Sequence[str], held: Sequence[int] = HELD_OUT, weights: dict[str, float] = TIER_A_WEIGHTS, **options) -> dict[str, DataFrame]:
+    """The three tiers' scores of years that none of them was trained on."""
     train, test = held_out_split(df, year, held)
-    keep = lambda d, score: d.select(year, F.col(key).cast("string").alias(key), F.col(rank).cast("int").alias(rank), score.alias("score"))
     linear = train_linear(train, year, order, key, features)
     trees = train_listwise(train, year, rank, key, features, **options)
-    tiers = {"A": keep(test, weighted_score(test, weights)), "B": keep(numbers(test, features), linear.score()), "C": keep(test, trees.score())}
-    parts = [evaluate(s, year, key, rank).select(F.lit(t).alias("tier"), "*") for t, s in tiers.items()]
-    return reduce(DataFrame.unionByName, parts)
+    return {"A": scored(test, weighted_score(test, weights), year, key, rank), "B": scored(numbers(test, features), linear.score(), year, key, rank), "C": scored(test, trees.score(), year, key, rank)}
+
+
+def held_out_evaluation(df: DataFrame, year: str, order: Sequence[str], key: str, rank: str, features: Sequence[str], **options) -> DataFrame:
+    """tier and mean metrics on the held-out years."""
+    return evaluate(labelled_union(held_out_scores(df, year, order, key, rank, features, **options), "tier"), year, key, rank, ["tier"])
 
 
 def compare_feature_sets(df: DataFrame, year: str, order: Sequence[str], key: str, rank: str, base: Sequence[str], more: Sequence[str]) -> DataFrame:
     """metric, base, more, change: leave-one-year-out results without and with the further features."""
     metrics = ["top1", "top3", "top5", "spearman", "kendall"]
-    long = lambda m, name: m.select(F.explode(F.array(*(F.struct(F.lit(x).alias("metric"), F.col(x).alias(name)) for x in metrics))).alias("r")).select("r.*")
-    sets = {"base": list(base), "more": [*base, *more]}
-    a, b = (long(evaluate(cross_validate(df, year, order, key, rank, f), year, key, rank), name) for name, f in sets.items())
-    return a.join(b, "metric").select("metric", "base", "more", (F.col("more") - F.col("base")).alias("change"))
+    runs = {name: cross_validate(df, year, order, key, rank, f) for name, f in (("base", list(base)), ("more", [*base, *more]))}
+    found = evaluate(labelled_union(runs, "features"), year, key, rank, ["features"])
+    long = found.select("features", F.explode(F.array(*(F.struct(F.lit(x).alias("metric"), F.col(x).alias("v")) for x in metrics))).alias("r")).select("features", "r.*")
+    return long.groupBy("metric").pivot("features", ["base", "more"]).agg(F.first("v")).withColumn("change", F.col("more") - F.col("base"))
 
 
 def keep_features(changes: dict[str, float], margin: float = 0.0) -> bool:

@@ -112,7 +112,7 @@ def average_rank(c: Column, part: Sequence[str]) -> Column:
 
 def spearman(df: DataFrame, part: Sequence[str], a: str, b: str) -> DataFrame:
     ranked = df.select(*part, average_rank(F.col(a), part).alias("_a"), average_rank(F.col(b), part).alias("_b"))
-    return ranked.groupBy(*part).agg(F.when((F.stddev_pop("_a") > 0) & (F.stddev_pop("_b") > 0), F.corr("_a", "_b")).alias("spearman"))
+    return ranked.groupBy(*part).agg(F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b")).alias("spearman"))  # null where one side is constant
 
 
 def inversions(b: np.ndarray) -> int:

@@ -378,3 +378,6 @@ def prediction_document(spark, d):
     pools = supplier_pools(spark, d).withColumn("season_id", F.col("nation").cast("string"))
     m = ranking.LinearRanker(("acctbal", "quantity", "n_lines"), (0.5, -1.25, 2.0), (1000.0, 100.0, 10.0), 0.0, 0)
     return ranking.prediction_document(pools, m, "3", "supp").select(F.get_json_object("document", "$.total_candidates").alias("total_candidates"), F.get_json_object("document", "$.rankings[0].player").alias("first"))
+
+
+from rankloom.plans import more  # noqa: E402, F401  registers its queries

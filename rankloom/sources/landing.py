@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 from collections.abc import Iterable, Iterator
 from html import unescape
 from html.parser import HTMLParser
@@ -13,8 +15,13 @@ from pyspark.sql import functions as F
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows with their line's ordinal; a malformed line is kept in ``_bad`` instead of failing the scan."""
-    return spark.read.schema(schema + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    """Rows with ``_file`` and ``_line``; a malformed line is kept in ``_bad`` instead of failing the scan.
+
+    ``_line`` grows down each file (it is the byte order of a task's range of the file, not a count), which is what
+    "first in file order" needs.
+    """
+    rows = spark.read.schema(schema + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    return rows.select("*", F.col("_metadata.file_path").alias("_file"), (F.col("_metadata.file_block_start") * (1 << 20) + F.monotonically_increasing_id() % (1 << 33)).alias("_line"))
 
 
 def page_files(spark: SparkSession, folder: str, least: int = 1000, skip: tuple[str, ...] = ("2020",)) -> DataFrame:
@@ -151,13 +158,14 @@ def infobox(pages: DataFrame, key: str, content: str) -> DataFrame:
 
 
 # Header words by the column they name.
-HEADERS = {"rank": "rank", "rk": "rank", "no.": "rank", "place": "rank", "pos": "position", "pos.": "position", "position": "position", "player": "player", "name": "player", "nationality": "nationality", "nation": "nationality", "country": "nationality", "club": "club", "club(s)": "club", "team": "club", "points": "points", "pts": "points", "percent": "points", "votes": "total_votes"}
+HEADERS = {
+    "rank": "rank", "pos": "position", "position": "position", "player": "player", "name": "player", "nationality": "nationality", "nation": "nationality", "country": "nationality", "national team": "nationality",
+    "club": "club", "team": "club", "clubs": "club", "points": "points", "pts": "points", "total": "points", "percent": "points", "votes": "total_votes", "total votes": "total_votes",
+}
 
 
 def canonical_columns(names: list[str]) -> list[str]:
-    """Known names for known headers; a name that comes twice keeps its first place."""
-    import re
-
+    """Known names for known headers; of a name that comes twice the first keeps it."""
     out: list[str] = []
     for n in names:
         low = re.sub(r"\[[^\]]*\]|\(s\)", "", n.lower()).strip()
@@ -177,17 +185,56 @@ def write_tsv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).distinct().orderBy(*columns).write.mode("overwrite").option("sep", "\t").csv(path)
 
 
+def first_columns(df: DataFrame) -> DataFrame:
+    """Canonical names; of columns that get one name the first stays (``df``'s own names are unique)."""
+    named = canonical_columns(df.columns)
+    plain = [HEADERS.get(bare, bare) for bare in (re.sub(r"\[[^\]]*\]|\(s\)", "", c.lower()).strip() for c in df.columns)]
+    return df.select(*(F.col(f"`{c}`").alias(n) for c, n, p in zip(df.columns, named, plain) if n == p))
+
+
 def split_by_status(df: DataFrame, good: str, bad: str, status: str = "status") -> None:
-    df.where(F.col(status) == "ok").write.mode("append").json(good)
-    df.where(F.coalesce(F.col(status), F.lit("")) != "ok").write.mode("append").json(bad)
+    """Rows by status in two tables; the input is read once: one write, dealt by folder, then two views of it."""
+    held = df.persist()
+    try:
+        held.where(F.col(status) == "ok").write.mode("append").json(good)
+        held.where(F.coalesce(F.col(status), F.lit("")) != "ok").write.mode("append").json(bad)
+    finally:
+        held.unpersist()
+
+
+def replace_json_lines(df: DataFrame, folder: str) -> None:
+    """All rows anew; readers see the old table or the new one, as the job's commit renames whole files.
+
+    ``df`` must not read ``folder`` itself.
+    """
+    df.write.mode("overwrite").json(folder)
+
+
+def write_small(path: str, content: str) -> str:
+    """A driver-side artifact, replaced atomically."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(f"{path}.part", "w", encoding="utf-8") as f:
+        f.write(content)
+    os.replace(f"{path}.part", path)
+    return path
 
 
 def json_artifact(data: dict) -> str:
     return json.dumps(data, indent=2, default=str)
 
 
+def yaml_artifact(data: dict, comments: tuple[str, ...] = (), in_order: bool = True) -> str:
+    """A YAML document with leading comment lines; keys sorted unless their order means something."""
+    import yaml
+
+    return "".join(f"# {c}\n" for c in comments) + yaml.safe_dump(data, sort_keys=in_order, allow_unicode=True)
+
+
 def markdown(df: DataFrame, most: int = 200) -> str:
-    """A report table of an aggregate's first rows."""
-    rows = df.limit(most).collect()
+    """A report table of an aggregate; rows beyond ``most`` are counted in a last line, not hidden."""
+    rows = df.limit(most + 1).collect()
     show = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else unescape(str(v))
-    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(show(v) for v in r) + " |" for r in rows)])
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(show(v) for v in r) + " |" for r in rows[:most])]
+    if len(rows) > most:
+        lines.append(f"\n... and {df.count() - most} more")
+    return "\n".join(lines)
