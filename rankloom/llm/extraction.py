@@ -3,9 +3,11 @@
 Pages of one host are merged into a tree whose nodes are element paths (tag and
 class names). A node's importance joins two entropies over the host's pages: how
 varied its presentation is (the sequence of its children) and how specific its
-content is (text found on one page counts fully, text on all pages not at all).
-Few pages are little evidence: importance is drawn towards 1 by ``DOUBT`` pages of
-no evidence. Nodes of low importance lose their text on each page, in articles as
+content is. A text on n pages has an entropy of ln n over them; a node's content
+counts exp(-mean entropy of its distinct texts), so 1 if every page has a text of
+its own and 1/6 if each is on six pages, however many copies one text has. Few
+pages are little evidence: importance is drawn towards 1 by ``DOUBT`` pages of no
+evidence. Nodes of low importance lose their text on each page, in articles as
 elsewhere; a branch without any other text is gone with them.
 
 What an element says about itself is a term of its importance: menus, footers,
@@ -57,7 +59,7 @@ TITLED = {"header"}  # a page's header is beside the text; an article's own hold
 MAIN = {"article", "main"}
 
 GAMMA = 0.9  # how much content weighs against presentation
-LOW = 0.2
+LOW = 0.5  # texts of such a node are typically on two pages or more
 DOUBT = 2.0
 
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -264,7 +266,7 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, node, main, pages, texts, importance: every node of every host's merged tree.
+    """host, node, main, pages, texts (distinct ones), importance: every node of every host's merged tree.
 
     Tasks count what they have seen before the shuffle; a host's pages never meet in one task.
     """
@@ -301,15 +303,15 @@ def style_tree(pages: DataFrame) -> DataFrame:
     nodes = features.groupBy("host", "node", "main").agg(
         F.sum(F.when(~F.col("kind"), F.col("n"))).alias("pages"),
         F.sum(F.when(~F.col("kind"), ln)).alias("looks"),
-        F.sum(F.when(F.col("kind"), F.col("n"))).alias("texts"),
-        F.sum(F.when(F.col("kind"), ln)).alias("text_ln"),
+        F.count(F.when(F.col("kind"), F.col("n"))).alias("texts"),
+        F.sum(F.when(F.col("kind"), F.log("n"))).alias("text_ln"),
     )
     base = F.log("pages")
     look = F.when(F.col("pages") > 1, 1 - F.col("looks") / F.col("pages") / base).otherwise(F.lit(1.0))
-    content = F.when((F.col("pages") > 1) & (F.col("texts") > 0), 1 - F.col("text_ln") / F.col("texts") / base)
+    content = F.when(F.col("texts") > 0, F.exp(-F.col("text_ln") / F.col("texts")))
     told = F.when(content.isNull(), look).otherwise((1 - GAMMA) * look + GAMMA * content)
     sure = F.col("pages") / (F.col("pages") + DOUBT)
-    return nodes.select("host", "node", "main", "pages", F.coalesce("texts", F.lit(0)).alias("texts"), (1 - (1 - told) * sure).alias("importance"))
+    return nodes.select("host", "node", "main", "pages", "texts", (1 - (1 - told) * sure).alias("importance"))
 
 
 def low_nodes(tree: DataFrame) -> DataFrame:
