@@ -13,12 +13,15 @@ over the documents with DataFrame functions only and no shuffle.
 
 Edge cases: null and empty texts have no candidates; a null source is no path;
 repeated candidates are found each time; whole texts are scanned; an empty table
-gives no rows.
+gives no rows. A vote of exactly one half is no secret; of equal candidates of a
+text each is told. Extra columns of any name are kept by :func:`redact` and not
+read by :func:`scan`.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -42,7 +45,9 @@ DICTIONARY = (
     "simple site source stage start state static status store story stream style sub support system table tag target task team template test text theme time title token tool topic track train type "
     "update upload user value version video view web week widget window word work world year"
 ).split()
-FEATURES = ("length", "transitions", "distinct", "digits", "uppers", "hexes", "dictionary", "slashes", "dots", "dashes", "web", "sample_path", "hinted", "harmless", "assigned", "quoted", "all_digits", "known_start")
+FEATURES = ("length", "transitions", "distinct", "digits", "uppers", "hexes", "dictionary", "slashes", "dots", "dashes", "web", "sample_path", "hinted", "harmless", "assigned", "quoted", "all_digits", "known_start", "made_up")
+# Words beside a value that say it is no real one.
+MADE_UP = "example|sample|dummy|placeholder|fake|changeme|redacted|fixture"
 # Key-like runs of a word, whatever stands before and after them; published key formats also inside longer runs.
 RUN = r"([A-Za-z0-9+/_\-.~]{7,}[A-Za-z0-9+/_\-](?:={1,2}(?![A-Za-z0-9+/_\-.~\"'=]))?)"
 STARTS = r"AKIA|ASIA|AIza|gh[pousr]_|glpat-|sk-|sk_|rk_|xox[abprs]-|eyJ|npm_|pypi-|SG\.|ya29\."
@@ -142,11 +147,17 @@ def features(c: Column) -> dict[str, Column]:
         "quoted": flag(F.rlike(lead, F.lit("[\"']$"))),
         "all_digits": flag(F.rlike(value, F.lit(r"^[0-9\-]+$"))),
         "known_start": flag(F.rlike(value, F.lit(f"^({STARTS})"))),
+        "made_up": flag(F.rlike(F.concat_ws(" ", c["before"], c["after"]), F.lit(MADE_UP))),
     }
 
 
-def made_findings(spark: SparkSession, n: int = TRAINING) -> DataFrame:
-    """Labelled findings by rule: the columns of a candidate and ``secret``, half of them true."""
+def made_findings(spark: SparkSession, n: int = TRAINING, keep: Callable[[int], bool] = lambda k: True) -> DataFrame:
+    """Labelled findings by rule: the columns of a candidate and ``secret``, half of them true.
+
+    ``keep`` chooses among the formats of either kind by their number, to hold out whole formats.
+    Both kinds stand in sources and before words of all sorts; more of the harmless
+    ones stand in tests and examples or beside a word that says they are made up.
+    """
 
     def drawn(alphabet: str, size: int, salt: int) -> Column:
         """``size`` characters of the alphabet, fixed by id and salt."""
@@ -205,14 +216,19 @@ def made_findings(spark: SparkSession, n: int = TRAINING) -> DataFrame:
         (glue("2", drawn(dig, 3, 46), "-01-12T10:", drawn(dig, 2, 47), ":00Z"), plain),
         (glue(drawn(low, 11, 48), drawn(low, 9, 49), drawn(dig, 1, 50)), plain),
     ]
+    secret, harmless = ([f for k, f in enumerate(kind) if keep(k)] for kind in (secret, harmless))
     base = spark.range(0, n, 1, 4)
     choose = lambda rows, k: F.get(F.array(*[r[k] for r in rows]), F.pmod(F.floor(F.col("id") / 2), F.lit(len(rows))).cast("int"))
     is_secret = F.col("id") % 2 == 0
-    made = base.select(is_secret.alias("secret"), F.when(is_secret, choose(secret, 0)).otherwise(choose(harmless, 0)).alias("word"), F.when(is_secret, choose(secret, 1)).otherwise(choose(harmless, 1)).alias("before"))
+    made = base.select("id", is_secret.alias("secret"), F.when(is_secret, choose(secret, 0)).otherwise(choose(harmless, 0)).alias("word"), F.when(is_secret, choose(secret, 1)).otherwise(choose(harmless, 1)).alias("before"))
     # the last run that a scan of the word would take as its value
     runs = F.regexp_extract_all("word", F.lit(RUN), F.lit(1))
     told = F.coalesce(F.get(F.filter(runs, lambda v: F.rlike(v, F.lit("[0-9]")) & (F.length(v) >= 12)), F.lit(0)), F.element_at(runs, F.lit(-1)))
-    return made.select("secret", "word", told.alias("value"), "before", F.lit("").alias("after"), F.lit("").alias("source")).where("value <> ''")
+    draw = lambda salt, most: F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(most))
+    sampled = lambda salt: draw(salt, 100) < F.when(F.col("secret"), 2).otherwise(25)
+    after = F.when(sampled(91), F.get(F.array(*map(F.lit, MADE_UP.split("|"))), draw(92, MADE_UP.count("|") + 1).cast("int"))).otherwise(word(93))
+    source = F.when(sampled(94), F.get(F.array(*map(F.lit, ("tests/test_app.py", "docs/setup.md", "examples/run.sh", "package-lock.json"))), draw(95, 4).cast("int"))).otherwise(F.concat(F.lit("src"), draw(96, 30)))
+    return made.select("secret", "word", told.alias("value"), "before", after.alias("after"), source.alias("source")).where("value <> ''")
 
 
 def fit(labelled: DataFrame) -> list[list]:
