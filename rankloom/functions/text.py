@@ -121,3 +121,7 @@ def token_sort_ratio_of(a: str | None, b: str | None) -> float:
 @F.pandas_udf(DoubleType())
 def token_sort_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([token_sort_ratio_of(a, b) for a, b in zip(left, right)], dtype=float)
+
+
+# a filter on the score would else be pushed below it and compute it again
+token_sort_ratio = token_sort_ratio.asNondeterministic()
