@@ -476,16 +476,18 @@ def test_forest_on_held_out_formats(spark):
     assert hit / (hit + missed) > 0.6 and hit / (hit + false) > 0.6
 
 
-def test_sources_and_words_beside_remove_findings(spark):
+def test_own_labels_let_paths_and_words_beside_remove_findings(spark):
+    """Where labelled findings say so, a test's path or a following word like example makes the same value harmless."""
     from pyspark.sql import functions as F
 
-    trees = secrets.fit(secrets.made_findings(spark, 3000))
-    rows = [(f"{'ab'[i % 2]}{i}c9d8e7f6a5b4c3d2", "x y", "src1" if i < 20 else "tests/test_app.py", "page" if i < 20 else "example") for i in range(40)]
-    df = spark.createDataFrame([(f"token={v}", v, b, a, s, i) for i, (v, b, s, a) in enumerate(rows)], "word string, value string, before string, after string, source string, i int")
+    kinds = (("src1", "page", True), ("tests/test_app.py", "page", False), ("src2", "example", False))
+    rows = [(f"token={v}", v, "x y", kinds[i % 3][1], kinds[i % 3][0], kinds[i % 3][2], i % 3) for i in range(300) for v in [f"{i:04x}c9d8e7f6a5b4c3d2"]]
+    df = spark.createDataFrame(rows, "word string, value string, before string, after string, source string, secret boolean, kind int")
+    trees = secrets.fit(df.drop("kind"))
     c = F.struct("word", "value", "before", "after", "source")
     score = secrets.votes(trees, F.struct(*(x.cast("double").alias(n) for n, x in secrets.features(c).items())))
-    got = {r.late: r.s for r in df.groupBy((F.col("i") >= 20).alias("late")).agg(F.avg(score).alias("s")).collect()}
-    assert got[True] < got[False]
+    got = {r.kind: r.s for r in df.groupBy("kind").agg(F.avg(score).alias("s")).collect()}
+    assert got[0] > secrets.VOTES > max(got[1], got[2])
 
 
 def test_long_texts_and_ties_of_secrets(spark):
