@@ -241,8 +241,8 @@ def missed_winners(spark, d):
     return m.select("nation", "supp", F.col("winner_at").cast("long").alias("winner_at"), "predicted")
 
 
-@query(f"""WITH {SCORED}, q AS (SELECT 0.25 + (a.acctbal - b.acctbal) * (0.8 / 1000.0) + (a.quantity - b.quantity) * (0.5 / 100.0) AS up, 0.25 + (b.acctbal - a.acctbal) * (0.8 / 1000.0) + (b.quantity - a.quantity) * (0.5 / 100.0) AS down FROM r a JOIN r b ON a.nation = b.nation AND a.rank < b.rank)
-  SELECT round((count(CASE WHEN up > 0 THEN 1 END) + count(CASE WHEN NOT down > 0 THEN 1 END)) / (2.0 * count(*)), 6) AS pair_accuracy FROM q""")
+@query(f"""WITH {SCORED}, q AS (SELECT 0.25 + (a.acctbal - b.acctbal) * (0.8 / 1000.0) + (coalesce(a.quantity, 0) - coalesce(b.quantity, 0)) * (0.5 / 100.0) AS up, 0.25 + (b.acctbal - a.acctbal) * (0.8 / 1000.0) + (coalesce(b.quantity, 0) - coalesce(a.quantity, 0)) * (0.5 / 100.0) AS down FROM r a JOIN r b ON a.nation = b.nation AND a.rank < b.rank)
+  SELECT round((count(CASE WHEN up > 0 THEN 1 END) + count(CASE WHEN NOT down > 0 THEN 1 END)) / (2.0 * nullif(count(*), 0)), 6) AS pair_accuracy FROM q""")
 def pair_accuracy(spark, d):
     s = ranking.numbers(scored_suppliers(spark, d).drop("score"), LINEAR.features)
     pairs = joins.pairwise(s, ["nation"], ["rank"], "supp", LINEAR.features)
