@@ -54,3 +54,15 @@ def maybe(rows: DataFrame, hashed: Column, keys: DataFrame, key_hash: Column, n:
     marked = rows.withColumns({"_bucket": F.shiftright(own, 15), "_bit": own.bitwiseAND(F.lit((1 << 15) - 1)).cast("int")}).join(F.broadcast(bitmap), "_bucket", "left")  # MOST_BITS at most
     is_set = F.expr("shiftright(cast(conv(hex(substring(_bitmap, _bit div 8 + 1, 1)), 16, 10) AS int), _bit % 8) & 1 = 1")
     return marked.select(*rows.columns, F.coalesce(is_set, F.lit(False)).alias("_maybe"))
+
+
+def largest_counts(counted: DataFrame, n_col: str, most: int) -> DataFrame:
+    """The rows of the largest counts, ``most`` of them at most: all whose count is above a bound that a histogram of the counts' sizes gives."""
+    step = F.floor(F.log2(F.col(n_col)) * 8)
+    sizes = sorted(((r["step"], r["count"]) for r in counted.groupBy(step.alias("step")).count().collect()), reverse=True)  # a row for each eighth of a power of two
+    total, least = 0, None
+    for at, n in sizes:
+        if total + n > most:
+            break
+        total, least = total + n, at
+    return counted.where(step >= least) if least is not None else counted.where(F.lit(False))

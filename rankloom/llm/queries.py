@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, extraction, idfiles, packing, quality, secrets, simhash, sketches, urls, warc
+from rankloom.llm import bitslices, bpe, extraction, idfiles, packing, phrases, quality, secrets, simhash, sketches, urls, warc
 from rankloom.llm.work import documents, pages
 
 
@@ -55,6 +56,14 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op13_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslices.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
 QUERIES = {
     "op1_template_tree": op1_template_tree,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -66,10 +75,14 @@ QUERIES = {
     "op8_style_tree_text": op8_style_tree_text,
     "op9_forest_secrets": op9_forest_secrets,
     "op10_simhash_trie": op10_simhash_trie,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_bit_sliced_search": op13_bit_sliced_search,
 }
 
 ORACLES: dict[str, str] = {
     "op7_divergence_rules": quality.SQL,
+    "op12_phrase_collocations": phrases.SQL,
+    "op13_bit_sliced_search": bitslices.SQL,
     "op2_warc_round_trip": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
              d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS digest FROM p),
