@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bitslices, bpe, extraction, idfiles, packing, phrases, quality, secrets, simhash, sketches, urls, warc
+from rankloom.llm import alignment, bitslices, bpe, extraction, idfiles, packing, phrases, quality, secrets, simhash, sketches, urls, warc
 from rankloom.llm.work import documents, pages
 
 
@@ -56,6 +56,10 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op8_style_tree_text": op8_style_tree_text,
     "op9_forest_secrets": op9_forest_secrets,
     "op10_simhash_trie": op10_simhash_trie,
+    "op11_token_alignment": op11_token_alignment,
     "op12_phrase_collocations": op12_phrase_collocations,
     "op13_bit_sliced_search": op13_bit_sliced_search,
 }
