@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import periods
-from rankloom.functions.text import token_sort_ratio
+from rankloom.operators.fuzzy import similar_names
 
 
 def with_default(left: DataFrame, right: DataFrame, on: Sequence[str], column: str, default) -> DataFrame:
@@ -37,44 +37,17 @@ def first_substring(name: Column, entries: Sequence[str]) -> Column:
     return reduce(lambda otherwise, x: F.when((a != "") & (F.contains(a, F.lit(x)) | F.contains(F.lit(x), a)), F.lit(x)).otherwise(otherwise), reversed(entries), F.lit(None).cast("string"))
 
 
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
-
-
-def letters(c: Column) -> Column:
-    """How often each letter of ALPHABET occurs, and how many other characters there are."""
-    counts = [F.length(c) - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in ALPHABET]
-    other = reduce(lambda a, b: a - b, counts, F.length(c))
-    return F.array(*counts, other)
-
-
-def could_reach(a: Column, b: Column, m: Column, n: Column, least: float) -> Column:
-    """Whether two strings of letter counts a, b and lengths m, n can have the ratio: no common subsequence is longer than their common letters."""
-    common = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return 200 * common >= F.lit(least) * (m + n)
-
-
-def blocked_pairs(left: DataFrame, right: DataFrame, name: str, other: str, least: float = 90.0) -> DataFrame:
-    """Pairs that can reach the score at all.
+def best_match(left: DataFrame, right: DataFrame, name: str, other: str, key: str, order: str, least: float = 90.0) -> DataFrame:
+    """The right row of the highest token-sort ratio per left key (first in order among equals), if it reaches ``least``.
 
-    A ratio r of lengths m, n has a common subsequence of r (m + n) / 200
-    characters, so the lengths obey min / max >= r / (200 - r). Lengths are cut
-    into bands growing by that factor and only neighbouring bands are joined. Of
-    these, pairs without enough letters in common go before any Python sees them.
+    Distinct names are matched once, through the index of :mod:`rankloom.operators.fuzzy`; the best row of each is an aggregate.
     """
-    grow = (200 - least) / least
-    plain = lambda c: F.regexp_replace(F.trim(c), r"\s+", " ")
-    band = lambda c: F.floor(F.log(F.greatest(F.length(plain(c)), F.lit(1))) / F.log(F.lit(grow)))
-    side = lambda df, c, at: df.withColumns({f"_{at}": letters(plain(F.col(c))), f"_{at}n": F.length(plain(F.col(c)))})
-    near = side(left, name, "x").withColumn("_band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: band(F.col(name)) + d)))
-    met = near.join(side(right, other, "y").withColumn("_band", band(F.col(other))), "_band")
-    return met.where(could_reach(F.col("_x"), F.col("_y"), F.col("_xn"), F.col("_yn"), least)).drop("_band", "_x", "_y", "_xn", "_yn")
-
-
-def best_match(left: DataFrame, right: DataFrame, name: str, other: str, key: str, order: str, least: float = 90.0) -> DataFrame:
-    """The right row of the highest token-sort ratio per left key (first in order among equals), if it reaches ``least``."""
-    scored = blocked_pairs(left, right, name, other, least).withColumn("score", token_sort_ratio(F.col(name), F.col(other))).where(F.col("score") >= least)
+    found = similar_names(left.select(F.col(name).alias("name")), right.select(F.col(other).alias("name")), least)
+    best = F.min_by(F.struct(*right.columns), F.struct(-F.col("score"), F.col(order)))
+    per_name = found.join(right, F.col("b") == F.col(other)).groupBy("a").agg(best.alias("_row"), F.max("score").alias("score"))
+    met = left.join(per_name, F.col(name) == F.col("a")).select(*(left[c] for c in left.columns), "_row.*", "score")
     w = Window.partitionBy(key).orderBy(F.desc("score"), order)
-    return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return met.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def cascade(names: DataFrame, known: DataFrame, aliases: DataFrame, order: Sequence[str] = ("exact", "alias", "fuzzy"), least: float = 90.0) -> DataFrame:

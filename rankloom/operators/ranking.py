@@ -3,25 +3,21 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.numeric import as_number, relevance
-from rankloom.operators.joins import pairwise
-from rankloom.operators.windows import kendall, predicted_rank, spearman
+from rankloom.functions.numeric import as_number
+from rankloom.operators.boosting import ListwiseRanker, cross_validate_listwise, load_ranker, save_ranker, train_listwise  # noqa: F401
+from rankloom.operators import pairs
+from rankloom.operators.windows import best_place, kendall, predicted_rank, spearman
 
 # Seasons never trained on, and the transparent tier's weights.
 HELD_OUT = (2018, 2019, 2021, 2022, 2023, 2024, 2025)
-SEED = 20260728
 TIER_A_WEIGHTS = {
     "goals_percentile_in_year": 2.0, "assists_percentile_in_year": 1.0, "apps_percentile_in_year": 0.3, "minutes_percentile_in_year": 0.2, "ucl_winner": 3.0, "ucl_runner_up": 1.0, "domestic_league_winner": 1.5,
     "domestic_league_runner_up": 0.3, "world_cup_winner": 3.5, "world_cup_runner_up": 1.2, "euro_winner": 2.0, "copa_america_winner": 1.8, "international_tournament_year": 0.5, "signature_moment": 1.5, "club_prestige_tier": -0.5,
@@ -67,269 +63,37 @@ def numbers(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in features], *(as_number(F.col(f)).alias(f) for f in features))
 
 
-def fit_pairs(pairs: DataFrame, features: Sequence[str], c: float = 1.0) -> LinearRanker:
-    """L2 logistic regression on pair differences, scaled by their population deviation (0: left alone)."""
-    stats = pairs.agg(F.count(F.lit(1)).alias("n"), *(F.stddev_pop(f).alias(f) for f in features)).first()
-    if not stats.n:
-        return LinearRanker(tuple(features), (0.0,) * len(features), (1.0,) * len(features), 0.0, 0)
-    scale = tuple(float(stats[f] or 0) or 1.0 for f in features)
-    scaled = pairs.select(F.col("label").cast("double").alias("label"), *((F.col(f) / s).alias(f) for f, s in zip(features, scale)))
-    ready = VectorAssembler(inputCols=list(features), outputCol="features").transform(scaled)
-    m = LogisticRegression(regParam=1.0 / (c * stats.n), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-10).fit(ready)
-    return LinearRanker(tuple(features), tuple(map(float, m.coefficients)), scale, float(m.intercept), stats.n)
+def train_linear(df: DataFrame, group: str, order: Sequence[str], key: str, features: Sequence[str], c: float = 1.0) -> LinearRanker:
+    """L2 logistic regression on the differences of all pairs of a group, scaled by their population deviation (0: left alone)."""
+    ((scale, w, b, n),) = pairs.fit_folds(numbers(df, features), group, order, key, features, c=c)
+    return LinearRanker(tuple(features), tuple(map(float, w)), tuple(map(float, scale)), b, n)
 
 
-def train_linear(df: DataFrame, group: str, order: Sequence[str], key: str, features: Sequence[str]) -> LinearRanker:
-    return fit_pairs(pairwise(numbers(df, features), [group], order, key, features), features)
+def pair_accuracy(met: DataFrame, model: LinearRanker) -> DataFrame:
+    return met.agg(F.avg(((model.score() > 0).cast("int") == F.col("label")).cast("double")).alias("pair_accuracy"))
 
 
-def pair_accuracy(pairs: DataFrame, model: LinearRanker) -> DataFrame:
-    return pairs.agg(F.avg(((model.score() > 0).cast("int") == F.col("label")).cast("double")).alias("pair_accuracy"))
-
-
-MOST_ROWS = 200_000  # candidate rows one task trains a listwise booster on; seasons' lists are a few thousand
-
-
-@dataclass(frozen=True)
-class ListwiseRanker:
-    """Regression trees in level order: (feature, threshold, missing goes left) of the inner nodes, values of the leaves."""
-
-    features: tuple[str, ...]
-    depth: int
-    inner: tuple[tuple[tuple[int, float, bool], ...], ...]
-    leaves: tuple[tuple[float, ...], ...]
-    gain: tuple[float, ...]
-
-    def score(self) -> Column:
-        """The ensemble as one expression, so scoring stays in the JVM."""
-
-        def walk(inner, leaves, at: int) -> Column:
-            if at >= len(inner):
-                return F.lit(leaves[at - len(inner)])
-            feature, threshold, left_if_missing = inner[at]
-            if feature < 0:
-                return walk(inner, leaves, 2 * at + 1)
-            c = F.col(self.features[feature]).cast("double")
-            low, high = walk(inner, leaves, 2 * at + 1), walk(inner, leaves, 2 * at + 2)
-            return F.when(c.isNull(), low if left_if_missing else high).when(c < threshold, low).otherwise(high)
-
-        total = F.lit(0.0)
-        for inner, leaves in zip(self.inner, self.leaves):
-            total = total + walk(inner, leaves, 0)
-        return total
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x))
-        for inner, leaves in zip(self.inner, self.leaves):
-            at = np.zeros(len(x), dtype=int)
-            for _ in range(self.depth):
-                f, t, m = (np.array([inner[k][j] for k in at]) for j in range(3))
-                v = x[np.arange(len(x)), np.maximum(f, 0)]
-                left = (f < 0) | np.where(np.isnan(v), m, v < t)
-                at = 2 * at + np.where(left, 1, 2)
-            out += np.array(leaves)[at - len(inner)]
-        return out
-
-
-def lambdas(score: np.ndarray, gain: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient and curvature of the pairwise logistic loss, weighted by what swapping two rows does to the group's NDCG."""
-    g, h = np.zeros(len(score)), np.zeros(len(score))
-    edges = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)]
-    for a, b in zip(edges, edges[1:]):
-        s, y = score[a:b], gain[a:b]
-        place = np.empty(b - a, dtype=int)
-        place[np.argsort(-s, kind="stable")] = np.arange(b - a)
-        discount = 1 / np.log2(2.0 + place)
-        ideal = (np.sort(y)[::-1] / np.log2(2.0 + np.arange(b - a))).sum()
-        if ideal <= 0:
-            continue
-        better = y[:, None] > y[None, :]
-        change = np.abs((y[:, None] - y[None, :]) * (discount[:, None] - discount[None, :])) / ideal * better
-        p = 1 / (1 + np.exp(np.clip(s[:, None] - s[None, :], -35, 35)))
-        pull, bend = change * p, change * p * (1 - p)
-        g[a:b] += pull.sum(axis=0) - pull.sum(axis=1)
-        h[a:b] += bend.sum(axis=0) + bend.sum(axis=1)
-    return g, h
-
-
-def fit_listwise(x: np.ndarray, rank: np.ndarray, group: np.ndarray, features: Sequence[str], rounds: int = 200, depth: int = 3, rate: float = 0.05, share: float = 0.8, l1: float = 1.0, l2: float = 5.0, least: float = 5.0, bins: int = 32, seed: int = SEED) -> ListwiseRanker:
-    """Boosted trees on NDCG gradients; rows sorted by group, missing values are NaN and go where they gain most."""
-    rng, (n, d) = np.random.default_rng(seed), x.shape
-    cuts = [np.unique(np.quantile(v, np.linspace(0, 1, bins + 1)[1:-1])) if len(v := x[~np.isnan(x[:, f]), f]) else np.zeros(0) for f in range(d)]
-    code = np.stack([np.where(np.isnan(x[:, f]), bins, np.searchsorted(cuts[f], x[:, f], side="right")) for f in range(d)], axis=1) if n else np.zeros((0, d), dtype=int)
-    gain, score, total = np.maximum(32 - rank, 1).astype(float), np.zeros(n), np.zeros(d)
-    inner, leaves = [], []
-    best = lambda g, h: np.maximum(np.abs(g) - l1, 0) ** 2 / (h + l2)
-    for _ in range(rounds if n else 0):
-        g, h = lambdas(score, gain, group)
-        unit = max(h.mean(), 1e-12)  # a row has a curvature of 1 on average, so l1, l2 and least count rows
-        g, h = g / unit, np.maximum(h / unit, 1e-6)
-        rows = rng.random(n) < share
-        columns = np.sort(rng.choice(d, max(1, round(share * d)), replace=False))
-        at, tree = np.zeros(n, dtype=int), []
-        for level in range(depth):
-            for node in range(2**level - 1, 2 ** (level + 1) - 1):
-                inside = rows & (at == node)
-                gs, hs = g[inside].sum(), h[inside].sum()
-                found = (0.0, -1, 0.0, True)
-                for f in columns if inside.any() else ():
-                    if not len(cuts[f]):
-                        continue
-                    gb, hb = (np.bincount(code[inside, f], weights=v[inside], minlength=bins + 1) for v in (g, h))
-                    for missing_left in (True, False):
-                        gl, hl = np.cumsum(gb[: len(cuts[f])]) + gb[bins] * missing_left, np.cumsum(hb[: len(cuts[f])]) + hb[bins] * missing_left
-                        won = np.where((hl >= least) & (hs - hl >= least), best(gl, hl) + best(gs - gl, hs - hl) - best(gs, hs), 0)
-                        k = int(np.argmax(won))
-                        if won[k] > found[0] + 1e-12:
-                            found = (float(won[k]), int(f), float(cuts[f][k]), missing_left)
-                won, f, cut, missing_left = found
-                tree.append((f, cut, missing_left))
-                here = at == node
-                if f < 0:
-                    at[here] = 2 * node + 1
-                else:
-                    total[f] += won
-                    v = x[:, f]
-                    at[here] = 2 * node + np.where(np.where(np.isnan(v), missing_left, v < cut), 1, 2)[here]
-        values = []
-        for leaf in range(2**depth - 1, 2 ** (depth + 1) - 1):
-            inside = rows & (at == leaf)
-            gs = g[inside].sum()
-            values.append(float(-rate * np.sign(gs) * max(abs(gs) - l1, 0) / (h[inside].sum() + l2)) if inside.any() else 0.0)
-        score += np.array(values)[at - (2**depth - 1)]
-        inner.append(tuple(tree))
-        leaves.append(tuple(values))
-    return ListwiseRanker(tuple(features), depth, tuple(inner), tuple(leaves), tuple(total.tolist()))
-
-
-def listwise_arrays(df: DataFrame, group: str, rank: str, key: str, features: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(values, ranks, groups) of at most MOST_ROWS candidate rows; a larger table is refused, not cut."""
-    rows = df.select(group, rank, key, *(F.col(f).cast("double").alias(f) for f in features))
-    pdf = rows.limit(MOST_ROWS + 1).toPandas()
-    if len(pdf) > MOST_ROWS:
-        raise ValueError(f"a listwise booster is fitted on {MOST_ROWS} rows at most; use train_boosted")
-    pdf = pdf.sort_values([group, rank, key], kind="stable")
-    return pdf[list(features)].to_numpy(float), pdf[rank].to_numpy(float), pdf[group].to_numpy()
-
-
-def train_listwise(df: DataFrame, group: str, rank: str, key: str, features: Sequence[str], **options) -> ListwiseRanker:
-    """Trees that rank each group's rows, fitted on the NDCG of relevance 32 - rank (1 at least)."""
-    x, y, g = listwise_arrays(df, group, rank, key, features)
-    return fit_listwise(x, y, g, features, **options)
-
-
-def cross_validate_listwise(df: DataFrame, year: str, key: str, rank: str, features: Sequence[str], **options) -> DataFrame:
-    """year, key, rank, score by a listwise model of all other years; a task a fold, its training rows are broadcast (MOST_ROWS at most)."""
-    x, y, g = listwise_arrays(df, year, rank, key, features)
-    spark, names = df.sparkSession, list(features)
-    held = spark.sparkContext.broadcast((x, y, g))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, g = held.value
-        others = g != pdf[year].iloc[0]
-        model = fit_listwise(x[others], y[others], g[others], names, **options)
-        return pd.DataFrame({year: pdf[year], key: pdf[key].astype(str), rank: pdf[rank], "score": model.predict(pdf[names].to_numpy(float))})
-
-    rows = df.select(year, F.col(key).cast("string").alias(key), F.col(rank).cast("int").alias(rank), *(F.col(f).cast("double").alias(f) for f in features))
-    return rows.groupBy(year).applyInPandas(fold, f"{year} {dict(df.dtypes)[year]}, {key} string, {rank} int, score double")
-
-
-def train_boosted(df: DataFrame, features: Sequence[str], rank: str = "rank"):
-    """Distributed boosted trees on graded relevance, for tables beyond one task: pointwise, Spark has no listwise booster."""
-    ready = VectorAssembler(inputCols=list(features), outputCol="features").transform(numbers(df, features).withColumn("label", relevance(F.col(rank)).cast("double")))
-    return GBTRegressor(maxDepth=3, stepSize=0.05, subsamplingRate=0.8, maxIter=60, seed=SEED).fit(ready)
-
-
-def save_booster(model, path: str) -> None:
-    """Spark's own format, a new folder each time; a listwise ranker is JSON."""
-    if isinstance(model, ListwiseRanker):
-        raise TypeError("write to_json() of a listwise ranker with sources.landing.json_artifact")
-    model.save(path)
-
-
-def importance(model, features: Sequence[str], top: int = 15) -> list[tuple[str, float]]:
+def importance(model: ListwiseRanker, features: Sequence[str], top: int = 15) -> list[tuple[str, float]]:
     """Features by gain, largest first, scaled to a sum of 1."""
-    gains = np.array(model.gain) if isinstance(model, ListwiseRanker) else model.featureImportances.toArray()
+    gains = np.array(model.gain)
     gains = gains / gains.sum() if gains.sum() > 0 else gains
     return sorted(zip(features, map(float, gains)), key=lambda x: (-x[1], x[0]))[:top]
 
 
-def solve_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0) -> tuple[np.ndarray, float]:
-    """Newton's method on the same objective as :func:`fit_pairs`, for small arrays."""
-    a = np.c_[x, np.ones(len(x))]
-    w, ridge = np.zeros(a.shape[1]), np.r_[np.ones(x.shape[1]), 0.0]
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
-        step = newton_step(c * a.T @ (p - y) + ridge * w, c * (a.T * (p * (1 - p))) @ a + np.diag(ridge + 1e-12))
-        w -= step
-        if np.abs(step).max() < 1e-10:
-            break
-    return w[:-1], float(w[-1])
-
-
-def newton_step(gradient: np.ndarray, hessian: np.ndarray) -> np.ndarray:
-    return np.linalg.solve(hessian, gradient)
-
-
-def fold_models(pairs: DataFrame, year: str, years: Sequence[int], features: Sequence[str], kind: str = "loso", c: float = 1.0, rounds: int = 40) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
-    """(scale, coefficients, intercept) of the model of each fold.
-
-    All folds are fitted together: a Newton round sums every fold's gradient and
-    curvature over the pairs where they lie, and the driver gets folds x features^2
-    numbers. No pair is copied to a fold and none is shuffled.
-    """
-    folds_, d = np.array(list(years)), len(features)
-    names = list(features)
-    used = (lambda y: y[:, None] != folds_[None, :]) if kind == "loso" else (lambda y: y[:, None] < folds_[None, :])
-    spread = pairs.groupBy(year).agg(F.count(F.lit(1)).alias("n"), *(F.sum(f).alias(f"s{i}") for i, f in enumerate(names)), *(F.sum(F.col(f) * F.col(f)).alias(f"q{i}") for i, f in enumerate(names))).toPandas()  # a row a year
-    mask = used(spread[year].to_numpy()).astype(float)
-    n = mask.T @ spread["n"].to_numpy(float)
-    sums, squares = (mask.T @ spread[[f"{k}{i}" for i in range(d)]].to_numpy(float) for k in "sq")
-    safe = np.maximum(n, 1)[:, None]
-    scale = np.sqrt(np.maximum(squares / safe - (sums / safe) ** 2, 0))
-    scale[scale < 1e-12] = 1.0
-    w = np.zeros((len(folds_), d + 1))
-    ridge = np.r_[np.ones(d), 0.0]
-    rows = pairs.select(year, "label", *names)
-    for _ in range(rounds):
-        now = w.copy()
-
-        def partial(frames: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
-            g, h = np.zeros((len(folds_), d + 1)), np.zeros((len(folds_), d + 1, d + 1))
-            for pdf in frames:
-                x, y, in_fold = pdf[names].to_numpy(float), pdf["label"].to_numpy(float), used(pdf[year].to_numpy())
-                for f in range(len(folds_)):
-                    a = np.c_[x[in_fold[:, f]] / scale[f], np.ones(in_fold[:, f].sum())]
-                    p = 1 / (1 + np.exp(-np.clip(a @ now[f], -35, 35)))
-                    g[f] += a.T @ (p - y[in_fold[:, f]])
-                    h[f] += (a.T * (p * (1 - p))) @ a
-            yield pd.DataFrame({"g": [g.tobytes()], "h": [h.tobytes()]})
-
-        g, h = np.zeros((len(folds_), d + 1)), np.zeros((len(folds_), d + 1, d + 1))
-        for r in rows.mapInPandas(partial, "g binary, h binary").toLocalIterator():  # a row a task
-            g += np.frombuffer(r.g).reshape(g.shape)
-            h += np.frombuffer(r.h).reshape(h.shape)
-        steps = np.stack([newton_step(c * g[f] + ridge * w[f], c * h[f] + np.diag(ridge + 1e-12)) if n[f] else np.zeros(d + 1) for f in range(len(folds_))])
-        w -= steps
-        if np.abs(steps).max(initial=0.0) < 1e-8:
-            break
-    return {int(y): (scale[f], w[f, :-1], float(w[f, -1])) for f, y in enumerate(folds_)}
+def fold_models(df: DataFrame, year: str, order: Sequence[str], key: str, years: Sequence[int], features: Sequence[str], kind: str = "loso", c: float = 1.0) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """(scale, coefficients, intercept) of the model of each fold; all folds are fitted together, from blocks of the pools."""
+    found = pairs.fit_folds(df, year, order, key, features, list(years), kind, c) if len(years) else []
+    return {y: (scale, w, b) for y, (scale, w, b, _) in zip(years, found)}
 
 
 def cross_validate(df: DataFrame, year: str, order: Sequence[str], key: str, rank: str, features: Sequence[str], kind: str = "loso", skip: int = 0) -> DataFrame:
     """year, key, rank, score: every year's rows scored by a model of the other years (loso) or of earlier ones (expanding).
 
-    The first ``skip`` years are no folds of their own. Pairs are made once and
-    kept while the folds are fitted.
+    The first ``skip`` years are no folds of their own.
     """
     clean = numbers(df, features)
-    years = sorted(r[0] for r in clean.select(year).distinct().collect())[skip:]  # a row a year
-    pairs = pairwise(clean, [year], order, key, features).persist()
-    try:
-        models = fold_models(pairs, year, years, features, kind)
-    finally:
-        pairs.unpersist()
-    return scored_by_fold(clean, year, key, rank, features, models)
+    years = sorted(r[0] for r in clean.select(year).distinct().collect() if r[0] is not None)[skip:]  # a row a year
+    return scored_by_fold(clean, year, key, rank, features, fold_models(clean, year, order, key, years, features, kind))
 
 
 def scored_by_fold(df: DataFrame, year: str, key: str, rank: str, features: Sequence[str], models: dict[int, tuple[np.ndarray, np.ndarray, float]]) -> DataFrame:
@@ -343,7 +107,7 @@ def scored_by_fold(df: DataFrame, year: str, key: str, rank: str, features: Sequ
 def yearly_metrics(scores: DataFrame, year: str | Sequence[str], key: str, rank: str, score: str) -> DataFrame:
     """year, winner_at, spearman, kendall; a year whose correlation is undefined has null. Several columns may tell a year (run, year)."""
     keys = [year] if isinstance(year, str) else list(year)
-    placed = scores.withColumn("winner_at", predicted_rank(keys, score, [key])).where(F.col(rank) == 1).groupBy(*keys).agg(F.min("winner_at").alias("winner_at"))
+    placed = best_place(scores, keys, score, [key], F.col(rank) == 1)
     turned = scores.withColumn("_r", -F.col(rank))
     return scores.select(*keys).distinct().join(placed, keys, "left").join(spearman(turned, keys, score, "_r"), keys, "left").join(kendall(turned, keys, score, "_r"), keys, "left")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -106,13 +107,66 @@ def first_rise(df: DataFrame, part: Sequence[str], order: str, value: str) -> Da
     return rises.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def average_rank(c: Column, part: Sequence[str]) -> Column:
-    return F.rank().over(Window.partitionBy(*part).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*part, c)) - 1) / 2
+PER_RANGE = 1_000_000  # rows of a pool that one task sorts, about
+SAMPLE = 64  # sampled rows for each range
+
+
+def falling(c: str) -> list[Column]:
+    """Largest first, nulls last, as ascending columns."""
+    return [F.col(c).isNull(), -F.col(c)]
+
+
+def same_pool(left: DataFrame, right: DataFrame, part: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [left[p].eqNullSafe(right[f"_of_{p}"]) for p in part])
+
+
+def ranged(df: DataFrame, part: Sequence[str], order: Sequence[str | Column], per_range: int = PER_RANGE, most: int = 256) -> DataFrame:
+    """``df`` with ``_range``: pools above ``per_range`` rows are cut at sampled bounds of the whole sort key, others are one range.
+
+    ``order`` is ascending, ties included. Bounds are broadcast: two for each ``per_range`` rows of the table at most.
+    """
+    parts, key = list(part), F.struct(*((F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(order)))
+    of = [F.col(p).alias(f"_of_{p}") for p in parts]
+    sizes = df.groupBy(*parts).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > per_range)
+    big = F.broadcast(sizes.select(*of, "_size", F.least(F.ceil(F.col("_size") / per_range), F.lit(most)).cast("int").alias("_ranges")))
+    keys = df.select(*parts, key.alias("_key"))
+    sampled = keys.join(big, same_pool(keys, big, parts)).where(F.pmod(F.xxhash64("_key"), F.col("_size")) < SAMPLE * F.col("_ranges"))
+    drawn = sampled.groupBy(*(f"_of_{p}" for p in parts)).agg(F.array_sort(F.collect_list("_key")).alias("_drawn"), F.max("_ranges").alias("_ranges"))  # SAMPLE x most rows a pool, about
+    at = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_ranges") - 1, F.lit(1))), lambda i: F.get("_drawn", F.floor(i * F.size("_drawn") / F.col("_ranges")).cast("int")))
+    bounds = F.broadcast(drawn.select(*(f"_of_{p}" for p in parts), F.array_distinct(at).alias("_bounds")))
+    met = df.join(bounds, same_pool(df, bounds, parts), "left")
+    return met.select(*df.columns, F.coalesce(F.size(F.filter("_bounds", lambda b: b < key)), F.lit(0)).alias("_range"))
+
+
+def row_numbers(df: DataFrame, part: Sequence[str], order: Sequence[str | Column], name: str, per_range: int = PER_RANGE) -> DataFrame:
+    """``df`` with the row's number in its pool by ``order`` (ascending, unique): numbers within a range and the rows of the ranges before it."""
+    parts = list(part)
+    rows = ranged(df, parts, order, per_range)
+    sizes = rows.groupBy(*parts, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    before_ = F.sum("_size").over(Window.partitionBy(*parts).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a few hundred rows a pool
+    starts = sizes.select(*(F.col(p).alias(f"_of_{p}") for p in parts), F.col("_range").alias("_at"), F.coalesce(before_, F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*parts, "_range").orderBy(*order))
+    numbered = rows.withColumn("_inside", inside)
+    met = numbered.join(starts, same_pool(numbered, starts, parts) & (F.col("_range") == F.col("_at")))
+    return met.select(*df.columns, (F.col("_start") + F.col("_inside")).alias(name))
+
+
+def best_place(df: DataFrame, part: Sequence[str], score: str, ties: Sequence[str], won: Column, name: str = "winner_at") -> DataFrame:
+    """The place of each pool's best placed winner by score, largest first: how many rows stand before it, counted without sorting."""
+    key = F.struct(*falling(score), *ties)
+    best = df.where(won).groupBy(*part).agg(F.min(key).alias("_best")).select(*(F.col(p).alias(f"_of_{p}") for p in part), "_best")  # a row a pool
+    met = df.select(*part, key.alias("_key")).join(best, reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(f"_of_{p}")) for p in part]))
+    return met.groupBy(*part).agg((F.count_if(F.col("_key") < F.col("_best")) + 1).alias(name))
 
 
 def spearman(df: DataFrame, part: Sequence[str], a: str, b: str) -> DataFrame:
-    ranked = df.select(*part, average_rank(F.col(a), part).alias("_a"), average_rank(F.col(b), part).alias("_b"))
-    return ranked.groupBy(*part).agg(F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b")).alias("spearman"))  # null where one side is constant
+    """Rank correlation within each pool, null where one side is constant; ranks come from ranges of the values, so no task sorts a pool.
+
+    Mid-rank percentiles are average ranks up to a linear change that is the same for all rows of a pool. Only rows that have both values count.
+    """
+    rows = df.select(*part, F.col(a).alias("_a"), F.col(b).alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
+    ranked = midrank_by_ranges(midrank_by_ranges(rows, part, "_a", "_ra"), part, "_b", "_rb")
+    return ranked.groupBy(*part).agg(F.try_divide(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb")).alias("spearman"))
 
 
 def inversions(b: np.ndarray) -> int:
@@ -149,15 +203,18 @@ STRIP = 250_000  # rows of a pool that one task compares
 def kendall(df: DataFrame, part: Sequence[str], a: str, b: str, strip: int = STRIP) -> DataFrame:
     """Tie-corrected tau-b within each pool, n log n; null where one side is constant.
 
-    Pools above ``strip`` rows are cut at quantiles of both sides. A pair lies in
-    one strip of a, in one strip of b, or in neither: strips are counted in tasks
-    of their own, pairs that share both strips are taken off once, and all others
-    follow from the numbers of rows in the grid of strips.
+    Pools above ``strip`` rows are cut at quantiles of both sides; a quantile's own
+    value is a strip, so frequent values don't share one. A pair lies in one strip
+    of a, in one strip of b, or in neither: strips are counted in tasks of their
+    own (those of one value hold ties only and go to no task), pairs that share both
+    strips are taken off once, and all others follow from the numbers of rows in
+    the grid of strips.
     """
     keys = list(part)
     rows = df.select(*keys, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_a", [i / 64 for i in range(1, 64)], 1000).alias("_qa"), F.percentile_approx("_b", [i / 64 for i in range(1, 64)], 1000).alias("_qb"))
-    cut = lambda c, q: F.when(F.col("_n") > strip, F.size(F.filter(F.array_distinct(q), lambda x: x < F.col(c)))).otherwise(F.lit(0))
+    upto = lambda c, q: F.size(F.filter(F.array_distinct(q), lambda x: x < F.col(c))) + F.size(F.filter(F.array_distinct(q), lambda x: x <= F.col(c)))  # noqa: E731  odd: a quantile's own value
+    cut = lambda c, q: F.when(F.col("_n") > strip, upto(c, q)).otherwise(F.lit(0))
     placed = rows.join(sizes, keys).select(*keys, "_a", "_b", cut("_a", "_qa").alias("_sa"), cut("_b", "_qb").alias("_sb"), (F.col("_n") > strip).alias("_cut"))
     kinds = dict(df.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", _s long"
@@ -171,17 +228,16 @@ def kendall(df: DataFrame, part: Sequence[str], a: str, b: str, strip: int = STR
         return pd.DataFrame([[*first(pdf), s]], columns=[*keys, "_s"])
 
     def grid(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = np.zeros((65, 65), dtype=np.int64)
-        n[pdf["_sa"], pdf["_sb"]] = pdf["n"]
-        s = 0
-        for i, j in zip(*np.nonzero(n)):
-            if i:
-                row = n[:i].sum(axis=0)
-                s += int(n[i, j]) * int(row[:j].sum() - row[j + 1 :].sum())
+        n = np.zeros((130, 130), dtype=object)  # whole numbers of any size
+        n[pdf["_sa"], pdf["_sb"]] = [int(x) for x in pdf["n"]]
+        above = np.cumsum(n, axis=0) - n  # rows of lesser strips of a, by strip of b
+        upto = np.cumsum(above, axis=1)
+        s = int((n * ((upto - above) - (upto[:, -1:] - upto))).sum())
         return pd.DataFrame([[*first(pdf), s]], columns=[*keys, "_s"])
 
     role = F.explode(F.when(F.col("_cut"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     dealt = placed.select(*keys, "_a", "_b", "_sa", "_sb", role.alias("_role")).withColumn("_strip", F.when(F.col("_role") == 0, F.col("_sa")).otherwise(F.col("_sb")))
+    dealt = dealt.where(F.col("_strip") % 2 == 0)
     inside = dealt.groupBy(*keys, "_role", "_strip").applyInPandas(strips, schema)
     across = placed.where("_cut").groupBy(*keys, "_sa", "_sb").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).applyInPandas(grid, schema)
     total = inside.unionByName(across).groupBy(*keys).agg(F.sum("_s").alias("_s"))

@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brute import lambdas, solve_logistic
 from rankloom.functions import numeric, periods, text
-from rankloom.operators import aggregates, joins, ranking, windows
+from rankloom.operators import aggregates, boosting, joins, ranking, windows
 from rankloom.plans import catalog, reports
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -51,11 +52,11 @@ def test_folds_fitted_together_equal_single_fits(spark):
     pairs = joins.pairwise(df, ["y"], ["rank"], "k", ["a", "b"])
     pdf = pairs.toPandas()
     for kind in ("loso", "expanding"):
-        for y, (scale, w, b) in ranking.fold_models(pairs, "y", range(2001, 2005), ["a", "b"], kind).items():
+        for y, (scale, w, b) in ranking.fold_models(df, "y", ["rank"], "k", range(2001, 2005), ["a", "b"], kind).items():
             train = pdf[pdf.y != y] if kind == "loso" else pdf[pdf.y < y]
             x = train[["a", "b"]].to_numpy()
             assert scale == pytest.approx(x.std(axis=0))
-            want, intercept = ranking.solve_logistic(x / x.std(axis=0), train.label.to_numpy(float))
+            want, intercept = solve_logistic(x / x.std(axis=0), train.label.to_numpy(float))
             assert w == pytest.approx(want, abs=1e-6) and b == pytest.approx(intercept, abs=1e-6)
     scored = ranking.cross_validate(df, "y", ["rank"], "k", "rank", ["a", "b"], "expanding", skip=2)
     assert sorted({r.y for r in scored.collect()}) == [2002, 2003, 2004]
@@ -78,8 +79,12 @@ def test_listwise_ranker(spark):
     assert (best <= 3).mean() > 0.8
     held = ranking.cross_validate_listwise(df, "y", "k", "rank", ["a", "b", "c"], rounds=30).toPandas()
     assert len(held) == 360 and (held.loc[held.groupby("y").score.idxmax()]["rank"] <= 4).mean() > 0.6
-    g, h = ranking.lambdas(np.zeros(3), np.array([3.0, 2.0, 1.0]), np.zeros(3))
-    assert g[0] < 0 < g[2] and abs(g.sum()) < 1e-12 and (h > 0).all()
+    g, h = boosting.gradients(np.zeros((1, 3)), np.array([3.0, 2.0, 1.0]))
+    assert g[0, 0] < 0 < g[0, 2] and abs(g.sum()) < 1e-12 and (h > 0).all()
+    for n in (1, 2, 40):
+        gain, score = np.maximum(32.0 - np.sort(rng.integers(1, 40, n)), 1), rng.normal(size=(3, n)).round(1)
+        for k, pair in enumerate(zip(*boosting.gradients(score, gain))):
+            assert np.allclose(pair, lambdas(score[k], gain, np.zeros(n)))
 
 
 def test_ingest_survives_a_replay_and_prefers_good_rows(spark, tmp_path):

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brute import solve_logistic
 from rankloom.operators import aggregates, joins, ranking, windows
 from rankloom.sources import landing
 
@@ -35,7 +36,7 @@ def test_pairs_are_antisymmetric_and_fit_the_objective(spark):
     assert len(p) == 6 * 56 and abs(p[["a", "b"]].sum()).max() < 1e-9
     m = ranking.train_linear(df, "g", ["rank"], "k", ["a", "b"])
     x = p[["a", "b"]].to_numpy() / np.array(m.scale)
-    w, b = ranking.solve_logistic(x, p.label.to_numpy(float))
+    w, b = solve_logistic(x, p.label.to_numpy(float))
     assert np.allclose(w, m.coefficients, atol=1e-4)
     s = df.withColumn("s", m.score()).withColumn("c", F.aggregate(m.contributions(), F.lit(m.intercept), lambda t, c: t + c["contribution"])).toPandas()
     assert np.allclose(s.s, s.c)
