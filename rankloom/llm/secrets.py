@@ -2,8 +2,11 @@
 
 A candidate is a run of 16 or more key characters with a digit among them (12
 after an equals sign or colon), of 8 or more after a name like ``password=``, or
-one of a published key format; a word may hold several, between any delimiters.
-Private key blocks are found by their headers. A forest votes on its length, its
+one of a published key format, or whatever stands as the value of a name like
+``password=`` or in an element of such a name, marks included; a word may hold
+several, between any delimiters. Private key blocks are taken from their header to
+the end line of the same label, headers and all, whatever their length; without
+an end line, to the last line of the key. A forest votes on its length, its
 character-class transitions, its dictionary coverage, the path it stands in and
 the words beside it. It is fitted once on labelled findings, a bounded table (by
 default ``TRAINING`` rows made by rule from published key formats and from the
@@ -34,8 +37,8 @@ VOTES = 0.5
 MASK = "[SECRET]"
 
 # Words that secrets are announced by, and words found inside identifiers and paths.
-HINTS = "password passwd pwd secret token apikey api_key key auth bearer credential credentials private access client_secret signature".split()
-HARMLESS = "sha1 sha256 md5 digest checksum hash commit revision etag uuid guid id card order invoice phone version build image layer".split()
+HINTS = "password passwd pwd secret token apikey api_key key auth bearer credential credentials private access client_secret signature authorization webhook".split()
+HARMLESS = "sha1 sha256 md5 digest checksum hash commit revision etag uuid guid id card order invoice phone version build image layer cache list video iban integrity asset chunk trace span".split()
 DICTIONARY = (
     "about access account address after agent alpha api app application archive article back base beta blog book branch build cache card category check class click client code comment common config content "
     "copy count country data date default design detail develop device document down download edit email error event example feature feed file find first flag folder form forum from group guide help home "
@@ -45,20 +48,34 @@ DICTIONARY = (
     "simple site source stage start state static status store story stream style sub support system table tag target task team template test text theme time title token tool topic track train type "
     "update upload user value version video view web week widget window word work world year"
 ).split()
-FEATURES = ("length", "transitions", "distinct", "digits", "uppers", "hexes", "dictionary", "slashes", "dots", "dashes", "web", "sample_path", "hinted", "harmless", "assigned", "quoted", "all_digits", "known_start", "made_up")
+FEATURES = (
+    "length", "transitions", "distinct", "digits", "uppers", "hexes", "dictionary", "slashes", "dots", "dashes", "marks", "web", "sample_path", "hinted", "harmless", "assigned", "quoted", "all_digits", "known_start", "made_up",
+    "filled_in", "media", "versioned", "account", "wordlike",
+)
 # Words beside a value that say it is no real one.
 MADE_UP = "example|sample|dummy|placeholder|fake|changeme|redacted|fixture"
 # Key-like runs of a word, whatever stands before and after them; published key formats also inside longer runs.
 RUN = r"([A-Za-z0-9+/_\-.~]{7,}[A-Za-z0-9+/_\-](?:={1,2}(?![A-Za-z0-9+/_\-.~\"'=]))?)"
-STARTS = r"AKIA|ASIA|AIza|gh[pousr]_|glpat-|sk-|sk_|rk_|xox[abprs]-|eyJ|npm_|pypi-|SG\.|ya29\."
+STARTS = r"AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|glsa_|sk-|sk_|rk_|whsec_|xox[abprs]-|eyJ|npm_|pypi-|SG\.|ya29\.|GOCSPX-|hf_|dop_v1_|shp(?:at|ca|pa|ss)_|sq0(?:atp|csp)-|hvs\.|lin_api_|PMAK-|NRAK-|key-"
 PUBLISHED = (
-    r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|AIza[A-Za-z0-9_\-]{35}|gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_\-]{20,}|(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_\-]{20,}"
-    r"|xox[abprs]-[A-Za-z0-9\-]{10,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]*)?|npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_\-]{16,}|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|ya29\.[A-Za-z0-9_\-]{20,})"
+    r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|AIza[A-Za-z0-9_\-]{35}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_\-]{20,}|glsa_[A-Za-z0-9_]{32,}"
+    r"|(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}|whsec_[A-Za-z0-9]{24,}|sk-[A-Za-z0-9_\-]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]*)?|npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_\-]{16,}"
+    r"|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|ya29\.[A-Za-z0-9_\-]{20,}|GOCSPX-[A-Za-z0-9_\-]{20,}|hf_[A-Za-z0-9]{30,}|dop_v1_[a-f0-9]{64}|shp(?:at|ca|pa|ss)_[a-fA-F0-9]{32}|sq0(?:atp|csp)-[A-Za-z0-9_\-]{20,}"
+    r"|hvs\.[A-Za-z0-9_\-]{24,}|lin_api_[A-Za-z0-9]{32,}|PMAK-[0-9a-f\-]{24,}|NRAK-[A-Z0-9]{27}|dapi[0-9a-f]{32}(?![A-Za-z0-9])|SK[0-9a-f]{32}(?![A-Za-z0-9])|key-[0-9a-z]{32}(?![A-Za-z0-9])|T[A-Z0-9]{8,}/B[A-Z0-9]{8,}/[A-Za-z0-9]{24}|[0-9]{8,10}:AA[A-Za-z0-9_\-]{33})"
 )
-HEADER = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
-KEY_BLOCK = HEADER + r"(?:[^\-]{0,20000}-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\\[nr]|\s)*[A-Za-z0-9+/=]{16,}){0,200})"
-ASSIGNED = r"[=:][\"']?$"
-NAMED = rf"(?i)(?:{'|'.join(HINTS)})[A-Za-z0-9_\-]*[\"']?[=:]+[\"']?$"
+# Private key blocks. Possessive loops go through texts of any length without recursion.
+BREAK = r"(?:\\[nr]|\s)*+"
+HEADER = r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----"
+TO_ITS_END = r"[^\-]*+(?:-(?!----(?:BEGIN|END) )[^\-]*+)*+-----END \2-----"
+KEY_LINES = rf"(?:{BREAK}(?:(?:Proc-Type|DEK-Info): ?[^\s\\]*+|(?:Version|Comment|Hash|Charset|MessageID): [^\r\n\\]*+))*+(?:{BREAK}[A-Za-z0-9+/=]{{16,}}+)*+(?:{BREAK}[A-Za-z0-9+/]{{1,15}}={{1,2}})?"
+BLOCK = "-----BEGIN-----"
+KEY_BLOCK = rf"({HEADER}(?:{TO_ITS_END}|{KEY_LINES}))"
+ASSIGNED = r"[=:>][\"']?$"
+NAMED = rf"(?i)(?:{'|'.join(HINTS)})[A-Za-z0-9_\-]*[\"']?(?:[=:]+[\"']?|>)$"
+# Values of names that leave no doubt, with all their marks.
+NAMED_VALUE = r"(?i)(?:password|passwd|passphrase|pwd|secret|token|api_?key|credential)[A-Za-z0-9_\-]*[\"']?(?:[=:]+[\"']?|>)([^\s\"'<>&,;=:][^\s\"'<>&,;]{7,})"
+NAME_BEFORE = r"(?:password|passwd|passphrase|pwd|secret|token|api_?key|credential)[a-z0-9_\-]*[\"']?[=:]+$"
+NEXT_VALUE = r"^[\"']?([^\s\"'<>,;]{8,})"
 
 
 def split_words(text: Column) -> Column:
@@ -71,12 +88,12 @@ def lead_of(word: Column, value: Column) -> Column:
 
 
 def candidates(text: Column, source: Column) -> Column:
-    """Array of (position, word, value, before, after, source), position counted in words from 0; a word may hold several."""
+    """Array of (position, word, value, before, after, source), position counted in words from 0 (a private key block is part of one word); a word may hold several."""
 
     def pick(words: Column) -> Column:
         near = lambda i: F.lower(F.coalesce(F.get(words, i), F.lit("")))
         opened = lambda i: F.rlike(near(i - 1), F.lit("[=:]$"))
-        worth = lambda w, i: (F.length(w) >= 8) & (F.rlike(w, F.lit(f"[0-9=:]|{STARTS}")) | opened(i))
+        worth = lambda w, i: (F.length(w) >= 8) & (F.rlike(w, F.lit(f"[0-9=:>]|{STARTS}")) | opened(i))
 
         def runs(i: Column) -> Column:
             word = F.get(words, i)
@@ -91,7 +108,9 @@ def candidates(text: Column, source: Column) -> Column:
                 said = opened(i) & F.rlike(before, F.lit(rf"(^|[^a-z])({'|'.join(HINTS)})([^a-z]|$)")) & F.rlike(lead, F.lit("^[\"']?$"))
                 return shaped | named | said | F.rlike(v, F.lit(f"^{PUBLISHED}$"))
 
-            found = F.filter(F.array_union(F.regexp_extract_all(word, F.lit(PUBLISHED), F.lit(1)), F.regexp_extract_all(word, F.lit(RUN), F.lit(1))), looks)
+            runs_ = F.filter(F.regexp_extract_all(word, F.lit(RUN), F.lit(1)), looks)
+            named_ = F.array_union(F.regexp_extract_all(word, F.lit(NAMED_VALUE), F.lit(1)), F.when(F.rlike(near(i - 1), F.lit(NAME_BEFORE)), F.regexp_extract_all(word, F.lit(NEXT_VALUE), F.lit(1))).otherwise(F.array().cast("array<string>")))
+            found = F.array_union(F.array_union(F.regexp_extract_all(word, F.lit(PUBLISHED), F.lit(1)), named_), runs_)
             return F.transform(
                 found,
                 lambda v: F.struct(
@@ -110,10 +129,20 @@ def candidates(text: Column, source: Column) -> Column:
     return F.transform(F.array(split_words(text)), pick)[0]
 
 
-def key_blocks(text: Column) -> Column:
-    """Array of (position, word, value, score): private key blocks, from their header to their end; the header says it all."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({KEY_BLOCK})"), F.lit(1)))
-    return F.transform(found, lambda v: F.struct((F.size(split_words(F.concat(F.split_part(text, v, F.lit(1)), F.lit("-")))) - 1).alias("position"), F.lit("-----BEGIN").alias("word"), v.alias("value"), F.lit(1.0).alias("score")))
+def without_blocks(text: Column) -> Column:
+    """The text with BLOCK in place of each private key block."""
+    return F.when(F.contains(text, F.lit("-----BEGIN ")), F.regexp_replace(text, F.lit(KEY_BLOCK), F.lit(BLOCK))).otherwise(text)
+
+
+def key_blocks(text: Column, rest: Column) -> Column:
+    """Array of (position, word, value, score): whole private key blocks; the header says it all. ``rest`` is the text without them."""
+    found = F.when(F.contains(text, F.lit("-----BEGIN ")), F.regexp_extract_all(text, F.lit(KEY_BLOCK), F.lit(1))).otherwise(F.array().cast("array<string>"))
+
+    def told(v: Column, i: Column) -> Column:
+        before = F.call_function("substring_index", rest, F.lit(BLOCK), i + 1)
+        return F.struct((F.size(split_words(F.concat(before, F.lit("-")))) - 1).alias("position"), F.lit("-----BEGIN").alias("word"), v.alias("value"), F.lit(1.0).alias("score"))
+
+    return F.transform(found, told)
 
 
 def features(c: Column) -> dict[str, Column]:
@@ -127,7 +156,8 @@ def features(c: Column) -> dict[str, Column]:
     flag = lambda x: x.cast("double")
     lead = lead_of(word, value)
     rest = F.substr(word, F.length(lead) + F.length(value) + 1)
-    around = F.concat_ws(" ", c["before"], F.lower(F.regexp_extract(lead, r"([A-Za-z0-9_\-]+)[\"']?[=:]+[\"']?$", 1)))
+    name = F.lower(F.regexp_extract(lead, r"([A-Za-z0-9_\-]+)[\"']?(?:[=:]+[\"']?|>)$", 1))
+    around = F.concat_ws(" ", c["before"], name)
     return {
         "length": n,
         "transitions": (runs - 1) / n,
@@ -139,15 +169,21 @@ def features(c: Column) -> dict[str, Column]:
         "slashes": n - F.length(F.replace(value, F.lit("/"), F.lit(""))),
         "dots": n - F.length(F.replace(value, F.lit("."), F.lit(""))),
         "dashes": n - F.length(F.regexp_replace(value, "[-_]", "")),
+        "marks": n - F.length(F.regexp_replace(value, r"[^A-Za-z0-9+/_\-.~=]", "")),
         "web": flag(F.rlike(value, F.lit("^//|^www")) | F.endswith(lead, F.lit("@")) | (F.startswith(rest, F.lit("@")) & ~F.endswith(lead, F.lit(":")))),
         "sample_path": flag(F.rlike(c["source"], F.lit("test|example|sample|fixture|docs?/|readme|lock"))),
-        "hinted": flag(F.rlike(around, F.lit(rf"(^|[^a-z]){listed(HINTS)}([^a-z]|$)"))),
+        "hinted": flag(F.rlike(around, F.lit(rf"(^|[^a-z]){listed(HINTS)}([^a-z]|$)")) | F.rlike(name, F.lit(f"{listed(HINTS)}$"))),
         "harmless": flag(F.rlike(around, F.lit(rf"(^|[^a-z]){listed(HARMLESS)}([^a-z0-9]|$)"))),
         "assigned": flag(F.rlike(lead, F.lit(ASSIGNED)) | (F.rlike(lead, F.lit("^[\"']?$")) & F.rlike(c["before"], F.lit(r"[=:]$")))),
         "quoted": flag(F.rlike(lead, F.lit("[\"']$"))),
         "all_digits": flag(F.rlike(value, F.lit(r"^[0-9\-]+$"))),
-        "known_start": flag(F.rlike(value, F.lit(f"^({STARTS})"))),
+        "known_start": flag(F.rlike(value, F.lit(f"^({STARTS})")) | F.rlike(value, F.lit(f"^{PUBLISHED}$"))),
         "made_up": flag(F.rlike(F.concat_ws(" ", c["before"], c["after"]), F.lit(MADE_UP))),
+        "filled_in": flag(F.rlike(value, F.lit(r"\$[{(A-Z]|\{\{|%[({]|[()\[\]]|\*{3}|[xX]{4}")) | F.rlike(lead, F.lit(r"[{(\[]$"))),
+        "media": flag(F.endswith(lead, F.lit("base64,")) | F.rlike(value, F.lit("^(iVBOR|/9j/|R0lGOD|PHN2Zy|data/)"))),
+        "versioned": flag(F.rlike(value, F.lit(r"(^|[^0-9])[0-9]{1,3}\.[0-9]{1,3}(\.|[^0-9]|$)|\.[a-z]{2,4}$"))),
+        "account": flag(F.rlike(value, F.lit("^[A-Z]{2}[0-9]{2}[A-Z0-9]{0,4}[0-9]{7,}[A-Z0-9]{0,3}$"))),
+        "wordlike": share("[A-Z]?[a-z]*[aeiou][a-z]+(?![a-z0-9])"),
     }
 
 
@@ -193,6 +229,19 @@ def made_findings(spark: SparkSession, n: int = TRAINING, keep: Callable[[int],
         (glue(site, "token=", drawn(hexes, 32, 61), "&v=2"), plain),
         (glue("postgres://", drawn(low, 4, 62), ":", drawn(mixed, 14, 63), "@db:5432/x"), plain),
         (glue("password=", drawn(mixed, 9, 64)), plain),
+        (glue("SK", drawn(hexes, 32, 101)), plain),
+        (glue("key-", drawn(low + dig, 32, 102)), plain),
+        (glue("password=", drawn(mixed + "!#$%*?@^~", 14, 103)), plain),
+        (glue("<password>", drawn(mixed, 14, 104), "</password>"), plain),
+        (glue("<secret>", drawn(mixed + "!#$%*?@^~", 16, 105), "</secret>"), plain),
+        (glue("github_pat_", drawn(mixed, 22, 106), "_", drawn(mixed, 59, 107)), plain),
+        (drawn(mixed + "/+", 40, 108), F.lit("secret_access_key =")),
+        (drawn(mixed, 40, 109), F.lit("authorization: bearer")),
+        (glue('"', drawn(mixed + "!#$%*?@^~", 14, 114), '"'), F.lit('"password":')),
+        (glue("AccountKey=", drawn(mixed + "+/", 62, 115), "=="), plain),
+        (glue(drawn(mixed, 26, 110), "=="), F.lit("authorization: basic")),
+        (glue("SERVICE_API_KEY=", uuid), plain),
+        (glue("https://hooks.example.com/services/T", drawn(up + dig, 8, 111), "/B", drawn(up + dig, 8, 112), "/", drawn(mixed, 24, 113)), plain),
         (glue("secret_key=", drawn(low + up, 32, 65)), plain),
     ]
     harmless = [
@@ -203,6 +252,21 @@ def made_findings(spark: SparkSession, n: int = TRAINING, keep: Callable[[int],
         (glue(site, "page=", word(73), "-", word(74), "-", drawn(dig, 4, 75), "&v=2"), plain),
         (glue("https://", word(76), ".example.com/", word(77), "/", drawn(dig, 12, 78), "?v=2"), plain),
         (glue("password:", word(79), "-", word(80), "-", word(81)), plain),
+        (glue(drawn(up, 2, 121), drawn(dig, 20, 122)), plain),
+        (glue(word(123), "-packages/", word(124), "-", drawn(dig, 1, 125), ".", drawn(dig, 2, 126), ".", drawn(dig, 1, 127), ".dist-info/", drawn(up, 8, 128)), plain),
+        (glue("data:image/png;base64,iVBORw0KGgo", drawn(mixed + "+/", 60, 129)), plain),
+        (glue(site, "list=PL", drawn(mixed + "-_", 32, 130), "&v=2"), plain),
+        (drawn(hexes, 32, 131), F.lit("cache key")),
+        (glue("sha512-", drawn(mixed + "+/", 86, 132), "=="), plain),
+        (glue("password=${", drawn(up, 4, 133), "_", drawn(up, 8, 134), "}"), plain),
+        (glue("token={{", word(135), "_", word(136), "}}"), plain),
+        (glue("password=os.getenv(", drawn(up, 9, 137), ")"), plain),
+        (glue("key:", word(138), "_", word(139), "_", word(140)), plain),
+        (glue(drawn(dig, 1, 145), drawn(up + dig, 16, 146)), plain),
+        (glue(drawn(up, 4, 147), "-", drawn(dig, 5, 148), "-", drawn(up, 6, 149), "-", drawn(dig, 3, 150)), plain),
+        (glue("h1:", drawn(mixed + "+/", 43, 151), "="), plain),
+        (glue("ref:", drawn(low + dig, 17, 152)), F.lit("launched as")),
+        (glue(word(141), "_", word(142), "_v", drawn(dig, 1, 143), ".", drawn(dig, 2, 144), ".tar.gz"), plain),
         (drawn(dig, 16, 21), plain),
         (glue("4", drawn(dig, 15, 22)), F.lit("the card")),
         (glue(drawn(hexes, 8, 23), "-", drawn(hexes, 4, 24), "-4", drawn(hexes, 3, 25), "-", drawn(hexes, 4, 26), "-", drawn(hexes, 12, 27)), F.lit("with id")),
@@ -221,9 +285,11 @@ def made_findings(spark: SparkSession, n: int = TRAINING, keep: Callable[[int],
     choose = lambda rows, k: F.get(F.array(*[r[k] for r in rows]), F.pmod(F.floor(F.col("id") / 2), F.lit(len(rows))).cast("int"))
     is_secret = F.col("id") % 2 == 0
     made = base.select("id", is_secret.alias("secret"), F.when(is_secret, choose(secret, 0)).otherwise(choose(harmless, 0)).alias("word"), F.when(is_secret, choose(secret, 1)).otherwise(choose(harmless, 1)).alias("before"))
-    # the last run that a scan of the word would take as its value
+    # the value that a scan of the word would take
     runs = F.regexp_extract_all("word", F.lit(RUN), F.lit(1))
-    told = F.coalesce(F.get(F.filter(runs, lambda v: F.rlike(v, F.lit("[0-9]")) & (F.length(v) >= 12)), F.lit(0)), F.element_at(runs, F.lit(-1)))
+    first = lambda pattern: F.get(F.regexp_extract_all("word", F.lit(pattern), F.lit(1)), F.lit(0))
+    following = F.when(F.rlike("before", F.lit(NAME_BEFORE)), first(NEXT_VALUE))
+    told = F.coalesce(first(PUBLISHED), first(NAMED_VALUE), following, F.get(F.filter(runs, lambda v: F.rlike(v, F.lit("[0-9]")) & (F.length(v) >= 12)), F.lit(0)), F.element_at(runs, F.lit(-1)))
     draw = lambda salt, most: F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(most))
     sampled = lambda salt: draw(salt, 100) < F.when(F.col("secret"), 2).otherwise(25)
     after = F.when(sampled(91), F.get(F.array(*map(F.lit, MADE_UP.split("|"))), draw(92, MADE_UP.count("|") + 1).cast("int"))).otherwise(word(93))
@@ -231,15 +297,23 @@ def made_findings(spark: SparkSession, n: int = TRAINING, keep: Callable[[int],
     return made.select("secret", "word", told.alias("value"), "before", after.alias("after"), source.alias("source")).where("value <> ''")
 
 
-def fit(labelled: DataFrame) -> list[list]:
-    """The forest's trees, each a nested [feature, threshold, left, right] or a vote 0 or 1."""
+def train(labelled: DataFrame):
+    """A random forest of at most TRAINING labelled findings."""
     f = features(F.struct(*labelled.columns))
     rows = labelled.limit(TRAINING).select(F.col("secret").cast("double").alias("label"), *(f[x].cast("double").alias(x) for x in FEATURES))
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=3, seed=SEED).fit(ready)
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=3, seed=SEED).fit(ready)
+
+
+def compiled(model) -> list[list]:
+    """The forest's trees, each a nested [feature, threshold, left, right] or a vote 0 or 1."""
     return [parse_tree(text) for text in re.split(r"\n\s*Tree \d+[^\n]*:\n", model.toDebugString)[1:]]
 
 
+def fit(labelled: DataFrame) -> list[list]:
+    return compiled(train(labelled))
+
+
 def parse_tree(text: str):
     lines = [x.strip() for x in text.strip().split("\n")]
     at = 0
@@ -280,7 +354,8 @@ def judged(text: Column, source: Column, trees: list) -> Column:
         kept = F.transform(F.array(F.struct(*(f[x].cast("double").alias(x) for x in FEATURES))), lambda x: votes(trees, x))[0]
         return F.struct(c["position"].alias("position"), c["word"].alias("word"), c["value"].alias("value"), kept.alias("score"))
 
-    return F.concat(F.transform(candidates(text, source), scored), key_blocks(text))
+    rest = without_blocks(text)
+    return F.concat(F.transform(candidates(rest, source), scored), key_blocks(text, rest))
 
 
 def scan(df: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
