@@ -3,11 +3,13 @@
 Candidates are texts whose SimHash fingerprints the trie self-join links, and
 texts that agree in one of ``BANDS`` bands of ``ROWS`` MinHash values each, which
 finds a pair of similarity s with probability 1 - (1 - s**ROWS)**BANDS: 0.9993
-at 0.8, more above. Texts that candidate links connect are compared by their whole
-shingle sets, so texts are grouped only by pairs that reach the similarity. Texts
-of equal shingle sets are one node from the start and are never compared.
+at 0.8, more above. Texts of one band, or of one set that the trie join connects, are
+compared by their whole shingle sets; only pairs that reach the similarity are links,
+and only links are closed over. So texts that share a passage with others don't draw
+these into one large set. Texts of equal shingle sets are one node from the start
+and are never compared.
 
-A task compares the texts of one connected set of candidates. A set of more than
+A task compares the texts of one candidate set. A set of more than
 ``MOST`` shingles, or of more than a task's fair share, is cut into chunks that
 meet pairwise in tasks of their own, so no group is gathered whole and no pair is
 lost. Whole texts are shuffled for candidates only: a bitmap tells the others
@@ -76,18 +78,24 @@ def marks(rows: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.mapInArrow(run, "key long, text_hash long, node long, size long, fp long, bands array<long>")
 
 
-def candidates(nodes: DataFrame, n: int, budget: int = 4) -> DataFrame:
-    """node, component of the candidate edges among the ``n`` distinct nodes (node, fp, bands)."""
-    of_fp = table(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "fp-nodes")
-    shared_fp = of_fp.where("n > 1").select("fp", F.col("node").alias("v"), "n")
-    same = lookup(nodes.select("fp", F.col("node").alias("u")), shared_fp, "fp", fair_share(n, nodes), "inner").select("u", "v")
-    dealt = nodes.select(F.col("node").alias("u"), F.explode("bands").alias("band"))
-    shared = table(dealt.groupBy("band").agg(F.min("u").alias("v"), F.count("*").alias("n")).where("n > 1"), "bands")
-    likely = maybe(dealt, F.col("band"), shared, F.col("band"), shared.count()).where("_maybe")
-    met = lookup(likely.drop("_maybe"), shared, "band", fair_share(n, nodes), "inner").select("u", "v")
-    linked = components(same.where("u <> v").unionByName(met.where("u <> v")).unionByName(trie_edges(of_fp.select("fp", "node"), of_fp.count(), budget)))
-    drop(shared)
-    return linked.unionByName(linked.select(F.col("component").alias("node"), "component").distinct())  # the smallest node has no row of its own
+def candidate_sets(nodes: DataFrame, n: int, budget: int = 4) -> DataFrame:
+    """component, node: the candidate sets of the ``n`` distinct nodes (node, fp, bands), as rows; a node may be in several.
+
+    A set is what shares one band, or what the trie join connects. Sets are not
+    closed over each other, since most of their pairs are no true ones. Of equal sets one is kept.
+    """
+    of_fp = table(nodes.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "fp-nodes")
+    linked = components(trie_edges(of_fp.select("fp", F.col("rep").alias("node")), of_fp.count(), budget)).select(F.col("node").alias("rep"), "component")
+    told = of_fp.join(linked, "rep", "left").select("fp", "n", F.coalesce("component", "rep").alias("component"))
+    several = told.groupBy("component").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("component")
+    of_trie = table(told.join(several, "component").select("fp", "n", "component"), "trie-sets")
+    by_trie = lookup(nodes.select("fp", "node"), of_trie, "fp", fair_share(n, nodes), "inner").select(F.xxhash64(F.lit("trie"), "component").alias("component"), "node")
+    dealt = nodes.select("node", F.explode("bands").alias("band"))
+    held = dealt.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("mark")).where("n > 1")
+    shared = table(held.groupBy("n", "least", "mark").agg(F.min("band").alias("band")).select("band", "n"), "bands")
+    likely = maybe(dealt, F.col("band"), shared, F.col("band"), shared.count()).where("_maybe").drop("_maybe")
+    by_band = lookup(likely, shared.withColumn("component", F.xxhash64(F.lit("band"), "band")), "band", fair_share(n, nodes), "inner").select("component", "node")
+    return by_trie.unionByName(by_band)
 
 
 def exact_groups(sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
@@ -136,7 +144,7 @@ def exact_groups(sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
 
 
 def settled(rows: DataFrame, least: float = LEAST) -> DataFrame:
-    """node, group for rows of (component, meet, node, text): texts that meet are compared in one task."""
+    """node, group for rows of (component, meet, node, text): texts that meet are compared in one task; a node has a row for each of its sets."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -164,7 +172,7 @@ def settled(rows: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def groups(rows: DataFrame, asked: DataFrame, least: float) -> DataFrame:
-    """node, group (its smallest node) of the asked nodes (component, node, size, key, text_hash)."""
+    """node, group (its smallest node; a group's smallest node has no row) of the asked nodes (component, node, size, key, text_hash), by true links within the sets."""
     total = asked.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
     share = max(20_000, (total["size"] or 0) // int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     needed = lambda most: F.ceil(F.col("size") / F.lit(most)).cast("int")
@@ -173,12 +181,14 @@ def groups(rows: DataFrame, asked: DataFrame, least: float) -> DataFrame:
     own = F.struct("key", "text_hash")
     likely = maybe(rows, F.xxhash64(own), asked, F.xxhash64(own), total.n).where("_maybe").drop("_maybe")
     met = likely.join(asked.select("component", "node", "key", "text_hash"), ["key", "text_hash"])
-    if not large.take(1):
-        return table(settled(met.withColumn("meet", F.lit(0)), least), "groups")
-    cut = lookup(met.select("component", "node", "text"), large, "component", fair_share(total.n, rows))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))).cast("int"))
-    meets = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.least(x, "own") * F.col("chunks") + F.greatest(x, "own")))
-    links = table(settled(cut.select("component", "node", "text", F.explode(meets).alias("meet")), least).where("node <> group").distinct(), "similar-links")
+    if large.take(1):
+        cut = lookup(met.select("component", "node", "text"), large, "component", fair_share(total.n, rows))
+        cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))).cast("int"))
+        meets = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.least(x, "own") * F.col("chunks") + F.greatest(x, "own")))
+        dealt = cut.select("component", "node", "text", F.explode(meets).alias("meet"))
+    else:
+        dealt = met.withColumn("meet", F.lit(0))
+    links = table(settled(dealt, least).where("node <> group").distinct(), "similar-links")
     linked = components(links.select(F.col("node").alias("u"), F.col("group").alias("v")))
     return linked.select("node", F.col("component").alias("group"))
 
@@ -194,7 +204,7 @@ def one_of_similar(df: DataFrame, least: float = LEAST, budget: int = 4) -> Data
     row = F.struct("key", "text_hash")
     nodes = table(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.min(row).alias("row"), F.count("*").alias("n")), "nodes")
     n_rows, n = prints.count(), nodes.count()
-    linked = candidates(nodes.select("node", "fp", "bands"), n, budget)
+    linked = candidate_sets(nodes.select("node", "fp", "bands"), n, budget)
     asked = table(linked.join(nodes, "node").select("component", "node", "size", "row.key", "row.text_hash"), "candidates")
     group = groups(rows, asked, least)
     # every node whose rows aren't all alone: of a group of several nodes, or of several rows

@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyarrow import fs
 
 
+def arrow_uri(uri: str) -> str:
+    """The URI by pyarrow's names of the file systems that Hadoop names otherwise."""
+    scheme, rest = uri.split("://", 1)
+    if scheme in ("s3a", "s3n"):
+        return f"s3://{rest}"
+    if scheme in ("wasb", "wasbs"):
+        return f"abfs{scheme[4:]}://{rest.replace('.blob.', '.dfs.', 1)}"
+    return uri
+
+
 def locate(uri: str) -> tuple[fs.FileSystem, str]:
-    """A local path or any URI that pyarrow knows: file, hdfs, s3, gs, abfs."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
+    """A URI of file, hdfs, s3 (s3a), gs or abfs (wasb); the driver has qualified every path (see :func:`rankloom.llm.work.qualified`)."""
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    if "://" not in uri:
+        raise ValueError(f"{uri} names no file system")
+    return fs.FileSystem.from_uri(arrow_uri(uri))
 
 
 def create_file(uri: str):

@@ -26,7 +26,13 @@ def shared_root(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="rankloom-")
         spark.conf.set("rankloom.work.dir", root)
-    return root.rstrip("/")
+    return qualified(spark, root).rstrip("/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the file system that Spark resolves it to, so that tasks that open files themselves take the same one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -2,10 +2,12 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+
+import pytest
 
 from corpus_pipeline import simhash_near_dedup
-from rankloom.llm import similar
+from rankloom.llm import similar, stores, work
 from rankloom.llm.sketches import Shingler
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -85,3 +87,34 @@ def test_rows_not_ids_decide(spark):
     got = similar.one_of_similar(docs(spark, rows))
     assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(1, text[0]), (2, text[1]), (3, text[2]), (0, "no id")])
     assert similar.one_of_similar(docs(spark, [])).count() == 0
+
+
+def test_a_chain_of_loosely_similar_texts_makes_no_large_set(spark):
+    words = [f"w{k}" for k in range(18 * 400)]
+    rows = [(k, " ".join(words[18 * k : 18 * k + 90])) for k in range(395)]  # a similarity of 0.65 to the next one
+    prints = similar.marks(spark.createDataFrame([(i, i, t) for i, t in rows], "key long, text_hash long, text string"))
+    sets = similar.candidate_sets(prints.select("node", "fp", "bands"), len(rows)).collect()
+    sizes = Counter(r.component for r in sets)
+    linked = {}
+    for r in sets:
+        linked.setdefault(r.component, []).append(r.node)
+    closed = {i: i for r in sets for i in [r.node]}
+    for nodes in linked.values():
+        old = {closed[x] for x in nodes}
+        closed = {x: min(old) if c in old else c for x, c in closed.items()}
+    assert max(sizes.values()) <= 8 and max(Counter(closed.values()).values()) > 12  # closed over each other, the sets would run along the chain
+    assert similar.one_of_similar(docs(spark, rows)).count() == len(rows)
+
+
+def test_paths_are_qualified_on_the_driver(spark):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    old = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "hdfs://127.0.0.1:8020")
+        assert work.qualified(spark, "/shared/x") == "hdfs://127.0.0.1:8020/shared/x" and work.qualified(spark, "file:///tmp/x").startswith("file:/")
+    finally:
+        conf.set("fs.defaultFS", old)
+    assert stores.arrow_uri("s3a://bucket/a/b") == "s3://bucket/a/b" and stores.arrow_uri("wasbs://c@acc.blob.core.windows.net/p") == "abfss://c@acc.dfs.core.windows.net/p"
+    assert stores.arrow_uri("hdfs://n:8020/p") == "hdfs://n:8020/p" and stores.locate("file:///tmp/a")[1] == "/tmp/a"
+    with pytest.raises(ValueError):
+        stores.locate("/shared/x")
