@@ -19,8 +19,8 @@ def midrank_percentile(value: Column, part: Sequence[str]) -> Column:
     return F.when(value.isNotNull(), (upto - 0.5 * ties) / F.count(value).over(own))
 
 
-def midrank_by_ranges(df: DataFrame, part: Sequence[str], value: str, name: str, ranges: int = 64) -> DataFrame:
-    """``df`` with the mid-rank percentile of ``value`` within ``part``, for pools of any size.
+def value_counts_by_ranges(df: DataFrame, part: Sequence[str], value: str, ranges: int = 64) -> DataFrame:
+    """part, value and how many known values of the pool are less (``_less``), equal (``_equal``) and there at all (``_all``), for pools of any size.
 
     Equal values are counted first. Each pool's counts are cut at its quantiles
     into ranges, which are summed up in tasks of their own; the ranges' totals (a
@@ -30,13 +30,18 @@ def midrank_by_ranges(df: DataFrame, part: Sequence[str], value: str, name: str,
     cuts = [i / ranges for i in range(1, ranges)]
     bounds = known.groupBy(*part).agg(F.array_sort(F.array_distinct(F.percentile_approx(value, cuts, 1000))).alias("_cuts"))
     counts = known.groupBy(*part, value).agg(F.count(F.lit(1)).alias("_eq"))
-    ranged = counts.join(bounds, list(part)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    ranged_ = counts.join(bounds, list(part)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     inside = F.sum("_eq").over(Window.partitionBy(*part, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     pool = Window.partitionBy(*part)
     start = F.coalesce(F.sum("_n").over(pool.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = ranged.groupBy(*part, "_range").agg(F.sum("_eq").alias("_n")).select(*part, "_range", start.alias("_start"), F.sum("_n").over(pool).alias("_all"))
-    placed = ranged.select(*part, value, "_range", "_eq", inside.alias("_upto")).join(starts, [*part, "_range"])
-    found = placed.select(*part, value, ((F.col("_start") + F.col("_upto") - 0.5 * F.col("_eq")) / F.col("_all")).alias(name))
+    starts = ranged_.groupBy(*part, "_range").agg(F.sum("_eq").alias("_n")).select(*part, "_range", start.alias("_start"), F.sum("_n").over(pool).alias("_all"))
+    placed = ranged_.select(*part, value, "_range", "_eq", inside.alias("_upto")).join(starts, [*part, "_range"])
+    return placed.select(*part, value, (F.col("_start") + F.col("_upto") - F.col("_eq")).alias("_less"), F.col("_eq").alias("_equal"), "_all")
+
+
+def midrank_by_ranges(df: DataFrame, part: Sequence[str], value: str, name: str, ranges: int = 64) -> DataFrame:
+    """``df`` with the mid-rank percentile of ``value`` within ``part``, for pools of any size (see :func:`value_counts_by_ranges`)."""
+    found = value_counts_by_ranges(df, part, value, ranges).select(*part, value, ((F.col("_less") + 0.5 * F.col("_equal")) / F.col("_all")).alias(name))
     return df.join(found, [*part, value], "left")
 
 
@@ -76,8 +81,9 @@ def years_since(pred: Column, key: Sequence[str], time: str, never: int = 999) -
 
 def years_since_new_winner(df: DataFrame, key: str, time: str, won: Column, origin: int = 1956, part: Sequence[str] = ()) -> DataFrame:
     """part, time, years: the gap to the last earlier year in which somebody won for the first time; one row a year and part."""
-    firsts = df.where(won).groupBy(*part, key).agg(F.min(time).alias(time)).groupBy(*part, time).agg(F.lit(True).alias("new"))
-    years = df.select(*part, time).distinct().join(firsts, [*part, time], "left")
+    per = df.groupBy(*part, key, time).agg(F.bool_or(won).alias("_won"))
+    first = F.min(F.when(F.col("_won"), F.col(time))).over(Window.partitionBy(*part, key))
+    years = per.select(*part, time, (F.col("_won") & (F.col(time) == first)).alias("_new")).groupBy(*part, time).agg(F.bool_or("_new").alias("new"))
     w = Window.partitionBy(*part).orderBy(time).rangeBetween(Window.unboundedPreceding, -1)  # a row a year: small by nature
     last = F.max(F.when(F.col("new"), F.col(time))).over(w)
     return years.select(*part, time, (F.col(time) - F.coalesce(last, F.lit(origin))).alias("years_since_new_winner"))

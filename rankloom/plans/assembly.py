@@ -75,13 +75,12 @@ def history(candidates: DataFrame) -> DataFrame:
             "prior_nominations_count": windows.prior_times(player, year),
         }
     ).withColumn("first_time_nominee_flag", F.col("prior_nominations_count") == 0)
-    of_nation = windows.group_prior_count(d, ["_nation"], year, won, "nation_prior_winners_count")
+    per = d.where(F.col("_nation").isNotNull()).groupBy("_nation", year).agg(F.count_if(won).alias("_won"))
+    past = windows.before(["_nation"], year)
+    of_nation = per.select("_nation", year, F.coalesce(F.sum("_won").over(past), F.lit(0)).cast("long").alias("nation_prior_winners_count"), F.coalesce(F.col(year) - F.max(F.when(F.col("_won") > 0, F.col(year))).over(past), F.lit(999)).alias("nation_years_since_last_winner"))
     of_continent = windows.group_prior_count(d, ["continent"], year, won, "continent_prior_winners_count")
-    wins = d.where(won & F.col("_nation").isNotNull()).groupBy("_nation", year).agg(F.lit(True).alias("_won"))
-    years = d.select("_nation", year).distinct().dropna().join(wins, ["_nation", year], "left")
-    since = years.select("_nation", year, windows.years_since(F.coalesce("_won", F.lit(False)), ["_nation"], year).alias("nation_years_since_last_winner"))
     fresh = windows.years_since_new_winner(d, "player_name_raw", year, won)
-    return d.join(of_nation, ["_nation", year], "left").join(since, ["_nation", year], "left").join(of_continent, ["continent", year], "left").join(F.broadcast(fresh), year, "left").drop("_nation")  # a row a year
+    return d.join(of_nation, ["_nation", year], "left").join(of_continent, ["continent", year], "left").join(F.broadcast(fresh), year, "left").drop("_nation")  # a row a year
 
 
 def advanced(candidates: DataFrame, seasons: DataFrame, since: int = 2014) -> DataFrame:

@@ -15,8 +15,7 @@ def yearly_customers(spark: SparkSession, d: str) -> DataFrame:
     o, c = t(spark, d, "orders"), t(spark, d, "customer")
     sums = o.groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("revenue"))
     rows = sums.join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("cust"), "year", "revenue")
-    w = Window.partitionBy("nation", "year").orderBy(F.desc("revenue"), "cust")
-    return rows.withColumn("rank", F.row_number().over(w))
+    return windows.row_numbers(rows, ["nation", "year"], [*windows.falling("revenue"), "cust"], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 YEARLY = """y AS (SELECT c_nationkey AS nation, c_custkey AS cust, year, revenue,
@@ -158,8 +157,9 @@ def pairwise_diff(spark, d):
 
 
 def ranked_customers(spark, d):
-    c = t(spark, d, "customer")
-    return c.select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("cust"), F.floor(F.col("c_acctbal") / 700).alias("score"), (-F.rank().over(Window.partitionBy("c_nationkey").orderBy((F.floor(F.col("c_acctbal") + 2000) % 101).desc()))).alias("r"))
+    c = t(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("cust"), F.floor(F.col("c_acctbal") / 700).alias("score"), (F.floor(F.col("c_acctbal") + 2000) % 101).alias("points"))
+    ranks = windows.value_counts_by_ranges(c, ["nation"], "points").select("nation", "points", (F.col("_less") + F.col("_equal") - F.col("_all") - 1).alias("r"))
+    return c.join(ranks, ["nation", "points"]).select("nation", "cust", "score", "r")
 
 
 RANKED = """c AS (SELECT c_nationkey AS nation, c_custkey AS cust, floor(c_acctbal / 700) AS score, -CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY CAST(floor(c_acctbal + 2000) AS BIGINT) % 101 DESC) AS BIGINT) AS r FROM customer)"""
@@ -180,8 +180,7 @@ def kendall_per_pool(spark, d):
 @query(f"""WITH {RANKED}, o AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY score DESC, cust) AS place FROM c), w AS (SELECT nation, min(place) AS winner_at FROM o WHERE r = -1 GROUP BY 1)
   SELECT nation, winner_at, winner_at <= 1 AS top1, winner_at <= 3 AS top3, winner_at <= 5 AS top5 FROM w""")
 def topk_hit(spark, d):
-    c = ranked_customers(spark, d).withColumn("place", windows.predicted_rank(["nation"], "score", ["cust"]).cast("long"))
-    w = c.where("r = -1").groupBy("nation").agg(F.min("place").alias("winner_at"))
+    w = windows.best_place(ranked_customers(spark, d), ["nation"], "score", ["cust"], F.col("r") == -1)
     return w.select("nation", "winner_at", *((F.col("winner_at") <= k).alias(f"top{k}") for k in (1, 3, 5)))
 
 

@@ -9,6 +9,7 @@ from rankloom.functions import numeric, periods, text
 from rankloom.operators import aggregates, joins, ranking, windows
 from rankloom.plans import assembly, reports
 from rankloom.plans.registry import query, t
+from rankloom.sources.shared import kept_table
 
 
 def orders_by_year(spark, d):
@@ -257,10 +258,16 @@ def held_out_metrics(spark, d):
     return m.select(*(F.round(c, 6).alias(c) for c in ("top1", "top3", "top5")), "n_years")
 
 
-def nominees(spark, d):
+def yearly_totals(spark, d):
+    """cust, year and the sums over the year's orders that nominees, records and titles are made of."""
+    sums = (F.sum("o_totalprice").alias("total"), F.count(F.lit(1)).alias("apps"), F.count_if(F.col("o_orderstatus") == "F").alias("goals"), F.sum(F.floor(F.col("o_totalprice") / 1000)).alias("minutes"))
+    return orders_by_year(spark, d).groupBy("cust", "year").agg(*sums)
+
+
+def nominees(spark, d, y=None):
     """Candidate lists made of the tables: each year's thirty best customers by order value."""
-    o, c, n = orders_by_year(spark, d), t(spark, d, "customer"), t(spark, d, "nation")
-    sums = o.groupBy("cust", "year").agg(F.round(F.sum("o_totalprice"), 2).alias("revenue"))
+    c, n = t(spark, d, "customer"), t(spark, d, "nation")
+    sums = (yearly_totals(spark, d) if y is None else y).select("cust", "year", F.round("total", 2).alias("revenue"))
     top = windows.top_k(sums, ["year"], "revenue", ["cust"], 30)
     met = top.join(c, F.col("cust") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return met.select(
@@ -269,36 +276,38 @@ def nominees(spark, d):
     )
 
 
-def records(spark, d):
-    per = orders_by_year(spark, d).groupBy("cust", "year").agg(F.count(F.lit(1)).alias("apps"), F.count_if(F.col("o_orderstatus") == "F").alias("goals"), F.sum(F.floor(F.col("o_totalprice") / 1000)).alias("minutes"))
+def records(y, asked):
+    """Career records of the customers (cust, player_name_raw) that are asked for: nobody else's years are gathered."""
     none = F.lit(None).cast("bigint")
     entry = F.struct(
         periods.short_season(F.col("year")).alias("season"), F.concat(F.lit("club "), F.col("year") % 3).alias("club"), F.col("apps").alias("league_apps"), F.col("goals").alias("league_goals"), none.alias("league_assists"), F.col("minutes").alias("league_minutes"),
         F.when(F.col("apps") > 2, F.col("goals")).alias("continental_goals"), none.alias("continental_assists"), F.when(F.col("apps") > 2, F.col("apps")).alias("continental_apps"), none.alias("continental_minutes"),
     )
     abroad = F.struct(F.col("year").cast("string").alias("year"), F.lit("team").alias("team"), F.col("apps"), F.col("goals"))
-    rows = per.groupBy("cust").agg(F.array_sort(F.collect_list(entry)).alias("career_stats"), F.array_sort(F.collect_list(abroad)).alias("international_stats"))  # a row a year
+    per = y.join(asked.select("cust", "player_name_raw").distinct(), "cust")
+    rows = per.groupBy("cust", "player_name_raw").agg(F.array_sort(F.collect_list(entry)).alias("career_stats"), F.array_sort(F.collect_list(abroad)).alias("international_stats"))  # a row a year
     status = F.when(F.col("cust") % 7 == 0, "page_missing").otherwise("ok")
-    c = t(spark, d, "customer").select(F.col("c_custkey").alias("cust"), F.col("c_name").alias("player_name_raw"))
-    good = rows.join(c, "cust").select("player_name_raw", status.alias("status"), "career_stats", "international_stats", F.lit(1).alias("line"))
-    worse = good.where("status = 'ok'").select("player_name_raw", F.lit("fetch_failed").alias("status"), F.lit(None).cast(dict(good.dtypes)["career_stats"]).alias("career_stats"), F.lit(None).cast(dict(good.dtypes)["international_stats"]).alias("international_stats"), F.lit(0).alias("line"))
-    return assembly.best_records(good.unionByName(worse), "line")
+    nothing = F.struct(F.lit("fetch_failed").alias("status"), F.lit(0).alias("line"), *(F.lit(None).cast(kind).alias(c) for c, kind in rows.dtypes[2:]))
+    good = F.struct(status.alias("status"), F.lit(1).alias("line"), "career_stats", "international_stats")
+    told = rows.select("player_name_raw", F.explode(F.when(status == "ok", F.array(good, nothing)).otherwise(F.array(good))).alias("r")).select("player_name_raw", "r.*")
+    return assembly.best_records(told, "line")
 
 
-def titles(spark, d):
+def titles(spark, d, y):
     """Winner and runner-up of each year's league by segment, and of each year's tournament by nation."""
-    o, c, n = orders_by_year(spark, d), t(spark, d, "customer"), t(spark, d, "nation")
-    met = o.join(c, F.col("cust") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    c, n = t(spark, d, "customer"), t(spark, d, "nation")
+    met = y.join(c, F.col("cust") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    sides = F.explode(F.array(*(F.struct(F.lit(name).alias("competition"), F.col(column).alias("team")) for column, name in (("c_mktsegment", "La Liga"), ("n_name", "FIFA World Cup"))))).alias("s")
+    sums = met.select(F.col("year").cast("string").alias("season_id"), "total", sides).groupBy("season_id", "s.competition", "s.team").agg(F.round(F.sum("total"), 2).alias("v"))
     stage = F.when(F.col("predicted_rank") == 1, "winner").otherwise("runner_up")
-    parts = []
-    for column, competition in (("c_mktsegment", "La Liga"), ("n_name", "FIFA World Cup")):
-        sums = met.groupBy(F.col("year").cast("string").alias("season_id"), F.col(column).alias("team")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
-        parts.append(windows.top_k(sums, ["season_id"], "v", ["team"], 2).select("season_id", F.lit(competition).alias("competition"), stage.alias("stage"), "team", F.col("predicted_rank").alias("line")))
-    return parts[0].unionByName(parts[1])
+    return windows.top_k(sums, ["season_id", "competition"], "v", ["team"], 2).select("season_id", "competition", stage.alias("stage"), "team", F.col("predicted_rank").alias("line"))
 
 
 def assembled(spark, d):
-    return assembly.assemble(nominees(spark, d), records(spark, d), titles(spark, d))
+    """The features of all nominees; what several branches read is stored once."""
+    y = kept_table(yearly_totals(spark, d), "yearly")
+    asked = kept_table(nominees(spark, d, y).coalesce(1), "nominees")
+    return assembly.assemble(asked, kept_table(records(y, asked).coalesce(1), "records"), kept_table(titles(spark, d, y).coalesce(1), "titles"))
 
 
 TOP30 = """y AS (SELECT o_custkey AS cust, CAST(year(o_orderdate) AS INT) AS y, round(sum(o_totalprice), 2) AS revenue, count(*) AS apps, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS goals, CAST(sum(floor(o_totalprice / 1000)) AS BIGINT) AS minutes FROM orders GROUP BY 1, 2),
@@ -334,7 +343,7 @@ MODEL = ["total_goals", "total_apps", "goals_percentile_in_year", "prior_winner_
 @query()
 def validation_run(spark, d):
     """protocol, tier and mean metrics: no fit, leave one year out, expanding window, held out; tested on fixtures against brute force."""
-    f = assembled(spark, d).select("award_year", "rank", "player_name_raw", *MODEL, "world_cup_winner", "domestic_league_winner").persist()
+    f = kept_table(assembled(spark, d).select("award_year", "rank", "player_name_raw", *MODEL, "world_cup_winner", "domestic_league_winner"), "features")
     held, who = [1998], ("award_year", "player_name_raw", "rank")
     train, _ = ranking.held_out_split(f, "award_year", held)
     args = ("award_year", ["rank", "player_name_raw"], "player_name_raw", "rank", MODEL)
@@ -351,7 +360,7 @@ def validation_run(spark, d):
 @query()
 def season_prediction(spark, d):
     """The document of one season by a model trained on the others."""
-    f = assembled(spark, d)
+    f = kept_table(assembled(spark, d), "features")
     return ranking.predict_season(f, "1996", ["rank", "player_name_raw"], "player_name_raw", MODEL, held=[1998])
 
 
