@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import periods
 from rankloom.operators.fuzzy import similar_names
+from rankloom.operators.substrings import holding
 
 
 def with_default(left: DataFrame, right: DataFrame, on: Sequence[str], column: str, default) -> DataFrame:
@@ -21,11 +22,23 @@ def with_default(left: DataFrame, right: DataFrame, on: Sequence[str], column: s
 def substring_match(left: DataFrame, right: DataFrame, on: Sequence[str], name: str, other: str, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First right row, in file order, of the same group whose name equals, holds or is held by the left one's.
 
-    The group columns carry the equi-join; the substring test is a residual on what
-    meets there. The first is an aggregate, so matches shrink before they are shuffled.
+    Distinct names meet through the index of :mod:`rankloom.operators.substrings`;
+    the first is an aggregate, so matches shrink before they are shuffled.
     """
+    text = lambda c: F.lower(F.trim(F.col(c)))
+    found = holding(left.select(*on, text(name).alias("text")), right.select(*on, text(other).alias("text")), on)
+    met = left.withColumn("a", text(name)).join(found, [*on, "a"]).join(right.withColumn("b", text(other)), [*on, "b"]).drop("a", "b")
+    return first_match(met, key, order)
+
+
+def few_substrings(left: DataFrame, right: DataFrame, on: Sequence[str], name: str, other: str, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """As :func:`substring_match`, where a group's right rows are a handful by nature (a season's titles): they are tried one by one."""
     a, b = F.lower(F.trim(name)), F.lower(F.trim(other))
     met = left.join(right, list(on)).where((a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a)))
+    return first_match(met, key, order)
+
+
+def first_match(met: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     rest = [c for c in met.columns if c not in key]
     first = met.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
     return first.select(*key, "_first.*")
@@ -169,6 +182,38 @@ def override(base: DataFrame, changes: DataFrame, key: Sequence[str], features:
     return out.select(*[F.coalesce(f"_{c}", c).alias(c) if c in features else F.col(c) for c in base.columns])
 
 
+def what_if(base: DataFrame, changes: DataFrame, pool: str, key: str, features: Sequence[str]) -> DataFrame:
+    """``base`` with the changed cells and the mid-rank percentiles ``<feature>_pct`` that follow from them.
+
+    ``base``: pool, key, features and their percentiles as they are; ``changes``: key,
+    feature, value. A changed cell moves every row of its pool by what it does between
+    its old and its new value, so rows that don't change get their percentiles from
+    the old ones and the pool's few changes; only the changed cells' own places are
+    counted in their pool. Pools without a change are as they were.
+    """
+    cell = lambda f: F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v"), F.col(f"{f}_pct").alias("pct"))
+    asked = changes.select(key, "feature", F.col("value").cast("double").alias("new"))
+    own = base.join(asked.select(key).distinct(), key, "left_semi").select(pool, key, F.explode(F.array(*map(cell, features))).alias("c")).select(pool, key, "c.feature", F.col("c.v").alias("old"))
+    changed = own.join(asked, [key, "feature"]).select(pool, key, "feature", "old", "new")
+    events = changed.groupBy(pool, "feature").agg(F.collect_list(F.struct("old", "new")).alias("events"))  # the changes asked for in a pool
+    touched = base.join(events.select(pool).distinct(), pool, "left_semi").select(pool, key, F.explode(F.array(*map(cell, features))).alias("c")).select(pool, key, "c.*")
+    known = touched.groupBy(pool, "feature").agg(F.count("v").alias("known"))
+    below = lambda x, y: F.when(x < y, F.lit(1.0)).when(x == y, F.lit(0.5)).otherwise(F.lit(0.0))
+    total = lambda of: F.aggregate(F.col("events"), F.lit(0.0), lambda s, e: s + of(e))
+    moved = lambda x: total(lambda e: F.when(e["new"].isNull(), F.lit(0.0)).otherwise(below(e["new"], x)) - F.when(e["old"].isNull(), F.lit(0.0)).otherwise(below(e["old"], x)))
+    count = F.col("known") + total(lambda e: e["new"].isNotNull().cast("double") - e["old"].isNotNull().cast("double"))
+    place = changed.where("new IS NOT NULL").select(pool, "feature", F.col(key).alias("_key"), "new").join(touched.where("v IS NOT NULL").select(pool, "feature", "v"), [pool, "feature"])
+    place = place.groupBy(pool, "feature", F.col("_key").alias(key)).agg(F.sum(below(F.col("v"), F.col("new"))).alias("before"))
+    long = touched.join(known, [pool, "feature"]).join(events, [pool, "feature"], "left").join(changed.select(key, "feature", "new", F.lit(True).alias("is_new")), [key, "feature"], "left").join(place, [pool, key, "feature"], "left")
+    mid = F.when(F.col("is_new"), F.col("before") + moved(F.col("new"))).otherwise(F.col("pct") * F.col("known") + moved(F.col("v")))
+    now = F.when(F.col("events").isNull(), F.col("pct")).when(F.coalesce(F.when(F.col("is_new"), F.col("new")), F.when(F.col("is_new").isNull(), F.col("v"))).isNotNull(), mid / count)
+    told = long.select(pool, key, "feature", F.when(F.col("is_new"), F.col("new")).otherwise(F.col("v")).alias("v"), now.alias("pct"))
+    wide = told.groupBy(pool, key).agg(*(F.max(F.when(F.col("feature") == f, F.col(c))).alias(f"_{f}_{c}") for f in features for c in ("v", "pct")), F.lit(True).alias("_there"))
+    out = base.join(wide, [pool, key], "left")
+    fresh = {f: F.when(F.col("_there"), F.col(f"_{f}_v")).otherwise(F.col(f)) for f in features} | {f"{f}_pct": F.when(F.col("_there"), F.col(f"_{f}_pct")).otherwise(F.col(f"{f}_pct")) for f in features}
+    return out.select(*(fresh[c].alias(c) if c in fresh else F.col(c) for c in base.columns))
+
+
 def resume_left(todo: DataFrame, *done: DataFrame, key: Sequence[str]) -> DataFrame:
     for d in done:
         todo = todo.join(d.select(*key), list(key), "left_anti")

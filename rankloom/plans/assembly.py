@@ -51,7 +51,7 @@ def trophy_flags(candidates: DataFrame, trophies: DataFrame) -> DataFrame:
     left = candidates.select(*KEY, F.explode(asked).alias("a")).select(*KEY, "a.*")
     side = F.when(F.col("competition").isin(list(NATIONAL.values())), "nation").otherwise("club")
     right = trophies.select(F.col("season_id").alias("season"), side.alias("side"), "competition", "stage", "team", "line")
-    found = joins.substring_match(left.withColumn("who", F.trim("who")), right, ["season", "side"], "who", "team", [*KEY, "competition"], ["at", "line"])
+    found = joins.few_substrings(left.withColumn("who", F.trim("who")), right, ["season", "side"], "who", "team", [*KEY, "competition"], ["at", "line"])
     has = lambda names, stage: F.coalesce(F.bool_or(F.col("competition").isin(list(names)) & (F.col("stage") == stage)), F.lit(False))
     return found.groupBy(*KEY).agg(
         has(CLUB_CUPS, "winner").alias("ucl_winner"), has(CLUB_CUPS, "runner_up").alias("ucl_runner_up"), has(LEAGUES, "winner").alias("domestic_league_winner"), has(LEAGUES, "runner_up").alias("domestic_league_runner_up"),

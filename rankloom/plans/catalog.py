@@ -323,9 +323,9 @@ def text_clean(spark, d):
 
 
 @query("""SELECT y, lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0') AS yy, y || '-' || lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0') || CASE WHEN y < 1992 THEN ' European Cup' ELSE ' UEFA Champions League' END AS cup,
-  y || '-' || lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0') || ' La Liga' AS league, 'UEFA Euro ' || y AS euro FROM (SELECT range AS y FROM range(1955, 2025))""")
+  y || '-' || lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0') || ' La Liga' AS league, 'UEFA Euro ' || y AS euro FROM (SELECT DISTINCT 1955 + o_orderkey % 70 AS y FROM orders)""")
 def page_names(spark, d):
-    y = spark.range(1955, 2025).select(F.col("id").alias("y"))
+    y = t(spark, d, "orders").select((F.col("o_orderkey") % 70 + 1955).alias("y")).distinct()
     return y.select("y", F.substr(periods.short_season(F.col("y")), F.lit(6), F.lit(2)).alias("yy"), periods.page_name("ucl", F.col("y")).alias("cup"), periods.page_name("spain", F.col("y")).alias("league"), periods.page_name("euro", F.col("y")).alias("euro"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import numeric, periods, text
 from rankloom.operators import aggregates, joins, ranking, windows
 from rankloom.plans import assembly, reports
+from rankloom.plans.catalog import SUPP, YEARLY, pct, supplier_stats, yearly_customers
 from rankloom.plans.registry import query, t
 from rankloom.sources.shared import kept_table
 
@@ -389,6 +390,54 @@ def stats_coverage(spark, d):
 
 @query("""SELECT c_custkey AS cust, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS following, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS BIGINT) AS place FROM customer QUALIFY place <= 5""")
 def first_of_group(spark, d):
-    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
-    c = t(spark, d, "customer").select(F.col("c_custkey").alias("cust"), F.lead("c_custkey").over(w).alias("following"), F.row_number().over(w).cast("long").alias("place"))
-    return c.where("place <= 5")
+    c = windows.row_numbers(t(spark, d, "customer").select("c_custkey", "c_nationkey"), ["c_nationkey"], ["c_custkey"], "place")
+    few = c.where("place <= 6")
+    w = Window.partitionBy("c_nationkey").orderBy("place")  # six rows
+    return few.select(F.col("c_custkey").alias("cust"), F.lead("c_custkey").over(w).alias("following"), "place").where("place <= 5")
+
+
+@query("""WITH r AS (SELECT p_partkey AS line, p_size, CASE WHEN p_partkey % 2 = 1 THEN split_part(p_name, ' ', 2) ELSE p_name END AS other FROM part)
+  SELECT p_partkey, arg_min(other, line) AS other, min(line) AS line FROM part JOIN r USING (p_size) WHERE contains(lower(p_name), lower(other)) OR contains(lower(other), lower(p_name)) GROUP BY 1""")
+def substring_match(spark, d):
+    """The first name of the same size, whole or a word, that a part's name holds or is held by."""
+    p = t(spark, d, "part")
+    right = p.select(F.col("p_partkey").alias("line"), "p_size", F.when(F.col("p_partkey") % 2 == 1, F.split_part("p_name", F.lit(" "), F.lit(2))).otherwise(F.col("p_name")).alias("other"))
+    return joins.substring_match(p.select("p_partkey", "p_name", "p_size"), right, ["p_size"], "p_name", "other", ["p_partkey"], ["line"]).select("p_partkey", "other", "line")
+
+
+@query(f"""WITH {SUPP}, f AS (SELECT nation, min(supp) AS supp FROM s GROUP BY 1), c AS (SELECT s.nation, s.supp, CASE WHEN f.supp IS NULL THEN acctbal ELSE -acctbal END AS acctbal, CASE WHEN f.supp IS NOT NULL AND s.nation % 3 = 1 THEN NULL WHEN f.supp IS NOT NULL THEN coalesce(quantity, 0) + 100 ELSE quantity END AS quantity FROM s LEFT JOIN f ON f.supp = s.supp)
+  SELECT nation, supp, acctbal, quantity, round({pct("acctbal", "nation")}, 6) AS acctbal_pct, round({pct("quantity", "nation")}, 6) AS quantity_pct, round(2.0 * coalesce({pct("acctbal", "nation")}, 0) + coalesce({pct("quantity", "nation")}, 0), 6) AS score FROM c""")
+def what_if_percentiles(spark, d):
+    """Percentiles and scores after the first supplier of each nation has changed, from the old percentiles and the changes alone."""
+    s = supplier_stats(spark, d).select("nation", "supp", "acctbal", F.col("quantity").cast("double").alias("quantity"))
+    for f in ("acctbal", "quantity"):
+        s = windows.midrank_by_ranges(s, ["nation"], f, f"{f}_pct")
+    base = kept_table(s.select("nation", "supp", "acctbal", "quantity", "acctbal_pct", "quantity_pct"), "base")
+    first = base.groupBy("nation").agg(F.min_by(F.struct("supp", "acctbal", "quantity"), "supp").alias("f")).select("nation", "f.*")
+    said = F.explode(F.array(F.struct(F.lit("acctbal").alias("feature"), (-F.col("acctbal")).alias("value")), F.struct(F.lit("quantity").alias("feature"), F.when(F.col("nation") % 3 != 1, F.coalesce("quantity", F.lit(0.0)) + 100).alias("value"))))
+    new = joins.what_if(base, first.select("supp", said.alias("c")).select("supp", "c.*"), "nation", "supp", ["acctbal", "quantity"])
+    score = ranking.weighted_score(new, {"acctbal_pct": 2.0, "quantity_pct": 1.0})
+    return new.select("nation", "supp", "acctbal", "quantity", F.round("acctbal_pct", 6).alias("acctbal_pct"), F.round("quantity_pct", 6).alias("quantity_pct"), F.round(score, 6).alias("score"))
+
+
+@query("""WITH r AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) - 1 AS n, count(*) OVER () AS c FROM orders) SELECT p AS per_mille, v AS total FROM r, (SELECT unnest([0, 10, 250, 500, 750, 990, 1000]) AS p) WHERE n = p * (c - 1) // 1000""")
+def exact_quantiles(spark, d):
+    """Values of exact places in the order of all totals."""
+    o = t(spark, d, "orders")
+    n, shares = o.count(), [0, 10, 250, 500, 750, 990, 1000]
+    found = aggregates.order_statistics(o, "o_totalprice", [p * (n - 1) // 1000 for p in shares])
+    return spark.createDataFrame(list(zip(shares, found)), "per_mille int, total double")
+
+
+@query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS said, CASE WHEN o_totalprice > 200000 THEN o_orderstatus END AS status FROM orders) SELECT CAST(count(*) AS BIGINT) AS n, said, status FROM o WHERE said IS NOT NULL OR status IS NOT NULL GROUP BY 2, 3""")
+def rows_with_something(spark, d):
+    o = t(spark, d, "orders").select(F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("said"), F.when(F.col("o_totalprice") > 200000, F.col("o_orderstatus")).alias("status"))
+    return aggregates.without_empty_rows(o).groupBy("said", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {YEARLY}, c AS (SELECT CASE nation % 4 WHEN 0 THEN 'Europe' WHEN 1 THEN 'South America' WHEN 2 THEN 'Africa' ELSE 'Other' END AS continent, year, count(CASE WHEN rank = 1 THEN 1 END) AS won FROM y GROUP BY 1, 2)
+  SELECT continent, year, CAST(coalesce(sum(won) OVER (PARTITION BY continent ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS continent_prior_winners FROM c""")
+def continent_prior_winners(spark, d):
+    y = yearly_customers(spark, d).withColumn("team", F.get(F.array(*map(F.lit, ("France", "Brazil", "Cameroon", "Atlantis"))), F.col("nation") % 4))
+    y = y.withColumn("continent", numeric.continent(F.col("team")))
+    return windows.group_prior_count(y, ["continent"], "year", F.col("rank") == 1, "continent_prior_winners").select("continent", F.col("year").cast("long").alias("year"), "continent_prior_winners")

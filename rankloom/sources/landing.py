@@ -47,57 +47,128 @@ def yaml_map(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame
 
 
 class TableParser(HTMLParser):
-    """Tables of a page as grids; rowspan and colspan are expanded, damaged counts read as 1."""
+    """Tables of a page as grids, whatever end tags are missing; rowspan and colspan are expanded, damaged counts read as 1.
+
+    Open tables form a stack, each with its open cell. A cell ends at its end tag, at
+    the next cell, row or row group, or with its table; a row likewise. A table that
+    begins in no cell of the open one ends that one; one that begins in a cell is a
+    table of its own, and the cell goes on after it with its own text. Tables still
+    open at the page's end count.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tables: list[dict] = []
         self.open: list[dict] = []
         self.heading = ""
-        self.text: list[str] | None = None
-        self.in_heading = False
+        self.title: list[str] | None = None  # an open heading's text
+        self.silent = 0  # scripts and styles
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
+        t = self.open[-1] if self.open else None
         if tag == "table":
-            self.open.append({"class": a.get("class") or "", "caption": "", "heading": self.heading, "rows": [], "spans": {}})
-        elif tag in ("h2", "h3", "h4"):
-            self.in_heading, self.text = True, []
-        elif self.open and tag == "tr":
-            self.open[-1]["rows"].append([])
-        elif self.open and tag in ("td", "th"):
-            count = lambda k: int(d) if (d := "".join(c for c in (a.get(k) or "1") if c.isdigit())) and int(d) > 0 else 1
-            self.cell = (tag == "th", min(count("colspan"), 1000), min(count("rowspan"), 1000))
-            self.text = []
-        elif tag in ("caption",):
-            self.text = []
-        elif tag == "br" and self.text is not None:
-            self.text.append(" ")
+            self._end_heading()
+            if t and t["cell"] is None and t["said"] is None:
+                self._end_table()
+            self.open.append({"class": a.get("class") or "", "caption": "", "heading": self.heading, "rows": [], "spans": {}, "in_row": False, "cell": None, "said": None})
+        elif tag in ("script", "style"):
+            self.silent += 1
+        elif t is None:
+            if tag in ("h2", "h3", "h4"):
+                self._end_heading()
+                self.title = []
+        elif tag == "caption":
+            self._end_row(t)
+            t["said"] = []
+        elif tag in ("tr", "thead", "tbody", "tfoot"):
+            self._end_row(t)
+            if tag == "tr":
+                self._begin_row(t)
+        elif tag in ("td", "th"):
+            self._end_cell(t)
+            if not t["in_row"]:
+                self._end_row(t)
+                self._begin_row(t)
+            count = lambda k: min(int(d), 1000) if (d := "".join(c for c in (a.get(k) or "1") if c.isascii() and c.isdigit())) and int(d) > 0 else 1
+            t["cell"] = {"head": tag == "th", "wide": count("colspan"), "tall": count("rowspan"), "text": []}
+        elif tag == "br":
+            self.handle_data(" ")
+
+    def handle_startendtag(self, tag, attrs):
+        if tag == "br":
+            self.handle_data(" ")
 
     def handle_data(self, data):
-        if self.text is not None:
-            self.text.append(data)
+        if self.silent:
+            return
+        if not self.open:
+            if self.title is not None:
+                self.title.append(data)
+            return
+        t = self.open[-1]
+        if t["cell"] is not None:
+            t["cell"]["text"].append(data)
+        elif t["said"] is not None:
+            t["said"].append(data)
 
     def handle_endtag(self, tag):
-        said = " ".join("".join(self.text or []).split())
-        if tag in ("h2", "h3", "h4") and self.in_heading:
-            self.heading, self.in_heading, self.text = said, False, None
-        elif self.open and tag in ("td", "th") and self.text is not None and self.open[-1]["rows"]:
-            t = self.open[-1]
-            row, at = t["rows"][-1], len(t["rows"]) - 1
-            self._spanned(t, row, at)
-            head, wide, tall = self.cell
-            for _ in range(wide):
-                for k in range(1, tall):
-                    t["spans"][at + k, len(row)] = (head, said)
-                row.append((head, said))
-            self.text = None
-        elif self.open and tag == "tr" and self.open[-1]["rows"]:
-            self._spanned(self.open[-1], self.open[-1]["rows"][-1], len(self.open[-1]["rows"]) - 1)
-        elif self.open and tag == "caption":
-            self.open[-1]["caption"], self.text = said, None
-        elif self.open and tag == "table":
-            self.tables.append(self.open.pop())
+        t = self.open[-1] if self.open else None
+        if tag in ("script", "style"):
+            self.silent = max(self.silent - 1, 0)
+        elif t is None:
+            if tag in ("h2", "h3", "h4"):
+                self._end_heading()
+        elif tag in ("td", "th"):
+            self._end_cell(t)
+        elif tag in ("tr", "thead", "tbody", "tfoot"):
+            self._end_row(t)
+        elif tag == "caption":
+            self._end_caption(t)
+        elif tag == "table":
+            self._end_table()
+
+    def close(self):
+        super().close()
+        self._end_heading()
+        while self.open:
+            self._end_table()
+
+    def _end_heading(self):
+        if self.title is not None:
+            self.heading, self.title = plain("".join(self.title)), None
+
+    @staticmethod
+    def _end_caption(t):
+        if t["said"] is not None:
+            t["caption"], t["said"] = plain("".join(t["said"])), None
+
+    @staticmethod
+    def _begin_row(t):
+        t["rows"].append([])
+        t["in_row"] = True
+
+    def _end_cell(self, t):
+        self._end_caption(t)
+        if t["cell"] is None:
+            return
+        c, t["cell"] = t["cell"], None
+        said, row, at = (c["head"], plain("".join(c["text"]))), t["rows"][-1], len(t["rows"]) - 1
+        self._spanned(t, row, at)
+        for _ in range(c["wide"]):
+            for k in range(1, c["tall"]):
+                t["spans"][at + k, len(row)] = said
+            row.append(said)
+
+    def _end_row(self, t):
+        self._end_cell(t)
+        if t["in_row"]:
+            self._spanned(t, t["rows"][-1], len(t["rows"]) - 1)
+            t["in_row"] = False
+
+    def _end_table(self):
+        self._end_row(self.open[-1])
+        self.tables.append(self.open.pop())
 
     @staticmethod
     def _spanned(t, row, at):
@@ -105,6 +176,10 @@ class TableParser(HTMLParser):
             row.append(t["spans"][at, len(row)])
 
 
+def plain(text: str) -> str:
+    return " ".join(text.split())
+
+
 def tables_of(page: str) -> list[dict]:
     p = TableParser()
     p.feed(page or "")
@@ -193,7 +268,7 @@ def first_columns(df: DataFrame) -> DataFrame:
 
 
 def split_by_status(df: DataFrame, good: str, bad: str, status: str = "status") -> None:
-    """Rows by status in two tables; the input is read once: one write, dealt by folder, then two views of it."""
+    """Rows by status in two tables; the input is computed once, kept while both are written."""
     held = df.persist()
     try:
         held.where(F.col(status) == "ok").write.mode("append").json(good)

@@ -96,8 +96,8 @@ def test_ingest_survives_a_replay_and_prefers_good_rows(spark, tmp_path):
     stored = lambda: sorted(r.k for r in spark.read.parquet(str(tmp_path / "good")).collect())
     go()
     assert stored() == [1, 2]
-    for name in os.listdir(tmp_path / "cp" / "commits"):
-        os.remove(tmp_path / "cp" / "commits" / name)
+    for name in os.listdir(tmp_path / "cp" / "good" / "commits"):
+        os.remove(tmp_path / "cp" / "good" / "commits" / name)
     go()
     assert stored() == [1, 2]
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from brute import fit_listwise, solve_logistic
 from rankloom.functions.text import token_sort_ratio_of
-from rankloom.operators import boosting, fuzzy, joins, pairs, ranking, windows
+from rankloom.operators import aggregates, boosting, fuzzy, joins, pairs, ranking, windows
+from rankloom.sources.versions import VersionedTable
 
 
 def pools(spark, years, n, seed=7, width=3):
@@ -159,3 +160,83 @@ def test_bounds_of_the_index():
     with pytest.raises(ValueError):
         fuzzy.Bounds(0)
     assert fuzzy.Bounds(90).long == 3 and fuzzy.Bounds(60).long is None and math.isclose(fuzzy.common(90.0, 20), 9)
+
+
+def test_names_that_hold_each_other(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("ab c"), size=rng.integers(0, 6)))
+    left = [(i, int(i % 3), word() if i % 9 else None) for i in range(120)]
+    right = [(i, int(i % 4), word().upper() if i % 7 else None) for i in range(90)]
+    a = spark.createDataFrame(left, "i int, g int, name string")
+    b = spark.createDataFrame(right, "line int, g int, other string")
+    want = {}
+    for i, g, name in left:
+        for line, h, other in right:
+            x, y = (name or "").strip(" ").lower(), (other or "").strip(" ").lower()
+            if g == h and x and y and (x in y or y in x):
+                want.setdefault(i, (line, other))
+    for match in (joins.substring_match, joins.few_substrings):
+        got = {r.i: (r.line, r.other) for r in match(a, b, ["g"], "name", "other", ["i"], ["line"]).collect()}
+        assert got == want and len(want) > 20
+
+
+def test_what_if_equals_a_full_recomputation(spark):
+    rng = np.random.default_rng(8)
+    rows = [(p, f"{p}{i}", *(None if rng.random() < 0.15 else float(v) for v in rng.integers(0, 12, 2))) for p in "xyz" for i in range(40)]
+    full = lambda rows: windows.midrank_by_ranges(windows.midrank_by_ranges(spark.createDataFrame(rows, "pool string, k string, a double, b double"), ["pool"], "a", "a_pct"), ["pool"], "b", "b_pct")
+    new = {("x1", "a"): 3.0, ("x1", "b"): None, ("x2", "a"): 11.0, ("x9", "a"): None, ("x30", "b"): 0.0, ("y5", "b"): 5.0, ("y6", "b"): 5.0}
+    changes = spark.createDataFrame([(k, f, v) for (k, f), v in new.items()], "k string, feature string, value double")
+    told = joins.what_if(full(rows), changes, "pool", "k", ["a", "b"]).collect()
+    after = [(p, k, new.get((k, "a"), a), new.get((k, "b"), b)) for p, k, a, b in rows]
+    want = {r.k: (r.a, r.b, r.a_pct, r.b_pct) for r in full(after).collect()}
+    assert len(told) == 120
+    for r in told:
+        assert (r.a, r.b) == want[r.k][:2] and (r.a_pct, r.b_pct) == tuple(x if x is None else pytest.approx(x) for x in want[r.k][2:])
+
+
+def test_order_statistics_of_any_values(spark):
+    rng = np.random.default_rng(10)
+    lists = [rng.normal(size=3000) * 10.0 ** rng.integers(-200, 200, 3000), np.repeat([5.0, -1.0], [900, 3]), np.arange(2000.0), np.array([0.0, 1e-300, -1e300, 7.0]), -(2.0 ** rng.normal(size=500))]
+    for values in lists:
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+        places = [0, len(values) // 3, len(values) // 2, len(values) - 1]
+        assert aggregates.order_statistics(df, "x", places) == [float(np.sort(values)[p]) for p in places]
+    whole = spark.createDataFrame([(v,) for v in (3, 1, 2, 2, 9)], "x long")
+    assert aggregates.order_statistics(whole, "x", [0, 2, 4]) == [1, 2, 9] and aggregates.order_statistics(whole.where("x > 99"), "x", [0]) == [None]
+
+
+def test_versions_merge_and_no_writer_loses_rows(spark, tmp_path, monkeypatch):
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, v string")
+    root = f"file://{tmp_path}/t"
+    one, two = VersionedTable(spark, root, ["k"]), VersionedTable(spark, root, ["k"])
+    assert one.current() == 0
+    with pytest.raises(FileNotFoundError):
+        one.read()
+    assert one.add(rows((1, "a"), (2, "b"))) == 1
+    current = one.current
+    behind = iter([1])  # the first writer has seen version 1 when the second one is done
+    monkeypatch.setattr(one, "current", lambda: next(behind, None) or current())
+    assert two.add(rows((3, "c"), (1, "new"))) == 2
+    assert one.add(rows((4, "d"))) == 3
+    read = lambda version=None: {r.k: r.v for r in two.read(version).collect()}
+    assert read() == {1: "new", 2: "b", 3: "c", 4: "d"} and read(1) == {1: "a", 2: "b"}
+    assert two.compact() == 4 and read() == {1: "new", 2: "b", 3: "c", 4: "d"} and len(two.parts(4)) == 1 and two.versions() == [1, 2, 3, 4]
+    plain = VersionedTable(spark, f"file://{tmp_path}/u")
+    plain.add(rows((1, "a")))
+    plain.add(rows((1, "a")))
+    assert plain.read().count() == 2
+
+
+def test_ingest_reads_nothing_that_is_stored(spark, tmp_path):
+    import shutil
+
+    from rankloom.streaming.ingest import ingest
+
+    (tmp_path / "in").mkdir()
+    go = lambda: ingest(spark, str(tmp_path / "in"), "k int, status string", ["k"], str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "cp"))
+    (tmp_path / "in" / "a.json").write_text('{"k":1,"status":"ok"}\n{"k":2,"status":"ok"}\n')
+    go()
+    shutil.rmtree(tmp_path / "good")
+    (tmp_path / "in" / "b.json").write_text('{"k":2,"status":"ok"}\n{"k":3,"status":"ok"}\n{"k":4,"status":"gone"}\n')
+    go()
+    assert [r.k for r in spark.read.parquet(str(tmp_path / "good")).collect()] == [3] and [r.k for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [4]
