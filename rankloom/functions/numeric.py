@@ -18,35 +18,48 @@ COPA_YEARS = [
 ]
 # Clubs by prestige and by their league's visibility.
 PRESTIGE_1 = (
-    "real madrid|barcelona|bayern munich|bayern de múnich|fc bayern münchen|manchester united|man united|liverpool|juventus|ac milan|milan|inter milan|internazionale|inter|ajax|"
-    "paris saint-germain|psg|paris saint germain|paris-saint-germain|manchester city|man city|chelsea|arsenal"
-).split("|")
+    "real madrid", "barcelona", "bayern munich", "bayern de múnich", "fc bayern münchen", "manchester united", "man united", "liverpool", "juventus",
+    "ac milan", "milan", "inter milan", "internazionale", "inter", "ajax", "paris saint-germain", "psg", "paris saint germain", "paris-saint-germain",
+    "manchester city", "man city", "chelsea", "arsenal",
+)
 PRESTIGE_2 = (
-    "atletico madrid|atlético madrid|atletico de madrid|atlético de madrid|borussia dortmund|bvb|tottenham hotspur|tottenham|spurs|napoli|roma|as roma|lazio|ssc napoli|sevilla|valencia|"
-    "atletico de kolkata|port fc|benfica|sporting cp|sporting lisbon|porto|fc porto|celtic|rangers|marseille|olympique de marseille|om|lyon|ol|monaco|as monaco|everton|newcastle united|"
-    "aston villa|leicester city|atletico mineiro|flamengo|palmeiras|são paulo|santos|botafogo|vasco da gama|cruzeiro|grêmio|internacional|river plate|boca juniors|independiente|racing club|estudiantes"
-).split("|")
+    "atletico madrid", "atlético madrid", "atletico de madrid", "atlético de madrid", "borussia dortmund", "bvb", "tottenham hotspur", "tottenham",
+    "spurs", "napoli", "roma", "as roma", "lazio", "ssc napoli", "sevilla", "valencia", "atletico de kolkata", "port fc", "benfica", "sporting cp",
+    "sporting lisbon", "porto", "fc porto", "celtic", "rangers", "marseille", "olympique de marseille", "om", "lyon", "ol", "monaco", "as monaco",
+    "everton", "newcastle united", "aston villa", "leicester city", "atletico mineiro", "flamengo", "palmeiras", "são paulo", "santos", "botafogo",
+    "vasco da gama", "cruzeiro", "grêmio", "internacional", "river plate", "boca juniors", "independiente", "racing club", "estudiantes",
+)
 VISIBLE_1 = (
-    "manchester united|manchester city|liverpool|chelsea|arsenal|tottenham|everton|leicester|real madrid|barcelona|atletico madrid|atlético madrid|atletico de madrid|valencia|sevilla|villarreal|"
-    "juventus|ac milan|milan|inter milan|internazionale|inter|napoli|roma|as roma|lazio|fiorentina|bayern munich|bayern de múnich|fc bayern münchen|borussia dortmund|bayer leverkusen|schalke|"
-    "rb leipzig|paris saint-germain|psg|paris saint germain|marseille|monaco|lyon|ol|lille"
-).split("|")
+    "manchester united", "manchester city", "liverpool", "chelsea", "arsenal", "tottenham", "everton", "leicester", "real madrid", "barcelona",
+    "atletico madrid", "atlético madrid", "atletico de madrid", "valencia", "sevilla", "villarreal", "juventus", "ac milan", "milan", "inter milan",
+    "internazionale", "inter", "napoli", "roma", "as roma", "lazio", "fiorentina", "bayern munich", "bayern de múnich", "fc bayern münchen",
+    "borussia dortmund", "bayer leverkusen", "schalke", "rb leipzig", "paris saint-germain", "psg", "paris saint germain", "marseille", "monaco",
+    "lyon", "ol", "lille",
+)
 VISIBLE_2 = (
-    "benfica|sporting cp|sporting lisbon|porto|fc porto|ajax|psv|psv eindhoven|feyenoord|zenit|cska moscow|spartak moscow|galatasaray|fenerbahce|fenerbahçe|besiktas|beşiktaş|celtic|rangers|"
-    "anderlecht|club brugge|dynamo kyiv|dynamo kiev|shakhtar donetsk|red bull salzburg|basel"
-).split("|")
-# Nations by continent.
-NATIONS = {
-    "Europe": (
-        "England|Scotland|Wales|Northern Ireland|France|Germany|West Germany|East Germany|Italy|Spain|Portugal|Netherlands|Belgium|Sweden|Denmark|Norway|Finland|Ireland|Republic of Ireland|Austria|Switzerland|"
-        "Czech Republic|Czechoslovakia|Hungary|Poland|Romania|Bulgaria|Yugoslavia|Croatia|Serbia|Serbia and Montenegro|Bosnia and Herzegovina|Slovenia|Soviet Union|Russia|Ukraine|Belarus|Georgia|Lithuania|Greece|Turkey"
-    ),
-    "South America": "Brazil|Argentina|Uruguay|Colombia|Chile|Peru|Paraguay|Ecuador|Venezuela|Bolivia",
-    "Africa": "Liberia|Egypt|Nigeria|Ghana|Cameroon|Senegal|Ivory Coast|Côte d'Ivoire|Morocco|Algeria|Tunisia|South Africa|Mali|Guinea|Gabon|Congo|DR Congo|Zaire|Kenya",
-    "Asia": "Japan|South Korea|Korea Republic|Korea DPR|China|Iran|Iraq|Saudi Arabia|Australia",
-    "North America": "United States|USA|Mexico|Costa Rica|Canada|Honduras",
-}
-CONTINENTS = {nation: c for c, names in NATIONS.items() for nation in names.split("|")}
+    "benfica", "sporting cp", "sporting lisbon", "porto", "fc porto", "ajax", "psv", "psv eindhoven", "feyenoord", "zenit", "cska moscow",
+    "spartak moscow", "galatasaray", "fenerbahce", "fenerbahçe", "besiktas", "beşiktaş", "celtic", "rangers", "anderlecht", "club brugge",
+    "dynamo kyiv", "dynamo kiev", "shakhtar donetsk", "red bull salzburg", "basel",
+)
+# The continent of each nation.
+CONTINENTS = {
+    "England": "Europe", "Scotland": "Europe", "Wales": "Europe", "Northern Ireland": "Europe", "France": "Europe", "Germany": "Europe",
+    "West Germany": "Europe", "East Germany": "Europe", "Italy": "Europe", "Spain": "Europe", "Portugal": "Europe", "Netherlands": "Europe",
+    "Belgium": "Europe", "Sweden": "Europe", "Denmark": "Europe", "Norway": "Europe", "Finland": "Europe", "Ireland": "Europe",
+    "Republic of Ireland": "Europe", "Austria": "Europe", "Switzerland": "Europe", "Czech Republic": "Europe", "Czechoslovakia": "Europe",
+    "Hungary": "Europe", "Poland": "Europe", "Romania": "Europe", "Bulgaria": "Europe", "Yugoslavia": "Europe", "Croatia": "Europe",
+    "Serbia": "Europe", "Serbia and Montenegro": "Europe", "Bosnia and Herzegovina": "Europe", "Slovenia": "Europe", "Soviet Union": "Europe",
+    "Russia": "Europe", "Ukraine": "Europe", "Belarus": "Europe", "Georgia": "Europe", "Lithuania": "Europe", "Greece": "Europe", "Turkey": "Europe",
+    "Brazil": "South America", "Argentina": "South America", "Uruguay": "South America", "Colombia": "South America", "Chile": "South America",
+    "Peru": "South America", "Paraguay": "South America", "Ecuador": "South America", "Venezuela": "South America", "Bolivia": "South America",
+    "Liberia": "Africa", "Egypt": "Africa", "Nigeria": "Africa", "Ghana": "Africa", "Cameroon": "Africa", "Senegal": "Africa",
+    "Ivory Coast": "Africa", "Côte d'Ivoire": "Africa", "Morocco": "Africa", "Algeria": "Africa", "Tunisia": "Africa", "South Africa": "Africa",
+    "Mali": "Africa", "Guinea": "Africa", "Gabon": "Africa", "Congo": "Africa", "DR Congo": "Africa", "Zaire": "Africa", "Kenya": "Africa",
+    "Japan": "Asia", "South Korea": "Asia", "Korea Republic": "Asia", "Korea DPR": "Asia", "China": "Asia", "Iran": "Asia", "Iraq": "Asia",
+    "Saudi Arabia": "Asia", "Australia": "Asia",
+    "United States": "North America", "USA": "North America", "Mexico": "North America", "Costa Rica": "North America", "Canada": "North America",
+    "Honduras": "North America",
+}
 
 
 def safe_div(a: Column, b: Column) -> Column:

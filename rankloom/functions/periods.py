@@ -68,20 +68,32 @@ def verification(year: Column, rule: Column, found: Column) -> Column:
     return F.when(found["kind"].isNull(), F.lit("inferred_from_rule")).when(F.coalesce(agrees, F.lit(False)), F.lit("verified")).otherwise(F.lit("discrepancy"))
 
 
+# The first years of the eras after the first one.
+ERAS = {1995: "pre_merger", 2010: "fifa_merger", 2016: "post_split"}
+
+
 def era(year: Column) -> Column:
-    return F.when(year < 1995, "classical").when(year < 2010, "pre_merger").when(year < 2016, "fifa_merger").otherwise("post_split")
+    out = F.lit("classical")
+    for first, name in ERAS.items():
+        out = F.when(year >= first, name).otherwise(out)
+    return F.when(year.isNull(), "post_split").otherwise(out)
 
 
 def short_season(year: Column) -> Column:
     return F.concat(year.cast("string"), F.lit("-"), F.lpad(F.pmod(year + 1, F.lit(100)).cast("string"), 2, "0"))
 
 
+# The titles of competitions' pages, by season or by year; the club cup's older name ends with 1991.
+SEASON_PAGES = {"england": "Premier League", "spain": "La Liga", "italy": "Serie A", "germany": "Bundesliga", "france": "Ligue 1"}
+YEAR_PAGES = {"world_cup": "{} FIFA World Cup", "euro": "UEFA Euro {}", "copa": "{} Copa América"}
+CUP_PAGES = ("European Cup", "UEFA Champions League", 1992)
+
+
 def page_name(competition: str, year: Column) -> Column:
     """Title of a competition's page for the year a season starts or a tournament is held."""
-    y, season = year.cast("string"), short_season(year)
-    leagues = {"england": "Premier League", "spain": "La Liga", "italy": "Serie A", "germany": "Bundesliga", "france": "Ligue 1"}
-    if competition == "ucl":
-        return F.concat(season, F.when(year < 1992, F.lit(" European Cup")).otherwise(F.lit(" UEFA Champions League")))
-    if competition in leagues:
-        return F.concat(season, F.lit(" " + leagues[competition]))
-    return {"world_cup": F.concat(y, F.lit(" FIFA World Cup")), "euro": F.concat(F.lit("UEFA Euro "), y), "copa": F.concat(y, F.lit(" Copa América"))}[competition]
+    if competition in YEAR_PAGES:
+        before, after = YEAR_PAGES[competition].split("{}")
+        return F.concat(F.lit(before), year.cast("string"), F.lit(after))
+    old, new, since = CUP_PAGES
+    name = F.when(year < since, old).otherwise(new) if competition == "ucl" else F.lit(SEASON_PAGES[competition])
+    return F.concat(short_season(year), F.lit(" "), name)

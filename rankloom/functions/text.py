@@ -1,9 +1,8 @@
-"""Text cleaning and typed parsing as Column expressions; name folding as Arrow-batched UDFs."""
+"""Text cleaning, typed parsing and name folding as Column expressions; only decomposition and entities are Arrow-batched UDFs."""
 
 from __future__ import annotations
 
 import html
-import re
 import unicodedata
 
 import pandas as pd
@@ -11,7 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+# Footnote marks, titles won, win counts.
 FOOTNOTE = r"\s*\[[^\]]*\]\s*"
+TITLE_IN_BRACKETS = r"(?i)\s*\(\d+(st|nd|rd|th)\s+title\)\s*"
+TITLE_AT_END = r"(?i)\s*\d+(st|nd|rd|th)\s+[^,]*title.*$"
+WIN_COUNT = r"\s*\(\d+\)\s*"
 
 
 def collapsed(c: Column) -> Column:
@@ -26,8 +29,8 @@ def clean_text(c: Column) -> Column:
 
 def clean_team(c: Column) -> Column:
     """As clean_text, without '(15th title)' or a trailing 'Nth ... title'."""
-    c = F.regexp_replace(clean_text(c), r"(?i)\s*\(\d+(st|nd|rd|th)\s+title\)\s*", "")
-    return collapsed(F.regexp_replace(c, r"(?i)\s*\d+(st|nd|rd|th)\s+[^,]*title.*$", ""))
+    c = F.regexp_replace(clean_text(c), TITLE_IN_BRACKETS, "")
+    return collapsed(F.regexp_replace(c, TITLE_AT_END, ""))
 
 
 def parse_rank(c: Column) -> Column:
@@ -60,43 +63,40 @@ def slugify(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"\s+", "_"), r"_?\[[^\]]*\]_?", "")
 
 
-def strip_accents(s: str) -> str:
-    return "".join(ch for ch in unicodedata.normalize("NFD", s) if not unicodedata.combining(ch))
-
-
-# Letters that canonical decomposition leaves whole.
-LETTERS = str.maketrans({"Ø": "O", "ø": "o", "Æ": "AE", "æ": "ae", "ß": "ss", "Đ": "D", "đ": "d", "Ł": "L", "ł": "l", "Þ": "TH", "þ": "th", "Ð": "D", "ð": "d"})
-
-
-def fold_name(s: str | None, entities: bool = True, letters: bool = True, drop_apostrophes: bool = True) -> str:
-    """The name normaliser of all matchers; switches cover their differences."""
-    s = html.unescape(s or "") if entities else s or ""
-    s = strip_accents(s)
-    s = (s.translate(LETTERS) if letters else s).lower()
-    s = s.replace("'", "") if drop_apostrophes else s
-    return " ".join(re.sub(r"[^\w\s]", " ", s).split())
-
-
-def fold_award_name(s: str | None) -> str:
-    """Footnotes and win counts such as '(3)' go, accents too."""
-    s = re.sub(FOOTNOTE, " ", (s or "").replace(" ", " "))
-    s = re.sub(r"\s*\(\d+\)\s*", "", " ".join(s.split()).lower())
-    return strip_accents(s)
-
-
 @F.pandas_udf(StringType())
-def normalize_name(names: pd.Series) -> pd.Series:
-    return names.map(fold_name)
+def without_entities(names: pd.Series) -> pd.Series:
+    return names.map(lambda s: html.unescape(s or ""))
 
 
 @F.pandas_udf(StringType())
-def normalize_award_name(names: pd.Series) -> pd.Series:
-    return names.map(fold_award_name)
+def unaccented(names: pd.Series) -> pd.Series:
+    """Canonically decomposed, without the combining marks; null is empty."""
+    return names.map(lambda s: "".join(x for x in unicodedata.normalize("NFD", s or "") if not unicodedata.combining(x)))
 
 
-@F.pandas_udf(StringType())
-def unaccented(names: pd.Series) -> pd.Series:
-    return names.map(lambda s: strip_accents(s or ""))
+# Letters that canonical decomposition leaves whole.
+ONE_LETTER = {"Ø": "O", "ø": "o", "Đ": "D", "đ": "d", "Ł": "L", "ł": "l", "Ð": "D", "ð": "d"}
+TWO_LETTERS = {"Æ": "AE", "æ": "ae", "ß": "ss", "Þ": "TH", "þ": "th"}
+
+
+def normalize_name(c: Column | str, entities: bool = True, letters: bool = True, drop_apostrophes: bool = True) -> Column:
+    """Lower-case words of plain letters, the form that all matchers compare; switches cover their differences. Null is empty."""
+    c = F.col(c) if isinstance(c, str) else c
+    s = unaccented(without_entities(c) if entities else c)
+    if letters:
+        s = F.translate(s, "".join(ONE_LETTER), "".join(ONE_LETTER.values()))
+        for old, new in TWO_LETTERS.items():
+            s = F.replace(s, F.lit(old), F.lit(new))
+    if drop_apostrophes:
+        s = F.replace(s, F.lit("'"), F.lit(""))
+    marks = F.regexp_replace(F.lower(s), r"(?U)[^\w\s]", " ")
+    return F.trim(F.regexp_replace(marks, r"(?U)\s+", " "))
+
+
+def normalize_award_name(c: Column | str) -> Column:
+    """As the award tables are compared: without footnotes, win counts such as '(3)' and accents. Null is empty."""
+    c = F.col(c) if isinstance(c, str) else c
+    return unaccented(F.regexp_replace(F.lower(clean_text(c)), WIN_COUNT, ""))
 
 
 def indel_ratio(a: str, b: str) -> float:

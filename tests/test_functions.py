@@ -29,11 +29,10 @@ def test_eras_and_relevance(spark):
     assert [one(spark, numeric.relevance, r, "int") for r in (1, 31, 50)] == [31, 1, 1]
 
 
-def test_names():
-    assert text.fold_name("N&#039;Golo Kanté") == "ngolo kante"
-    assert text.fold_name("Ødegaard") == "odegaard"
-    assert text.fold_name("Großkreutz") == "grosskreutz"
-    assert text.fold_award_name("Lionel Messi (3)") == "lionel messi"
+def test_names(spark):
+    for raw, want in (("N&#039;Golo Kanté", "ngolo kante"), ("Ødegaard", "odegaard"), ("Großkreutz", "grosskreutz"), ("Æ. Þór-Łukasz  O'Neil", "ae thor lukasz oneil"), ("a_b—c\u00a0\u2003d", "a_b c d"), ("İbrahim", "ibrahim"), (None, "")):
+        assert one(spark, text.normalize_name, raw) == want
+    assert one(spark, text.normalize_award_name, "Lionel Messi (3)") == "lionel messi" and one(spark, text.normalize_award_name, "Pelé[a] X") == "pele x"
     assert text.token_sort_ratio_of("ab cd", "cd ab") == 100
     assert round(text.token_sort_ratio_of("abc", "abd"), 2) == 66.67
 
