@@ -329,7 +329,16 @@ def page_names(spark, d):
     return y.select("y", F.substr(periods.short_season(F.col("y")), F.lit(6), F.lit(2)).alias("yy"), periods.page_name("ucl", F.col("y")).alias("cup"), periods.page_name("spain", F.col("y")).alias("league"), periods.page_name("euro", F.col("y")).alias("euro"))
 
 
-@query()
+# asked x target with words sorted, then the longest common subsequence row by row: a row's next entry is the largest so far of what stays and what a common letter adds
+RATIOS = """w AS (SELECT *, string_split(array_to_string(list_sort(string_split(asked, ' ')), ' '), '') AS x, string_split(array_to_string(list_sort(string_split(target, ' ')), ' '), '') AS y FROM pairs),
+  step AS (SELECT asked, target, x, y, 0 AS i, list_transform(y, lambda z: 0) AS r FROM w
+    UNION ALL SELECT asked, target, x, y, i + 1, list_transform(range(1, len(y) + 1), lambda j: list_max(e[1:j])) FROM (SELECT *, list_transform(range(1, len(y) + 1), lambda j: greatest(r[j], CASE WHEN y[j] = x[i + 1] THEN 1 + CASE WHEN j > 1 THEN r[j - 1] ELSE 0 END ELSE 0 END)) AS e FROM step WHERE i < len(x))),
+  ratio AS (SELECT asked, target, 200.0 * list_max(r) / (len(x) + len(y)) AS score FROM step WHERE i = len(x))"""
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT DISTINCT p_name FROM part), pairs AS (SELECT a.p_name AS asked, b.p_name AS target FROM n a, n b), {RATIOS},
+  best AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, target) AS k FROM ratio WHERE score >= 80)
+  SELECT asked AS p_name, target, round(score, 4) AS score FROM best WHERE k = 1""")
 def fuzzy_best_match(spark, d):
     names = t(spark, d, "part").select("p_name").distinct()
     asked = names.select("p_name", F.concat(F.reverse(F.split("p_name", " ")).cast("string"), F.lit("")).alias("norm")).select("p_name", F.regexp_replace("norm", r"[\[\],]", "").alias("norm"))
@@ -337,7 +346,11 @@ def fuzzy_best_match(spark, d):
     return joins.best_match(asked, known, "norm", "_norm", "p_name", "target", 80.0).select("p_name", "target", F.round("score", 4).alias("score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE n AS (SELECT n_name, lower(n_name) AS norm, n_nationkey AS k FROM nation), pairs AS (SELECT a.norm || 's' AS asked, b.norm AS target FROM n a, n b WHERE a.k % 3 = 1), {RATIOS},
+  best AS (SELECT asked, n_name, score, row_number() OVER (PARTITION BY asked ORDER BY score DESC, k) AS place FROM ratio JOIN n ON target = norm WHERE score >= 90)
+  SELECT n_name AS name, n_name AS target, 'exact' AS method, 100.0::DOUBLE AS score FROM n WHERE k % 3 = 0
+  UNION ALL SELECT 'alias of ' || n_name, CASE WHEN k % 2 = 0 THEN n_name END, CASE WHEN k % 2 = 0 THEN 'alias' ELSE 'alias_needs_refetch' END, NULL FROM n WHERE k % 3 = 2
+  UNION ALL SELECT n.n_name || 's', best.n_name, CASE WHEN best.n_name IS NULL THEN 'failed' ELSE 'fuzzy' END, best.score FROM n LEFT JOIN best ON asked = norm || 's' AND place = 1 WHERE k % 3 = 1""")
 def cascade_resolve(spark, d):
     known = t(spark, d, "nation").select(F.col("n_name").alias("target"), text.normalize_name("n_name").alias("norm"), F.col("n_nationkey").alias("pos"))
     names = t(spark, d, "nation").select(F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name")).when(F.col("n_nationkey") % 3 == 1, F.concat("n_name", F.lit("s"))).otherwise(F.concat(F.lit("alias of "), "n_name")).alias("name"))
@@ -372,7 +385,8 @@ def boosted_ranking(spark, d):
     return spark.createDataFrame([(f, round(v, 5)) for f, v in ranking.importance(m, ["acctbal", "quantity", "n_lines"])], "feature string, gain double")
 
 
-@query()
+@query(f"""WITH {SUPP}, x AS (SELECT supp, 0.5 * coalesce(acctbal, 0) / 1000 - 1.25 * coalesce(quantity, 0) / 100 + 2.0 * coalesce(n_lines, 0) / 10 AS score FROM s WHERE nation = 3)
+  SELECT CAST(count(*) AS VARCHAR) AS total_candidates, CAST((SELECT supp FROM x ORDER BY score DESC, supp LIMIT 1) AS VARCHAR) AS first FROM x""")
 def prediction_document(spark, d):
     pools = supplier_pools(spark, d).withColumn("season_id", F.col("nation").cast("string"))
     m = ranking.LinearRanker(("acctbal", "quantity", "n_lines"), (0.5, -1.25, 2.0), (1000.0, 100.0, 10.0), 0.0, 0)
