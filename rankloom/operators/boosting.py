@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.operators.sums import sum_of
 from rankloom.sources.shared import read_text, stored, write_text
 
 SEED = 20260728
@@ -29,7 +30,6 @@ BINS = 32  # codes of a feature; one more stands for missing values
 KEEP = 16  # rounds between two written states
 FOLDS = 64  # folds fitted at a time
 ROWS_A_TASK = 50_000  # rows x folds
-DIRECT = 16  # tasks whose sums go to the driver as they are
 
 
 @dataclass(frozen=True)
@@ -181,14 +181,6 @@ def packed_pools(df: DataFrame, group: str, rank: str, key: str, features: Seque
     return rows.groupBy("_pool", "_year").applyInPandas(pack, "pool long, year string, n int, gain binary, codes binary, score binary")
 
 
-def add_up(parts: Iterator[bytes]) -> np.ndarray | None:
-    total = None
-    for raw in parts:
-        x = np.frombuffer(raw)
-        total = x.copy() if total is None else total + x
-    return total
-
-
 @dataclass
 class Settings:
     rounds: int = 200
@@ -238,12 +230,7 @@ def histogram_pass(packed: DataFrame, kind: str, folds: list, d: int, done: list
                     sums[i] += np.bincount(at, weights=np.repeat(v[:, taken].reshape(-1), d), minlength=size)
         yield pd.DataFrame({"payload": [np.concatenate([sums.reshape(-1), whole.reshape(-1)]).tobytes()]})
 
-    found = packed.mapInPandas(run, "payload binary")
-    if tasks > DIRECT:
-        groups = int(tasks**0.5) + 1
-        merged = lambda pdf: pd.DataFrame({"payload": [add_up(pdf["payload"]).tobytes()]})
-        found = found.groupBy(F.pmod(F.spark_partition_id(), F.lit(groups)).alias("g")).applyInPandas(merged, "payload binary")
-    return add_up(r.payload for r in found.toLocalIterator())
+    return sum_of(packed.mapInPandas(run, "payload binary"), tasks)
 
 
 def splits(sums: np.ndarray, cuts: list[np.ndarray], columns: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:

@@ -12,9 +12,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.operators.sums import sum_of
 from rankloom.operators.windows import row_numbers
 from rankloom.sources.shared import Stored, stored
 
@@ -24,7 +25,7 @@ ROUNDS = 40
 
 
 def packed_blocks(df: DataFrame, group: str, order: Sequence[str], key: str, features: Sequence[str], block: int = BLOCK) -> DataFrame:
-    """pool, block, last (the pool's last block), n, x: the rows of each block, best first, as little-endian doubles."""
+    """pool, block, n, x: the rows of each block, best first, as little-endian doubles."""
     names = list(features)
     numbered = row_numbers(df.select(group, *dict.fromkeys([*order, key]), *(F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(names))), [group], [*order, key], "_n")
     rows = numbered.select(F.col(group).alias("pool"), F.floor((F.col("_n") - 1) / block).cast("int").alias("block"), "_n", *(f"x{i}" for i in range(len(names))))
@@ -38,6 +39,41 @@ def packed_blocks(df: DataFrame, group: str, order: Sequence[str], key: str, fea
     return rows.groupBy("pool", "block").applyInPandas(pack, f"pool {kind}, block int, n int, x binary")
 
 
+def meetings(blocks: DataFrame) -> list[DataFrame]:
+    """pool, x, y, same: every block with itself, and, where a pool has several, with each block behind it."""
+    own = blocks.select("pool", "x", F.col("x").alias("y"), F.lit(True).alias("same"))
+    if not blocks.where("block > 0").limit(1).count():
+        return [own]
+    last = blocks.groupBy("pool").agg(F.max("block").alias("last")).where("last > 0")
+    ahead = blocks.join(last, "pool").where("block < last").select("pool", "x", F.explode(F.sequence(F.col("block") + 1, F.col("last"))).alias("block"))
+    return [own, ahead.join(blocks.select("pool", "block", F.col("x").alias("y")), ["pool", "block"]).select("pool", "x", "y", F.lit(False).alias("same"))]
+
+
+def accuracy(df: DataFrame, group: str, order: Sequence[str], key: str, score: Column, intercept: float, block: int = BLOCK) -> float | None:
+    """Share of the pairs of a pool, both ways round, whose difference in score plus the intercept has the right sign; null without pairs."""
+    held = stored(packed_blocks(df.withColumn("_score", score), group, order, key, ["_score"], block), "blocks")
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hits = n = 0
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                x, y = np.frombuffer(r.x, "<f8"), np.frombuffer(r.y, "<f8")
+                for i in range(0, len(x), STRIP):
+                    s = x[i : i + STRIP, None] - y[None]
+                    right = (s + intercept > 0).astype(np.int8) + ~(intercept - s > 0)
+                    ahead = np.arange(i, i + len(s))[:, None] < np.arange(len(y))[None] if r.same else np.ones(s.shape, dtype=bool)
+                    hits += int(right[ahead].sum())
+                    n += 2 * int(ahead.sum())
+        yield pd.DataFrame({"hits": [hits], "n": [n]})
+
+    try:
+        found = [part.mapInPandas(count, "hits long, n long").agg(F.sum("hits"), F.sum("n")).first() for part in meetings(held.frame)]
+    finally:
+        held.dropped()
+    hits, n = (sum(r[i] or 0 for r in found) for i in (0, 1))
+    return hits / n if n else None
+
+
 def pair_sums(better: np.ndarray, worse: np.ndarray, w: np.ndarray, b: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Gradient and curvature of (difference, 1) and (its negative, 0) over all pairs of a better and a worse row.
 
@@ -104,19 +140,14 @@ def _fit(held: Stored, df: DataFrame, group: str, names: list[str], folds: list,
     scale[scale < 1e-12] = 1.0
     w = np.zeros((n_folds, d + 1))
     ridge = np.r_[np.ones(d), 0.0]
-    blocks = held.frame
-    last = blocks.groupBy("pool").agg(F.max("block").alias("last"))
-    several = bool(blocks.where("block > 0").limit(1).count())
+    met, n_tasks = meetings(held.frame), held.frame.rdd.getNumPartitions()
     for _ in range(rounds):
-        found = [blocks.select("pool", "x", F.col("x").alias("y"), F.lit(True).alias("same"))]
-        if several:  # blocks of one pool meet: each goes to those behind it
-            ahead = blocks.join(last.where("last > 0"), "pool").where("block < last").select("pool", "x", F.explode(F.sequence(F.col("block") + 1, F.col("last"))).alias("block"))
-            found.append(ahead.join(blocks.select("pool", "block", F.col("x").alias("y")), ["pool", "block"]).select("pool", "x", "y", F.lit(False).alias("same")))
         g, h = np.zeros((n_folds, d + 1)), np.zeros((n_folds, d + 1, d + 1))
-        for part in found:
-            for r in part.mapInPandas(newton_part(kind, folds, d, scale, w.copy()), "g binary, h binary").toLocalIterator():  # a row a task
-                g += np.frombuffer(r.g).reshape(g.shape)
-                h += np.frombuffer(r.h).reshape(h.shape)
+        for part, tasks in zip(met, (n_tasks, None)):
+            flat = sum_of(part.mapInPandas(newton_part(kind, folds, d, scale, w.copy()), "payload binary"), tasks)
+            if flat is not None:
+                g += flat[: g.size].reshape(g.shape)
+                h += flat[g.size :].reshape(h.shape)
         steps = np.stack([np.linalg.solve(c * h[f] + np.diag(ridge + 1e-12), c * g[f] + ridge * w[f]) if pairs[f] else np.zeros(d + 1) for f in range(n_folds)])
         w -= steps
         if np.abs(steps).max(initial=0.0) < 1e-8:
@@ -134,6 +165,6 @@ def newton_part(kind: str, folds: list, d: int, scale: np.ndarray, now: np.ndarr
                     more = pair_sums(x / scale[f], y / scale[f], now[f, :-1], now[f, -1], r.same)
                     g[f] += more[0]
                     h[f] += more[1]
-        yield pd.DataFrame({"g": [g.tobytes()], "h": [h.tobytes()]})
+        yield pd.DataFrame({"payload": [np.concatenate([g.reshape(-1), h.reshape(-1)]).tobytes()]})
 
     return partial

@@ -69,8 +69,9 @@ def train_linear(df: DataFrame, group: str, order: Sequence[str], key: str, feat
     return LinearRanker(tuple(features), tuple(map(float, w)), tuple(map(float, scale)), b, n)
 
 
-def pair_accuracy(met: DataFrame, model: LinearRanker) -> DataFrame:
-    return met.agg(F.avg(((model.score() > 0).cast("int") == F.col("label")).cast("double")).alias("pair_accuracy"))
+def pair_accuracy(df: DataFrame, group: str, order: Sequence[str], key: str, model: LinearRanker) -> float | None:
+    """Share of a pool's pairs, both ways round, that the model tells right, counted over blocks of the pools."""
+    return pairs.accuracy(df, group, order, key, model.score() - F.lit(model.intercept), model.intercept)
 
 
 def importance(model: ListwiseRanker, features: Sequence[str], top: int = 15) -> list[tuple[str, float]]:

@@ -247,8 +247,8 @@ def missed_winners(spark, d):
   SELECT round((count(CASE WHEN up > 0 THEN 1 END) + count(CASE WHEN NOT down > 0 THEN 1 END)) / (2.0 * nullif(count(*), 0)), 6) AS pair_accuracy FROM q""")
 def pair_accuracy(spark, d):
     s = ranking.numbers(scored_suppliers(spark, d).drop("score"), LINEAR.features)
-    pairs = joins.pairwise(s, ["nation"], ["rank"], "supp", LINEAR.features)
-    return ranking.pair_accuracy(pairs, LINEAR).select(F.round("pair_accuracy", 6).alias("pair_accuracy"))
+    share = ranking.pair_accuracy(s, "nation", ["rank"], "supp", LINEAR)
+    return spark.createDataFrame([(None if share is None else round(share, 6),)], "pair_accuracy double")
 
 
 @query(f"""WITH {SCORED}, w AS (SELECT nation, min(place) AS found FROM p WHERE rank = 1 AND nation % 4 = 1 GROUP BY 1) SELECT round(avg(CAST(found <= 1 AS INT)), 6) AS top1, round(avg(CAST(found <= 3 AS INT)), 6) AS top3, round(avg(CAST(found <= 5 AS INT)), 6) AS top5, count(*) AS n_years FROM w""")

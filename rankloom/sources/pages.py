@@ -1,8 +1,8 @@
 """What cached pages say: rankings, careers, international careers, results, top threes, introductions.
 
 Python turns a page's tables into cells named by role; typing, filters and
-de-duplication are Column expressions on those cells. Fetching is a driver-side
-step that fills the landing folder, with the fetcher passed in.
+de-duplication are Column expressions on those cells. Pages are fetched into a
+versioned table by a few tasks, or one by one into a folder; the fetcher is passed in.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import periods, text
 from rankloom.operators.aggregates import without_totals
 from rankloom.sources.landing import HEADERS, tables_of
+from rankloom.sources.versions import VersionedTable
 
 MISS = None
 
@@ -61,6 +62,39 @@ def fetch_missing(keys: Iterable[str], folder: str, fetch: Callable[[str], str |
     return out
 
 
+def fetch_table(keys: DataFrame, key: str, table: VersionedTable, fetch: Callable[[str], str | None], connections: int = 4, least: int = 1000, attempts: int = 3, delay: float = 1.5) -> int:
+    """Fetches the pages of all keys that ``table`` doesn't hold and adds them as a version; returns its number.
+
+    The keys are a table of any length. Each of the ``connections`` tasks fetches one
+    page at a time and waits ``delay`` between two, so that many requests a ``delay``
+    reach the site at most; a failed attempt waits twice as long as the one before it.
+    Rows: key, content, status (ok, small, missing or failed), error; only ok ones
+    count as held, so the others are tried again by the next call.
+    """
+    have = table.read().where("status = 'ok'").select(key) if table.current() else None
+    asked = keys.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias(key)).distinct()
+    todo = asked if have is None else asked.join(have, key, "left_anti")
+
+    def one(k: str) -> tuple:
+        for attempt in range(1, attempts + 1):
+            try:
+                page = fetch(k)
+                return k, page, "missing" if page is None else "ok" if len(page) > least else "small", None
+            except Exception as e:  # told in the row
+                if attempt == attempts:
+                    return k, None, "failed", f"{type(e).__name__}: {e}"
+                time.sleep(delay * 2**attempt)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for i, k in enumerate(pdf[key]):
+                if i:
+                    time.sleep(delay)
+                yield pd.DataFrame([one(k)], columns=[key, "content", "status", "error"])
+
+    return table.add(todo.repartition(connections).mapInPandas(run, f"{key} string, content string, status string, error string"))
+
+
 def api_html(content):
     """The page's html inside an API answer; null for an error payload."""
     return F.from_json(content, "parse struct<text: struct<`*`: string>>").getField("parse").getField("text").getField("*")

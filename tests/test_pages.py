@@ -104,3 +104,26 @@ def test_sinks(spark, tmp_path):
     assert landing.markdown(df.select("name"), most=3).endswith("and 1 more") and landing.markdown(df.limit(1)).count("\n") == 2
     wide = spark.createDataFrame([(1, 2, 3)], "`Rank[1]` int, rank_2 int, `Club(s)` int")
     assert landing.first_columns(wide).columns == ["rank", "rank_2", "club"]
+
+
+def test_fetching_a_table_of_pages(spark, tmp_path):
+    from rankloom.sources.versions import VersionedTable
+
+    table = VersionedTable(spark, f"file://{tmp_path}/pages", ["k"])
+    log = tmp_path / "log"
+
+    def fetch(k):
+        with open(log, "a") as f:
+            f.write(k + "\n")
+        if k == "bad":
+            raise OSError("gone")
+        return None if k == "none" else k * (10 if k == "s" else 600)
+
+    keys = spark.createDataFrame([("aa",), ("bb",), ("aa",), ("s",), ("none",), ("bad",), (None,)], "k string")
+    assert pages.fetch_table(keys, "k", table, fetch, connections=2, attempts=2, delay=0.0) == 1
+    got = {r.k: (r.status, r.error) for r in table.read().collect()}
+    assert got == {"aa": ("ok", None), "bb": ("ok", None), "s": ("small", None), "none": ("missing", None), "bad": ("failed", "OSError: gone")}
+    assert sorted(log.read_text().split()) == ["aa", "bad", "bad", "bb", "none", "s"]
+    log.unlink()
+    pages.fetch_table(keys, "k", table, lambda k: fetch(k) if k != "bad" else "z" * 2000, connections=2, attempts=1, delay=0.0)
+    assert sorted(log.read_text().split()) == ["none", "s"] and {r.k: r.status for r in table.read().collect()}["bad"] == "ok"

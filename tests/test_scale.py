@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from brute import fit_listwise, solve_logistic
 from rankloom.functions.text import token_sort_ratio_of
-from rankloom.operators import aggregates, boosting, fuzzy, joins, pairs, ranking, windows
+from rankloom.operators import aggregates, boosting, fuzzy, joins, pairs, ranking, sums, windows
 from rankloom.sources.versions import VersionedTable
 
 
@@ -42,7 +42,7 @@ def test_listwise_over_tasks_equals_one_in_memory(spark, monkeypatch):
     for keep, rows, direct in ((16, 50_000, 16), (2, 20, 2)):  # one task, and many tasks whose sums meet in groups, with states in between
         monkeypatch.setattr(boosting, "KEEP", keep)
         monkeypatch.setattr(boosting, "ROWS_A_TASK", rows)
-        monkeypatch.setattr(boosting, "DIRECT", direct)
+        monkeypatch.setattr(sums, "DIRECT", direct)
         model = boosting.train_listwise(df.repartition(7), "y", "rank", "k", features, rounds=6)
         got = {(r.y, r.k): r.s for r in df.withColumn("s", model.score()).collect()}
         assert got == pytest.approx(want, abs=1e-9)
@@ -240,3 +240,15 @@ def test_ingest_reads_nothing_that_is_stored(spark, tmp_path):
     (tmp_path / "in" / "b.json").write_text('{"k":2,"status":"ok"}\n{"k":3,"status":"ok"}\n{"k":4,"status":"gone"}\n')
     go()
     assert [r.k for r in spark.read.parquet(str(tmp_path / "good")).collect()] == [3] and [r.k for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [4]
+
+
+def test_pair_accuracy_over_blocks(spark):
+    rng = np.random.default_rng(12)
+    rows = [(y, f"k{i:02}", int(i + 1), float(v)) for y, n in ((1, 23), (2, 6), (3, 1)) for i, v in enumerate(rng.integers(0, 9, n))]
+    df = spark.createDataFrame(rows, "y int, k string, rank int, a double")
+    for intercept in (0.0, 0.5, -1.5):
+        model = ranking.LinearRanker(("a",), (-1.0,), (2.0,), intercept, 0)
+        right = [d for y in (1, 2) for p in rows for q in rows if p[0] == q[0] == y and p[2] < q[2] for d in ((q[3] - p[3]) / 2 + intercept > 0, not (p[3] - q[3]) / 2 + intercept > 0)]
+        assert ranking.pair_accuracy(df, "y", ["rank"], "k", model) == pytest.approx(sum(right) / len(right))
+        assert pairs.accuracy(df, "y", ["rank"], "k", -F.col("a") / 2, intercept, block=4) == pytest.approx(sum(right) / len(right))
+    assert ranking.pair_accuracy(df.where("y = 3"), "y", ["rank"], "k", model) is None
