@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.bpe import ForcedBoundaryBPE, slabs
+from rankloom.llm.bpe import SLAB, ForcedBoundaryBPE, slabs
 from rankloom.llm.chunked import pack
 from rankloom.llm.lookups import largest_counts
 from rankloom.llm.memo import PieceMemo
@@ -87,7 +87,27 @@ class Pieces:
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         if not self.cut:
             return [np.array(self.sp.encode(t[1:]), dtype="<u4") for t in texts]
-        return [np.frombuffer(b"".join(self.memo.join([self.chunks(s) for s in slabs(t)])), "<u4") for t in texts]
+        out: list[list[bytes]] = [[] for _ in texts]
+        where: list[list[bytes]] = []
+        lists: list[list[str]] = []
+        size = 0
+
+        def flush() -> None:
+            for to, ids in zip(where, self.memo.join(lists)):
+                to.append(ids)
+            where.clear()
+            lists.clear()
+
+        for to, t in zip(out, texts):
+            for slab in slabs(t):
+                where.append(to)
+                lists.append(self.chunks(slab))
+                size += len(slab)
+                if size > SLAB:
+                    flush()
+                    size = 0
+        flush()
+        return [np.frombuffer(b"".join(x), "<u4") for x in out]
 
 
 def components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -120,13 +140,18 @@ class Aligned:
 def align(size_a: np.ndarray, size_b: np.ndarray) -> Aligned:
     """From the tokens' sizes in bytes, whose sums are equal; no token is empty."""
     end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
-    ends = np.union1d(end_a, end_b)  # between two ends one token of each side overlap
-    i, j = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+    of_b = np.searchsorted(end_a, end_b)  # the token of a in which each token of b ends
+    both = end_a[of_b] == end_b
+    ends_a, ends_b = np.ones(len(end_a) + int((~both).sum()), dtype=bool), np.zeros(len(end_a) + int((~both).sum()), dtype=bool)
+    alone = of_b[~both] + np.arange(int((~both).sum()))  # all ends in order: those of a, with those that only b has in between
+    ends_a[alone], ends_b[alone] = False, True
+    ends_b[np.flatnonzero(ends_a)[of_b[both]]] = True
+    i, j = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b  # between two ends one token of each side overlap
     root = components(len(end_a) + len(end_b), i, j + len(end_a))
     first = root[: len(end_a)] == np.arange(len(end_a))  # every component has a token of a, and its smallest node is its first one
     number = np.cumsum(first) - 1
     group_a, group_b = number[root[: len(end_a)]], number[root[len(end_a) :]]
-    together = end_a[i] == end_b[j]
+    together = ends_a & ends_b
     return Aligned(group_a, group_b, i[together], j[together])
 
 
@@ -140,10 +165,8 @@ class Aligner:
         """For each text (n_a, n_b, n_groups, n_links, groups_sha256, groups, keys, times); see :func:`align_documents`."""
         spaced = [" " + t for t in texts if t]
         ids_a, ids_b = self.a.encode_many(spaced), self.b.encode_many(spaced)
-        fine = []
-        for t, a, b in zip(spaced, ids_a, ids_b):
-            raw = t.encode("utf-8", "replace")
-            fine.append(all(spelled(x, tok.token_bytes, raw) for x, tok in ((a, self.a), (b, self.b))))
+        # byte-level tokens are cuts of the text's bytes; pieces may spell another text
+        fine = [spelled(b, self.b.token_bytes, t.encode("utf-8", "replace")) and int(self.size_a[a].sum()) == int(self.size_b[b].sum()) for t, a, b in zip(spaced, ids_a, ids_b)]
         ids_a, ids_b = ([x for x, ok in zip(ids, fine) if ok] for ids in (ids_a, ids_b))
         found = iter(self.aligned(ids_a, ids_b, groups) if ids_a else ())
         fine = iter(fine)
@@ -156,8 +179,9 @@ class Aligner:
         at_a, at_b = (np.cumsum([0, *map(len, ids)]) for ids in (ids_a, ids_b))
         at_link = np.searchsorted(x.link_a, at_a)
         key = a[x.link_a] << 32 | b[x.link_b]
-        place_a = np.arange(len(a)) + np.searchsorted(x.group_b, x.group_a, side="left")
-        place_b = np.arange(len(b)) + np.searchsorted(x.group_a, x.group_b, side="right")
+        n_a, n_b = np.bincount(x.group_a), np.bincount(x.group_b)
+        place_a = np.arange(len(a)) + (np.cumsum(n_b) - n_b)[x.group_a]
+        place_b = np.arange(len(b)) + np.cumsum(n_a)[x.group_b]
         items = np.empty(len(a) + len(b), dtype=np.int64)
         items[place_a] = 2 * a + np.r_[x.group_a[1:] != x.group_a[:-1], True]
         items[place_b] = 2 * (b + len(self.size_a)) + np.r_[x.group_b[1:] != x.group_b[:-1], True]
