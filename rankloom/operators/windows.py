@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.sources.shared import kept_table
+
 
 def midrank_percentile(value: Column, part: Sequence[str]) -> Column:
     """(less + equal / 2) / known within the pool; null stays null and is not counted."""
@@ -19,17 +21,18 @@ def midrank_percentile(value: Column, part: Sequence[str]) -> Column:
     return F.when(value.isNotNull(), (upto - 0.5 * ties) / F.count(value).over(own))
 
 
-def value_counts_by_ranges(df: DataFrame, part: Sequence[str], value: str, ranges: int = 64) -> DataFrame:
+def value_counts_by_ranges(df: DataFrame, part: Sequence[str], value: str, weight: str | None = None, ranges: int = 64) -> DataFrame:
     """part, value and how many known values of the pool are less (``_less``), equal (``_equal``) and there at all (``_all``), for pools of any size.
 
-    Equal values are counted first. Each pool's counts are cut at its quantiles
-    into ranges, which are summed up in tasks of their own; the ranges' totals (a
-    few dozen rows a pool) give each its start. So no task sorts a whole pool.
+    Equal values are counted first (rows count ``weight`` each) and stored, so ``df`` is
+    read once. Each pool's distinct values are cut at their quantiles into ranges, which
+    are summed up in tasks of their own; the ranges' totals (a few dozen rows a pool)
+    give each its start. So no task sorts a whole pool.
     """
     known = df.where(F.col(value).isNotNull())
     cuts = [i / ranges for i in range(1, ranges)]
-    bounds = known.groupBy(*part).agg(F.array_sort(F.array_distinct(F.percentile_approx(value, cuts, 1000))).alias("_cuts"))
-    counts = known.groupBy(*part, value).agg(F.count(F.lit(1)).alias("_eq"))
+    counts = kept_table(known.groupBy(*part, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_eq")), "value-counts")
+    bounds = counts.groupBy(*part).agg(F.array_sort(F.array_distinct(F.percentile_approx(value, cuts, 1000))).alias("_cuts"))
     ranged_ = counts.join(bounds, list(part)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     inside = F.sum("_eq").over(Window.partitionBy(*part, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     pool = Window.partitionBy(*part)
@@ -41,7 +44,7 @@ def value_counts_by_ranges(df: DataFrame, part: Sequence[str], value: str, range
 
 def midrank_by_ranges(df: DataFrame, part: Sequence[str], value: str, name: str, ranges: int = 64) -> DataFrame:
     """``df`` with the mid-rank percentile of ``value`` within ``part``, for pools of any size (see :func:`value_counts_by_ranges`)."""
-    found = value_counts_by_ranges(df, part, value, ranges).select(*part, value, ((F.col("_less") + 0.5 * F.col("_equal")) / F.col("_all")).alias(name))
+    found = value_counts_by_ranges(df, part, value, None, ranges).select(*part, value, ((F.col("_less") + 0.5 * F.col("_equal")) / F.col("_all")).alias(name))
     return df.join(found, [*part, value], "left")
 
 
@@ -166,13 +169,22 @@ def best_place(df: DataFrame, part: Sequence[str], score: str, ties: Sequence[st
 
 
 def spearman(df: DataFrame, part: Sequence[str], a: str, b: str) -> DataFrame:
-    """Rank correlation within each pool, null where one side is constant; ranks come from ranges of the values, so no task sorts a pool.
+    """Rank correlation within each pool, null where one side is constant; only rows that have both values count.
 
-    Mid-rank percentiles are average ranks up to a linear change that is the same for all rows of a pool. Only rows that have both values count.
+    Equal pairs are counted first and stored; average ranks come from ranges of the values, so no task sorts a pool.
     """
     rows = df.select(*part, F.col(a).alias("_a"), F.col(b).alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
-    ranked = midrank_by_ranges(midrank_by_ranges(rows, part, "_a", "_ra"), part, "_b", "_rb")
-    return ranked.groupBy(*part).agg(F.try_divide(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb")).alias("spearman"))
+    counted = kept_table(rows.groupBy(*part, "_a", "_b").agg(F.count(F.lit(1)).alias("_n")), "value-pairs")
+    ranked = counted
+    for c in ("_a", "_b"):
+        found = value_counts_by_ranges(counted, part, c, "_n").select(*part, c, (F.col("_less") + (F.col("_equal") + 1) / 2).alias(f"{c}r"))
+        ranked = ranked.join(found, [*part, c])
+    n, x, y = F.sum("_n"), F.col("_ar"), F.col("_br")
+    mean = lambda v: F.sum(F.col("_n") * v) / n
+    middle = ranked.groupBy(*part).agg(mean(x).alias("_mx"), mean(y).alias("_my"))  # first the means, so that nothing cancels
+    off = ranked.join(middle, list(part)).withColumns({"_x": x - F.col("_mx"), "_y": y - F.col("_my")})
+    total = lambda v: F.sum(F.col("_n") * v)
+    return off.groupBy(*part).agg(F.try_divide(total(F.col("_x") * F.col("_y")), F.sqrt(total(F.col("_x") * F.col("_x")) * total(F.col("_y") * F.col("_y")))).alias("spearman"))
 
 
 def inversions(b: np.ndarray) -> int:

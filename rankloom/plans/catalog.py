@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import numeric, periods, text
 from rankloom.operators import aggregates, joins, ranking, windows
 from rankloom.plans.registry import ORACLES, QUERIES, query, t  # noqa: F401
+from rankloom.sources.shared import kept_table
 
 
 def yearly_customers(spark: SparkSession, d: str) -> DataFrame:
@@ -15,7 +16,7 @@ def yearly_customers(spark: SparkSession, d: str) -> DataFrame:
     o, c = t(spark, d, "orders"), t(spark, d, "customer")
     sums = o.groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("revenue"))
     rows = sums.join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("cust"), "year", "revenue")
-    return windows.row_numbers(rows, ["nation", "year"], [*windows.falling("revenue"), "cust"], "rank").withColumn("rank", F.col("rank").cast("int"))
+    return windows.row_numbers(kept_table(rows, "yearly"), ["nation", "year"], [*windows.falling("revenue"), "cust"], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 YEARLY = """y AS (SELECT c_nationkey AS nation, c_custkey AS cust, year, revenue,
