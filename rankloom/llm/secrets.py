@@ -302,7 +302,7 @@ def train(labelled: DataFrame):
     f = features(F.struct(*labelled.columns))
     rows = labelled.limit(TRAINING).select(F.col("secret").cast("double").alias("label"), *(f[x].cast("double").alias(x) for x in FEATURES))
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=3, seed=SEED).fit(ready)
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=3, featureSubsetStrategy="0.5", seed=SEED).fit(ready)
 
 
 def compiled(model) -> list[list]:
