@@ -104,6 +104,36 @@ def test_blocks_of_pools_give_the_sums_of_all_pairs(spark):
     assert empty.coefficients == (0.0,) and empty.n_pairs == 0
 
 
+def test_pair_sums_without_a_step_a_pair(monkeypatch):
+    rng, exp, weighed = np.random.default_rng(14), np.exp, []
+    for n, d, spread in ((5000, 3, 1.0), (5000, 3, 8.0), (900, 4, 400.0), (161, 2, 1.0), (1, 2, 1.0)):
+        x, w = rng.normal(size=(n, d)) + 40, rng.normal(size=d)
+        x, w = x[np.argsort(-(x @ w) - rng.normal(size=n), kind="stable")], w * spread
+        weighed.clear()
+        monkeypatch.setattr(np, "exp", lambda v: weighed.append(np.size(v)) or exp(v))
+        whole, apart = pairs.pair_sums(x, x, w, True), pairs.pair_sums(x[: n // 3], x[n // 3 :], w, False) if n > 3 else None
+        monkeypatch.setattr(np, "exp", exp)
+        assert spread > 100 or sum(weighed) < 400 * n + 10**5
+        for found, split in ((whole, None), (apart, n // 3)):
+            if found is None:
+                continue
+            z, g, h = x - x.mean(axis=0), np.zeros(d), np.zeros((d, d))
+            for i in range(n if split is None else split):
+                diff = z[i] - z[i + 1 if split is None else split :]
+                p = 1 / (1 + exp(-np.clip(diff @ w, -500, 500)))
+                g += 2 * (p - 1) @ diff
+                h += 2 * (diff.T * (p * (1 - p))) @ diff
+            assert found[0] == pytest.approx(g, rel=1e-9, abs=1e-7) and found[1] == pytest.approx(h, rel=1e-8, abs=1e-6)
+
+
+def test_a_few_blocks_of_much_work_are_dealt_to_tasks(spark):
+    df = spark.range(12_000).select((F.col("id") % 6).cast("int").alias("y"), F.col("id").alias("k"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("a"))
+    blocks = lambda: pairs.stored(pairs.packed_blocks(df, "y", ["a"], "k", ["a"], pairs.FIT_BLOCK).coalesce(1), "blocks")
+    assert pairs.dealt(blocks(), 1).frame.rdd.getNumPartitions() == 1
+    many = pairs.dealt(blocks(), 6).frame
+    assert many.rdd.getNumPartitions() == 4 and many.agg(F.sum("n")).first()[0] == 12_000
+
+
 def test_row_numbers_over_ranges(spark):
     rng = np.random.default_rng(5)
     rows = [(g, None if i % 11 == 0 else float(v), f"t{i}") for g, n in (("x", 900), (None, 300), ("z", 3)) for i, v in enumerate(rng.integers(0, 12, n))]
