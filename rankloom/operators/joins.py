@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import periods
 from rankloom.operators.fuzzy import similar_names
 from rankloom.operators.substrings import holding
+from rankloom.sources.shared import kept_table
 
 
 def with_default(left: DataFrame, right: DataFrame, on: Sequence[str], column: str, default) -> DataFrame:
@@ -22,13 +23,20 @@ def with_default(left: DataFrame, right: DataFrame, on: Sequence[str], column: s
 def substring_match(left: DataFrame, right: DataFrame, on: Sequence[str], name: str, other: str, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First right row, in file order, of the same group whose name equals, holds or is held by the left one's.
 
-    Distinct names meet through the index of :mod:`rankloom.operators.substrings`;
-    the first is an aggregate, so matches shrink before they are shuffled.
+    Distinct names meet through the index of :mod:`rankloom.operators.substrings`. Of
+    right rows of one name only the first can be the first of a match, so each distinct
+    left name gets one row before left rows are joined: rows of equal names never meet.
     """
     text = lambda c: F.lower(F.trim(F.col(c)))
-    found = holding(left.select(*on, text(name).alias("text")), right.select(*on, text(other).alias("text")), on)
-    met = left.withColumn("a", text(name)).join(found, [*on, "a"]).join(right.withColumn("b", text(other)), [*on, "b"]).drop("a", "b")
-    return first_match(met, key, order)
+    rest = [c for c in right.columns if c not in on]
+    per_other = right.withColumn("b", text(other)).groupBy(*on, "b").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_right"))
+    per_other = kept_table(per_other, "first-rows")
+    names = kept_table(left.select(*on, text(name).alias("text")).distinct(), "names")
+    found = holding(names, per_other.select(*on, F.col("b").alias("text")), on)
+    place = F.struct(*(F.col(c) if c in on else F.col("_right")[c] for c in order))
+    per_name = found.join(per_other, [*on, "b"]).groupBy(*on, "a").agg(F.min_by("_right", place).alias("_right"))
+    met = left.withColumn("a", text(name)).join(per_name.hint("shuffle_hash"), [*on, "a"]).drop("a")  # never all rows of the left to each task
+    return first_match(met.select("*", "_right.*").drop("_right"), key, order)
 
 
 def few_substrings(left: DataFrame, right: DataFrame, on: Sequence[str], name: str, other: str, key: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -210,6 +210,19 @@ def test_names_that_hold_each_other(spark):
         assert got == want and len(want) > 20
 
 
+def test_rows_of_equal_names_never_meet(spark, monkeypatch):
+    names = F.element_at(F.array(*map(F.lit, ("hot bolt", " Hot Bolt", "bolt", "ring", ""))), (F.col("id") % 5 + 1).cast("int"))
+    left = spark.range(3000).select(F.col("id").alias("i"), F.lit(1).alias("g"), names.alias("name"))
+    right = spark.range(3000).select((3000 - F.col("id")).alias("line"), F.lit(1).alias("g"), names.alias("other"))
+    met, first_match = [], joins.first_match
+    monkeypatch.setattr(joins, "first_match", lambda df, *args: met.append(df) or first_match(df, *args))
+    got = {r.i: (r.line, r.other) for r in joins.substring_match(left, right, ["g"], "name", "other", ["i"], ["line"]).collect()}
+    lines = sorted((3000 - i, ("hot bolt", " Hot Bolt", "bolt", "ring", "")[i % 5]) for i in range(3000))
+    first = {want: next(x for x in lines if x[1].strip().lower() in want) for want in (("bolt", "hot bolt"), ("ring",))}
+    assert got == {i: first["ring",] if i % 5 == 3 else first["bolt", "hot bolt"] for i in range(3000) if i % 5 < 4}
+    assert met[0].count() <= 3000
+
+
 def test_what_if_equals_a_full_recomputation(spark):
     rng = np.random.default_rng(8)
     rows = [(p, f"{p}{i}", *(None if rng.random() < 0.15 else float(v) for v in rng.integers(0, 12, 2))) for p in "xyz" for i in range(40)]
