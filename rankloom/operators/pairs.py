@@ -35,6 +35,7 @@ ROWS_A_TASK = 20_000  # rows of all folds that a task weighs, about
 LEAF = 160  # rows whose pairs are weighed one by one
 WIDE, ORDER = 2.0, 24  # width of a cell of scores, terms of a series: what is left out is below 6.4^-24
 CELLS = 64  # cells of a block up to which their table is made once
+TABLE = 2**23  # numbers of a table that two halves may make for themselves
 FAR = 21  # cells apart at which a weight no longer changes: e^-40
 ROUNDS = 40
 
@@ -125,9 +126,11 @@ def pair_sums(better: np.ndarray, worse: np.ndarray, w: np.ndarray, same: bool)
     x = x - x.mean(axis=0)  # differences stay, and nothing large cancels
     n, d = x.shape
     s = x @ w
-    smooth = bool(np.isfinite(s).all())
-    cell = np.floor(s / WIDE)
-    basis = np.polynomial.chebyshev.chebvander(np.clip(2 * (s / WIDE - cell) - 1, -1, 1), ORDER - 1)
+    smooth = n > LEAF and bool(np.isfinite(s).all())
+    if smooth:
+        cell = np.floor(s / WIDE)
+        cells, at = np.unique(cell, return_inverse=True)
+        basis = np.polynomial.chebyshev.chebvander(np.clip(2 * (s / WIDE - cell) - 1, -1, 1), ORDER - 1)
     one = np.c_[np.ones(n), x]
     g, cross, curve = np.zeros(d), np.zeros((d, d)), np.zeros(n)
 
@@ -143,8 +146,6 @@ def pair_sums(better: np.ndarray, worse: np.ndarray, w: np.ndarray, same: bool)
             g[:] += x[b].T @ wrong.sum(axis=0) - x[part].T @ wrong.sum(axis=1)
             cross[:] += x[part].T @ (v @ x[b])
 
-    cells, at = np.unique(cell, return_inverse=True)
-
     def table(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
         apart = (np.clip(a[:, None] - b, -FAR, FAR) + FAR).astype(int)
         return [t[apart].transpose(0, 2, 1, 3).reshape(len(a) * ORDER, -1) for t in series()]
@@ -158,10 +159,16 @@ def pair_sums(better: np.ndarray, worse: np.ndarray, w: np.ndarray, same: bool)
         return np.concatenate([basis[order[i:j]].T @ one[order[i:j]] for i, j in zip([0, *ends[:-1]], ends)])
 
     def halves(a: slice, b: slice) -> None:
+        if not smooth:
+            return one_by_one(a, b, False)
         (la, ha), (lb, hb) = ((at[of].min(), at[of].max() + 1) for of in (a, b))
         steps = (ha - la) * (hb - lb) * ORDER**2 // (12 if whole else 1)
-        if not smooth or (a.stop - a.start) * (b.stop - b.start) <= steps:  # few rows a cell
+        if (a.stop - a.start) * (b.stop - b.start) <= steps:  # few rows a cell
             return one_by_one(a, b, False)
+        if not whole and steps > TABLE:
+            middle = (a.start + a.stop) // 2
+            halves(slice(a.start, middle), b)
+            return halves(slice(middle, a.stop), b)
         wrong, v = [t[la * ORDER : ha * ORDER, lb * ORDER : hb * ORDER] for t in whole] if whole else table(cells[la:ha], cells[lb:hb])
         ma, mb = moments(a, la, ha), moments(b, lb, hb)
         pull = ma.T @ (wrong @ mb)
