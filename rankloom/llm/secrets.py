@@ -31,6 +31,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.llm.work import drop, table
+
 TRAINING = 6000  # labelled findings the forest is fitted on, at most
 TREES, DEPTH, SEED = 15, 6, 20
 VOTES = 0.5
@@ -298,11 +300,22 @@ def made_findings(spark: SparkSession, n: int = TRAINING, keep: Callable[[int],
 
 
 def train(labelled: DataFrame):
-    """A random forest of at most TRAINING labelled findings."""
+    """A random forest of at most TRAINING labelled findings.
+
+    Their features are worked out once and stored: the fit passes over them a
+    dozen times. Rows stay in the partitions and the order they came in, which the
+    forest's draws depend on.
+    """
     f = features(F.struct(*labelled.columns))
     rows = labelled.limit(TRAINING).select(F.col("secret").cast("double").alias("label"), *(f[x].cast("double").alias(x) for x in FEATURES))
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=3, featureSubsetStrategy="0.5", seed=SEED).fit(ready)
+    stored = table(rows.withColumn("_at", F.monotonically_increasing_id()), "findings")
+    part = F.shiftright("_at", 33).cast("int")
+    parts = (stored.agg(F.max(part)).first()[0] or 0) + 1
+    dealt = stored.repartitionById(parts, part).sortWithinPartitions("_at").drop("_at")
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(dealt)
+    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=3, featureSubsetStrategy="0.5", seed=SEED).fit(ready)
+    drop(stored)
+    return model
 
 
 def compiled(model) -> list[list]:
