@@ -5,6 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 
+class Generation(dict):
+    """Known pieces; one that is looked up in vain comes from the generation before or gets a place to be filled later."""
+
+    def __init__(self, old: dict):
+        self.old, self.lacking = old, []
+
+    def __missing__(self, piece):
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = bytearray()
+            self.lacking.append(piece)
+        self[piece] = ids
+        return ids
+
+
 class PieceMemo:
     """Two generations: when the young one is full it becomes the old one; pieces still in use come back.
 
@@ -14,27 +29,25 @@ class PieceMemo:
 
     def __init__(self, encode: Callable[[list], list[bytes]], most: int, longest: int = 64):
         self.encode, self.most, self.longest = encode, most, longest
-        self.young: dict = {}
-        self.old: dict = {}
+        self.young = Generation({})
 
     def join(self, lists: Sequence[Sequence]) -> list[bytes]:
-        """The concatenated ids of each list of pieces."""
+        """The concatenated ids of each list of pieces; a piece is looked up once, only unknown ones run Python."""
         if len(self.young) > self.most // 2:
-            self.old, self.young = self.young, {}
-        get = self.young.get
-        found = [list(map(get, pieces)) for pieces in lists]
-        lacking: set = set()
-        for pieces, ids in zip(lists, found):
-            if None in ids:
-                lacking.update(p for p, i in zip(pieces, ids) if i is None)
-        if not lacking:
-            return [b"".join(ids) for ids in found]
-        new, missing = {}, []
-        for p in lacking:
-            if (i := self.old.get(p)) is None:
-                missing.append(p)
+            self.young.old = {}
+            self.young = Generation(self.young)
+        known = self.young
+        found = [list(map(known.__getitem__, pieces)) for pieces in lists]
+        lacking, known.lacking = known.lacking, []
+        try:
+            encoded = self.encode(lacking) if lacking else []
+        except BaseException:
+            self.young = Generation({})  # it holds places that nothing fills
+            raise
+        for piece, ids in zip(lacking, encoded):
+            known[piece].extend(ids)
+            if len(piece) > self.longest:
+                del known[piece]
             else:
-                new[p] = i
-        new.update(zip(missing, self.encode(missing) if missing else ()))
-        self.young.update(new if not missing else {p: i for p, i in new.items() if len(p) <= self.longest})
-        return [b"".join([new[p] if i is None else i for p, i in zip(pieces, ids)]) if None in ids else b"".join(ids) for pieces, ids in zip(lists, found)]
+                known[piece] = ids
+        return [b"".join(ids) for ids in found]
