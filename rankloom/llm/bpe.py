@@ -23,8 +23,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import re
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ WS = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
 
 SLAB = 1 << 20  # characters of one text worked on at a time
-MEMO = 600_000  # fragments a worker remembers, in two generations
+MEMO = 400_000  # fragments a worker remembers, in two generations
 NEVER = np.iinfo(np.int64).max
 WIDE_BLANKS = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
@@ -99,7 +99,9 @@ class ForcedBoundaryBPE:
         self.before_blank = np.zeros(256, dtype=bool)
         self.before_blank[[c.encode()[-2] for c in WIDE_BLANKS]] = True
         self.split = regex.compile(PATTERN).findall
-        self.plain = re.compile(rb" ?[A-Za-z]+").fullmatch
+        self.letter = letter
+        self.latin = np.zeros(256, dtype=bool)  # second bytes of Latin-1 letters
+        self.latin[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
         self.special = special
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
         order = sorted(self.merge.items(), key=lambda m: m[0][0] << 32 | m[0][1])
@@ -156,8 +158,21 @@ class ForcedBoundaryBPE:
         doubt = self.doubt[pair[at]]
         if doubt.any():
             at = at[~(doubt & self.before_blank[b[at - 1]])]
-        at = (at + 1).tolist()
-        return [raw[i:j] for i, j in zip([0, *at], [*at, len(raw)])]
+        # a byte that UTF-8 doesn't have stands at each cut
+        parted = np.full(len(raw) + len(at), 255, dtype=np.uint8)
+        own = np.ones(len(parted), dtype=bool)
+        own[at + np.arange(1, len(at) + 1)] = False
+        parted[own] = b
+        return parted.tobytes().split(b"\xff")
+
+    def _plain(self, byte: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Which fragments are letters of ASCII or Latin-1 after at most one space, so one pre-token."""
+        after, before = np.r_[byte[1:], np.uint8(0)], np.r_[np.uint8(0), byte[:-1]]
+        wide = (byte == 0xC3) & self.latin[after]
+        odd = ~(self.letter[byte] | wide | ((before == 0xC3) & self.latin[byte]))
+        width = np.diff(np.r_[first, len(byte)])
+        odd[first[(byte[first] == 32) & (width > 1)]] = False
+        return ~np.logical_or.reduceat(odd, first)
 
     def _encode_fragments(self, fragments: list[bytes]) -> list[bytes]:
         """Cut the fragments' pre-tokens again at all forced pairs and merge every piece side by side.
@@ -168,16 +183,15 @@ class ForcedBoundaryBPE:
         if not fragments:
             return []
         raw = b"".join(fragments)
-        sizes, tokens = [], []
-        for f in fragments:
-            sizes.append(len(f))
-            if self.plain(f):
-                tokens.append(len(f))
-            else:
-                tokens += [len(t.encode("utf-8")) for t in self.split(f.decode("utf-8"))]
+        sizes = list(map(len, fragments))
         byte = np.frombuffer(raw, dtype=np.uint8)
+        first = np.cumsum([0, *sizes[:-1]])
         starts = np.zeros(len(raw), dtype=bool)
-        starts[np.cumsum([0, *tokens[:-1]])] = True
+        starts[first] = True
+        odd = np.flatnonzero(~self._plain(byte, first))
+        for i, start in zip(odd.tolist(), first[odd].tolist()):
+            tokens = [len(t.encode("utf-8")) for t in self.split(fragments[i].decode("utf-8"))]
+            starts[list(accumulate(tokens[:-1], initial=start))] = True
         pair16 = (byte[:-1].astype(np.uint16) << 8) | byte[1:]
         starts[1:] |= self.forced[pair16]
 
